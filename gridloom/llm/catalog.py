@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import quality, secret_scan
+from gridloom.llm import line_dedup, piece_codec, quality, secret_scan, url_filter
 from gridloom.llm.common import table
 from gridloom.plans.registry import Registry
 
 REGISTRY = Registry()
 
 
+@REGISTRY.query("op1_url_filter", url_filter.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(url_filter.FETCHED_ON).alias("fetched_on"))
+    entries = spark.createDataFrame(url_filter.ENTRIES, "list_name string, pattern string, action string, listed_on string, seq int").withColumn("listed_on", F.to_date("listed_on"))
+    return url_filter.evaluate(captures, entries).withColumnRenamed("capture_id", "page_id")
+
+
+@REGISTRY.query("op5_line_dedup", line_dedup.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.remove_repeats(docs)
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_chunks").alias("n_chunks"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @REGISTRY.query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op8_piece_codec")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @REGISTRY.query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
