@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup, piece_codec, quality, secret_scan, url_filter
+from gridloom.llm import decontaminate, line_dedup, piece_codec, quality, secret_scan, url_filter
 from gridloom.llm.common import table
 from gridloom.plans.registry import Registry
 
@@ -32,6 +32,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("score", F.round("score", 6))
+
+
 @REGISTRY.query("op8_piece_codec")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
