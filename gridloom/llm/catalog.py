@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, line_dedup, piece_codec, quality, secret_scan, url_filter
+from gridloom.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality, secret_scan, url_filter
 from gridloom.llm.common import table
 from gridloom.plans.registry import Registry
 
@@ -20,6 +20,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, entries).withColumnRenamed("capture_id", "page_id")
 
 
+@REGISTRY.query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op5_line_dedup", line_dedup.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
