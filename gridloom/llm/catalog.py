@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality, secret_scan, url_filter
+from gridloom.llm import decontaminate, jaccard_join, line_dedup, lz_dedup, piece_codec, quality, secret_scan, substring_dedup, url_filter
 from gridloom.llm.common import table
 from gridloom.plans.registry import Registry
 
@@ -20,6 +20,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, entries).withColumnRenamed("capture_id", "page_id")
 
 
+@REGISTRY.query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @REGISTRY.query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
@@ -51,3 +56,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op10_lz_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_dedup.digests(lz_dedup.remove_repeats(table(spark, sf_dir, "documents")))
