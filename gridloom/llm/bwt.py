@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from gridloom.llm.hashing import spread
+
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sorted suffixes of texts that stand one after another, each closed by a 0 at `ends`; the closing zeros sort by place."""
@@ -83,7 +85,7 @@ def open_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
         wide_low, size = low[~one], size[~one]
         if len(size):
             owner = np.repeat(np.arange(len(size)), size)
-            at = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) + wide_low[owner]
+            at = spread(wide_low, size)
             place, symbol = extend[at], front[at]
             # Within an interval equal symbols extend to neighbouring places: runs of (owner, place) are intervals.
             turn = np.argsort(place, kind="stable")

@@ -103,3 +103,9 @@ def covered(starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
     step = np.bincount(starts, minlength=size + 1).astype(np.int64)
     step -= np.bincount(stops, minlength=size + 1)
     return np.cumsum(step[:size]) > 0
+
+
+def spread(base: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """base[i], base[i] + 1, ... for count[i] values, one after another."""
+    total = np.cumsum(count)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(base - (total - count), count)

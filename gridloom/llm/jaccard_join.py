@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import documents, pieces, staged, utf8_of
 from gridloom.llm.components import components
-from gridloom.llm.hashing import Prefix, joined, mix, word_hashes, word_spans
+from gridloom.llm.hashing import Prefix, joined, mix, spread, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(at)
     size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     first = np.concatenate(([0], np.cumsum(size)))
-    begin = np.repeat(at[:-1] - first[:-1], size) + np.arange(first[-1])
+    begin = spread(at[:-1], size)
     return prefix.ranges(begin, begin + np.repeat(np.minimum(count, n), size)), first
 
 
@@ -129,7 +129,7 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, c
         part = many[i : i + width]
         dense = np.zeros((len(sets), len(part)), np.float32)
         sizes = count[part]
-        at = np.repeat(edge[:-1][part] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        at = spread(edge[:-1][part], sizes)
         dense[owner[at], np.repeat(np.arange(len(part)), sizes)] = 1
         out += dense[left] @ dense[right].T
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import documents
-from gridloom.llm.hashing import Prefix, covered, word_hashes, word_spans
+from gridloom.llm.hashing import Prefix, covered, spread, word_hashes, word_spans
 from gridloom.llm.seed_search import Plan, Regions, search
 
 #: Bytes of a text that are cut into words at a time.
@@ -61,7 +61,7 @@ def solve(regions: Regions, plan: Plan) -> list[np.ndarray]:
     base = np.concatenate(([0], np.cumsum(count)))
     # Index of the block: all windows of the lead regions, the smallest owner of each hash in front.
     of = np.repeat(np.arange(len(lead)), count)
-    at = np.arange(base[-1]) - np.repeat(base[:-1], count) + first[of]
+    at = spread(first, count)
     hashes = Prefix(regions.symbols).ranges(at, at + window)
     sort = np.lexsort((owner[of], hashes))
     head = np.flatnonzero(np.concatenate(([True], hashes[sort][1:] != hashes[sort][:-1])))
@@ -84,7 +84,7 @@ def solve(regions: Regions, plan: Plan) -> list[np.ndarray]:
             grow = grow[same & (size[rows[grow]] < room[grow])]
         long = np.flatnonzero(size >= window)
         inside = size[long] - window + 1
-        flags[np.repeat(here[long], inside) + np.arange(inside.sum()) - np.repeat(np.concatenate(([0], np.cumsum(inside)[:-1])), inside)] = True
+        flags[spread(here[long], inside)] = True
         # After a factor the parse goes on with the first window that reaches over its end.
         cursor[live] += np.maximum(size - window + 1, 1)
         live = live[cursor[live] < base[live + 1]]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import groups_for, input_bytes, utf8_of
-from gridloom.llm.hashing import Prefix, mix
+from gridloom.llm.hashing import Prefix, mix, spread
 from gridloom.llm.seeds import Runs, runs
 
 DEAD, LIVE, HOT = 0, 1, 2
@@ -133,7 +133,7 @@ class Chunk:
             return none, none, none.astype(np.uint64), none.astype(np.uint64)
         count = self.last[hot] - self.first[hot] + 1
         doc = np.repeat(self.doc[hot], count)
-        start = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])) - self.first[hot], count)
+        start = spread(self.first[hot], count)
         one, two = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
         for d in np.unique(doc):
             at = np.flatnonzero(doc == d)
@@ -255,15 +255,13 @@ def _hits(chunk: Chunk, code: np.ndarray, replies: dict[tuple[int, int], np.ndar
         flags = np.zeros(base[-1], bool)
         for b in np.unique(place):
             own = np.flatnonzero(place == b)
-            at = np.arange(count[own].sum()) - np.repeat(np.concatenate(([0], np.cumsum(count[own])[:-1])) - base[own], count[own])
-            flags[at] = replies[int(b), 1] > 0
+            flags[spread(base[own], count[own])] = replies[int(b), 1] > 0
         size = count[region]
-        inside = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        hit = flags[inside + np.repeat(base[region], size)]
+        hit = flags[spread(base[region], size)]
         if by_owner:
             hit |= np.repeat(chunk.owner[chunk.doc[order]] > chunk.owner[chunk.doc[lead]][region], size)
         docs.append(np.repeat(chunk.doc[order], size)[hit])
-        starts.append((inside + np.repeat(chunk.first[order], size))[hit])
+        starts.append(spread(chunk.first[order], size)[hit])
     doc, start, one, two = chunk.windows(code)
     if len(doc):
         head, back, _, owner = _distinct_windows(one, two, chunk.owner[doc])
