@@ -1,11 +1,20 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, tokenization."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, tokenization.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it left, and returns the
+columns of documents, but for the last, which returns the token ids. run() writes the result of each
+stage as Parquet in the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality
+from gridloom.llm.common import staged, table
 
-from gridloom.llm import quality
-from gridloom.llm.common import staged
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +22,42 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that occur earlier; n_chars is that of the new text."""
+    done = line_dedup.remove_repeats(docs)
+    return done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near-duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a leaked test item."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary) and digests of ids and decoded text of each document."""
+    encoded = piece_codec.encode(docs, public_tokenizers.path(PIECE_MODEL))
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicate removal", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("piece encoding", token_stage),
+]
+# Alignment, banding and the piece model have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

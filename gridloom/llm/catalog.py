@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard_join, line_dedup, lz_dedup, piece_codec, quality, secret_scan, substring_dedup, url_filter
+from gridloom.llm import decontaminate, jaccard_join, line_dedup, lz_dedup, piece_codec, quality, secret_scan, substring_dedup, token_files, url_filter
 from gridloom.llm.common import table
 from gridloom.plans.registry import Registry
 
@@ -20,6 +20,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, entries).withColumnRenamed("capture_id", "page_id")
 
 
+@REGISTRY.query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 @REGISTRY.query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
