@@ -14,6 +14,8 @@ result; other columns are carried, whatever their names. Only DataFrame function
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +29,39 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; a column that a lambda names would be computed for each element.
+
+    The outer forms of explode are used on what comes out: before the inner form Catalyst puts a
+    filter on the array's size, which computes it once more.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(lines: Column) -> Column:
+    """start, n_lines and chunk (text) of the chunks of MIN_LINES or more."""
+
+    def rolled(line_hash: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(line_hash, 1, F.size(line_hash) - 1))
+        return F.zip_with(before, line_hash, lambda p, c: p * 31 + c)
+
+    def spans(ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
+        return F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n_lines"))), lambda c: c["n_lines"] >= MIN_LINES)
+
+    line_hash = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    ends = _let(_let(line_hash, rolled), lambda r: F.filter(F.transform(r, lambda x, i: F.when((i == F.size(r) - 1) | (x % LINES_A_CHUNK == 0), i)), lambda i: i.isNotNull()))
+    return F.transform(_let(ends, spans), lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), _text(lines, c).alias("chunk")))
+
+
+def _text(lines: Column, span: Column) -> Column:
+    return F.array_join(F.slice(lines, span["start"] + 1, span["n_lines"]), "\n")
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start (line, from 0), n_lines, chunk (text) of chunks long enough to be compared."""
-    hashed = docs.withColumn("lines", _lines(F.col("text"))).withColumn("line_hash", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("line_hash", 1, F.size("line_hash") - 1))
-    rolled = hashed.withColumn("rolled", F.zip_with(before, F.col("line_hash"), lambda p, c: p * 31 + c))
-    last = F.size("rolled") - 1
-    ends = F.filter(F.transform("rolled", lambda r, i: F.when((i == last) | (r % LINES_A_CHUNK == 0), i)), lambda i: i.isNotNull())
-    cut = rolled.select("doc_id", "text_key", "lines", ends.alias("ends")).withColumn("starts", F.concat(F.array(F.lit(0)), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: e + 1)))
-    spans = F.filter(F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n_lines"))), lambda c: c["n_lines"] >= MIN_LINES)
-    found = cut.withColumn("spans", spans).filter(F.size("spans") > 0)
-    texts = F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), F.array_join(F.slice(F.col("lines"), c["start"] + 1, c["n_lines"]), "\n").alias("chunk")))
-    return found.select("doc_id", "text_key", F.explode(texts).alias("c")).select("doc_id", "text_key", "c.*").filter(F.col("chunk").rlike(r"[^ \t\n\x0B\f\r]"))
+    found = docs.filter(F.col("text").contains("\n")).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), _cut)).alias("c"))
+    return found.select("doc_id", "text_key", "c.*").filter(F.col("chunk").rlike(r"[^ \t\n\x0B\f\r]"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -53,9 +76,8 @@ def removals(docs: DataFrame) -> DataFrame:
     first = marked.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1").select("chunk_hash", "first")
     wanted = marked.join(first, "chunk_hash").select("doc_id", "text_key", F.struct("start", "n_lines", "chunk_hash", (F.col("first") == key).alias("is_first")).alias("w"))
     by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted"))
-    lined = docs.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", _lines(F.col("text")).alias("lines"), "wanted")
-    cut = F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk_hash"].alias("chunk_hash"), c["is_first"].alias("is_first"), F.array_join(F.slice(F.col("lines"), c["start"] + 1, c["n_lines"]), "\n").alias("chunk")))
-    texts = lined.select("doc_id", "text_key", F.explode(cut).alias("c")).select("doc_id", "text_key", "c.*")
+    cut = lambda lines: F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk_hash"].alias("chunk_hash"), c["is_first"].alias("is_first"), _text(lines, c).alias("chunk")))
+    texts = docs.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), cut)).alias("c")).select("doc_id", "text_key", "c.*")
     later = texts.filter(~F.col("is_first")).drop("is_first")
     original = texts.filter("is_first").select("chunk_hash", F.col("chunk").alias("original"))
     same = later.join(original, "chunk_hash").filter(F.col("chunk") == F.col("original"))
@@ -65,20 +87,21 @@ def removals(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns with repeated chunks taken from the text, and __n_lines, __n_removed (lines), __n_chunks."""
     columns = docs.columns
-    inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in (id_col, text_col)], F.lit(0).alias("none")).alias("rest"))
-    # Equal rows of one id must count once, or they would be each other's repeats.
-    distinct = inner.select("doc_id", "text", "text_key").filter(F.col("doc_id").isNotNull())
-    lined = inner.join(removals(distinct), ["doc_id", "text_key"], "left").withColumn("lines", _lines(F.col("text")))
-    gaps = F.concat(F.col("gone"), F.array(F.struct(F.size("lines").alias("start"), F.lit(0).alias("n_lines"))))
-    stops = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["start"] + g["n_lines"]))
-    kept = F.flatten(F.zip_with(stops, gaps, lambda s, g: F.slice(F.col("lines"), s + 1, g["start"] - s)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rest = iter(range(len(columns)))
-    back = []
-    for c in columns:
-        i = next(rest)
-        back.append(F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == id_col else text.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c))
-    counts = [F.size("lines").cast("long").alias("__n_lines"), F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, g: n + g["n_lines"]), F.lit(0)).alias("__n_removed"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("__n_chunks")]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in (id_col, text_col)]
+    inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), *([F.struct(*others).alias("rest")] if others else []))
+    # The joins see the same rows and, without other columns, share one exchange of the texts.
+    told = inner.filter(F.col("doc_id").isNotNull())
+    alone = inner.filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast("array<struct<start:int,n_lines:int>>"))
+    lined = told.join(removals(told.select("doc_id", "text", "text_key")), ["doc_id", "text_key"], "left").unionByName(alone)
+
+    def kept(lines: Column) -> Column:
+        gaps = F.concat(F.col("gone"), F.array(F.struct(F.size(lines).alias("start"), F.lit(0).alias("n_lines"))))
+        stops = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["start"] + g["n_lines"]))
+        return F.array_join(F.flatten(F.zip_with(stops, gaps, lambda s, g: F.slice(lines, s + 1, g["start"] - s))), "\n")
+
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(_lines(F.col("text")), kept))
+    back = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == id_col else text.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)]
+    counts = [F.size(_lines(F.col("text"))).cast("long").alias("__n_lines"), F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, g: n + g["n_lines"]), F.lit(0)).alias("__n_removed"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("__n_chunks")]
     return lined.select(*back, *counts)
 
 
