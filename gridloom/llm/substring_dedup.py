@@ -45,6 +45,10 @@ def solve(regions: Regions, plan: Plan) -> list[np.ndarray]:
     batch: list[tuple[int, bytes, int]] = []
     size = 0
     for seed, own in groups.items():
+        if len(own) == 1:  # no other region has this seed, so a window occurs as often as the region does
+            text, weight = next(iter(own.items()))
+            flags[seed, text] = np.full(len(text) - plan.window + 1, weight >= 2)
+            continue
         for text, weight in own.items():
             batch.append((seed, text, weight))
             size += len(text)
