@@ -220,4 +220,4 @@ def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_
 def keep_one(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest doc_id of each class, and those with a null id, with all their columns."""
     gone = classes(docs, rules, id_col, text_col).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["__gone"], "left_anti")

@@ -75,13 +75,13 @@ def removals(docs: DataFrame) -> DataFrame:
     marked = chunks(docs).select("doc_id", "text_key", "start", "n_lines", F.xxhash64("chunk").alias("chunk_hash"))
     first = marked.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1").select("chunk_hash", "first")
     wanted = marked.join(first, "chunk_hash").select("doc_id", "text_key", F.struct("start", "n_lines", "chunk_hash", (F.col("first") == key).alias("is_first")).alias("w"))
-    by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted"))
+    by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("w").alias("wanted"))
     cut = lambda lines: F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk_hash"].alias("chunk_hash"), c["is_first"].alias("is_first"), _text(lines, c).alias("chunk")))
     texts = docs.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), cut)).alias("c")).select("doc_id", "text_key", "c.*")
     later = texts.filter(~F.col("is_first")).drop("is_first")
     original = texts.filter("is_first").select("chunk_hash", F.col("chunk").alias("original"))
     same = later.join(original, "chunk_hash").filter(F.col("chunk") == F.col("original"))
-    return same.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("gone"))
+    return same.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "n_lines"))).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -187,4 +187,5 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str
     Rows whose id is null can't be told apart and go; rows of one id stay if each of them is kept.
     """
     bad = judge(docs, rules, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.filter(F.col(f"`{id_col}`").isNotNull()).join(bad, F.col(f"`{id_col}`").cast("long") == F.col("__bad"), "left_anti")
+    told = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    return told.join(bad, told[f"`{id_col}`"].cast("long") == bad["__bad"], "left_anti")

@@ -151,7 +151,7 @@ def _ask(chunk: Chunk, number: int, buckets: int) -> pa.Table:
     place = (seed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     used, at = np.unique(place[order], return_index=True)
-    cut = list(zip(at, np.append(at[1:], len(order)), strict=True))
+    cut = list(zip(at, np.append(at, len(order))[1:], strict=True))
     return pa.table({
         "bucket": pa.array(used, pa.int32()),
         "chunk": pa.array([number] * len(used), pa.int64()),

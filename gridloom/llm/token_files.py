@@ -128,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             yield flush()
 
     source = documents(docs, id_col, text_col).withColumn("turn", F.xxhash64("text"))
-    parts = groups_for(input_bytes(docs), 16 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = groups_for(input_bytes(docs, text_col), 16 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = source.repartitionByRange(parts, "doc_id", "turn").sortWithinPartitions("doc_id", "turn").select("doc_id", "text")
     ordered.mapInArrow(run, SHARD).write.option("compression", "none").parquet(path)
 
