@@ -10,7 +10,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.guards import sigmoid
@@ -57,19 +57,27 @@ def water_amplitudes(ndwi: Column, mndwi: Column, awei: Column) -> tuple[list[Co
     return [parts[0][i >> 2 & 1] * parts[1][i >> 1 & 1] * parts[2][i & 1] for i in range(8)], angle[2]
 
 
-def water_probability(ndwi: Column, mndwi: Column, awei: Column) -> tuple[Column, Column]:
-    """Probability of water (the first two states) and confidence (the largest probability), from weighted indices."""
+def with_water_probability(df: DataFrame, ndwi: Column, mndwi: Column, awei: Column) -> DataFrame:
+    """df with water (probability of the first two states) and confidence (the largest probability), from weighted indices.
+
+    Amplitudes and probabilities are columns of their own in two steps, so each is computed once and
+    everything stays in generated code.
+    """
     psi, phase = water_amplitudes(ndwi, mndwi, awei)
     u = water_circuit()
-    state = F.array(*psi)
-
-    def probability(k: int, s: Column) -> Column:
-        turned = float(u[k, 0]) * s[0] + float(u[k, 1]) * s[1]
-        rest = sum((float(u[k, j]) * s[j] for j in range(2, 8)), F.lit(0.0))
-        return F.pow(turned * F.cos(phase) + rest, F.lit(2.0)) + F.pow(turned * F.sin(phase), F.lit(2.0))
-
-    probabilities = F.transform(F.array(state), lambda s: F.array(*[probability(k, s) for k in range(8)]))[0]
-    return probabilities[0] + probabilities[1], F.array_max(probabilities)
+    angle = F.col("__angle")
+    state = [F.col(f"__s{i}") for i in range(8)]
+
+    def probability(k: int) -> Column:
+        turned = float(u[k, 0]) * state[0] + float(u[k, 1]) * state[1]
+        rest = sum((float(u[k, j]) * state[j] for j in range(3, 8)), float(u[k, 2]) * state[2])
+        real, imaginary = turned * F.cos(angle) + rest, turned * F.sin(angle)
+        return real * real + imaginary * imaginary
+
+    with_states = df.withColumns({"__angle": phase} | {f"__s{i}": c for i, c in enumerate(psi)})
+    with_chances = with_states.withColumns({f"__p{k}": probability(k) for k in range(8)})
+    chances = [F.col(f"__p{k}") for k in range(8)]
+    return with_chances.withColumns({"water": chances[0] + chances[1], "confidence": F.greatest(*chances)}).drop("__angle", *[f"__s{i}" for i in range(8)], *[f"__p{i}" for i in range(8)])
 
 
 def class_probabilities(latent: Column, classes: int = 8) -> Column:

@@ -37,8 +37,8 @@ def water_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Water probability and confidence of the three-qubit encoder."""
     ndwi, mndwi = spectral.difference(C("green"), C("nir")), spectral.difference(C("green"), C("swir1"))
     awei = spectral.awei_sh(C("green"), C("nir"), C("swir1"), C("swir2"))
-    water, sure = encoders.water_probability(0.3 * ndwi, 0.35 * mndwi, 0.35 * awei)
-    return fx.obs(spark, sf_dir).select(*fx.OBS_KEY, r6(water).alias("water"), F.round(sure, 6).alias("confidence"))
+    df = encoders.with_water_probability(fx.obs(spark, sf_dir), 0.3 * ndwi, 0.35 * mndwi, 0.35 * awei)
+    return df.select(*fx.OBS_KEY, r6(C("water")).alias("water"), F.round("confidence", 6).alias("confidence"))
 
 
 @REGISTRY.query("m10_class_encoder")

@@ -121,9 +121,8 @@ def test_rings(spark):
 def test_encoder_circuits_are_unitary(spark):
     for u in (encoders.water_circuit(), encoders.class_circuit()):
         assert np.allclose(u @ u.T, np.eye(len(u)))
-    water, sure = encoders.water_probability(C("a"), C("b"), C("c"))
     rows = [(0.5, 0.3, 0.1), (-0.9, -0.5, -2.0), (0.0, None, None)]
-    got = values(spark, rows, "a double, b double, c double", water, sure)
+    got = encoders.with_water_probability(spark.createDataFrame(rows, "a double, b double, c double"), C("a"), C("b"), C("c")).select("water", "confidence").collect()
     for (a, b, c), (w, s) in zip(rows, got, strict=True):
         t = [(1 - a) / 2 * math.pi, (1 - (b or 0)) / 2 * math.pi, (1 - 1 / (1 + math.exp(-(c or 0)))) * math.pi]
         psi = np.kron(np.kron(*[[math.cos(x / 2), math.sin(x / 2)] for x in t[:2]]), [math.cos(t[2] / 2), math.sin(t[2] / 2)]).astype(complex)
