@@ -39,8 +39,8 @@ class JoinRules:
     recall: float = 0.9999
     rows: int = 5
     #: Nodes and bytes of n-gram hashes in a block of a component; a tile is two blocks.
-    block_nodes: int = 2048
-    block_bytes: int = 16 << 20
+    block_nodes: int = 512
+    block_bytes: int = 8 << 20
 
     @property
     def bands(self) -> int:
