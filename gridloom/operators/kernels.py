@@ -6,11 +6,13 @@ each tile's dense array, and keeps the inner cells. A tile's size bounds what on
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.operators.raster import halo_tiles
 
@@ -163,3 +165,70 @@ def bicubic_up(grid: np.ndarray, factor: int) -> np.ndarray:
         return sum(weight(at - base - o)[:, None] * x[np.clip(base + o, 0, len(x) - 1)] for o in (-1, 0, 1, 2))
 
     return along(along(grid).T).T
+
+
+def peaks(grid: np.ndarray, apart: int, least: float) -> list[tuple[int, int]]:
+    """Cells that are the largest within `apart` of themselves and above a bound; the first of equal neighbours."""
+    best = _extreme(grid, [(r, c) for r in range(-apart, apart + 1) for c in range(-apart, apart + 1)], np.max, -np.inf)
+    out: list[tuple[int, int]] = []
+    for r, c in np.argwhere((grid == best) & (grid > least)).tolist():
+        if all(max(abs(r - y), abs(c - x)) > apart for y, x in out):
+            out.append((r, c))
+    return out
+
+
+def crowns(sigma: float = 1.0, apart: int = 3, least: float = 0.3) -> Kernel:
+    """Crown numbers (0 is none): a watershed that floods a smoothed grid from its peaks, highest cells first."""
+
+    def run(grid: np.ndarray) -> np.ndarray:
+        smooth = gaussian(sigma)(grid)
+        label = np.zeros(grid.shape, int)
+        queue: list[tuple[float, int, int, int]] = []
+        for i, (r, c) in enumerate(peaks(smooth, apart, least), 1):
+            heapq.heappush(queue, (-smooth[r, c], i, r, c))
+        while queue:
+            _, i, r, c = heapq.heappop(queue)
+            if label[r, c]:
+                continue
+            label[r, c] = i
+            for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                if 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1] and not label[y, x] and smooth[y, x] > least:
+                    heapq.heappush(queue, (-smooth[y, x], i, y, x))
+        return label.astype(float)
+
+    return run
+
+
+def superpixels(side: int = 8, compactness: float = 10.0, rounds: int = 5) -> Kernel:
+    """Segment numbers by k-means over value and place, each centre within reach of its neighbourhood."""
+
+    def run(grid: np.ndarray) -> np.ndarray:
+        filled = np.nan_to_num(grid, nan=float(np.nanmean(grid)) if not np.isnan(grid).all() else 0.0)
+        h, w = filled.shape
+        rows, cols = np.meshgrid(np.arange(side // 2, max(h, side // 2 + 1), side), np.arange(side // 2, max(w, side // 2 + 1), side), indexing="ij")
+        centre = np.stack([rows.ravel().clip(0, h - 1), cols.ravel().clip(0, w - 1)], axis=1).astype(float)
+        value = filled[centre[:, 0].astype(int), centre[:, 1].astype(int)]
+        label = np.zeros((h, w), int)
+        for _ in range(rounds):
+            best = np.full((h, w), np.inf)
+            for k, ((r, c), v) in enumerate(zip(centre, value, strict=True)):
+                y0, y1, x0, x1 = max(int(r) - side, 0), int(r) + side + 1, max(int(c) - side, 0), int(c) + side + 1
+                yy, xx = np.ogrid[y0 : min(y1, h), x0 : min(x1, w)]
+                d = (filled[y0:y1, x0:x1] - v) ** 2 + (compactness / side) ** 2 * ((yy - r) ** 2 + (xx - c) ** 2)
+                closer = d < best[y0:y1, x0:x1]
+                best[y0:y1, x0:x1][closer] = d[closer]
+                label[y0:y1, x0:x1][closer] = k
+            count = np.bincount(label.ravel(), minlength=len(centre))
+            used = count > 0
+            for target, weight in ((value, filled), (centre[:, 0], np.indices((h, w))[0]), (centre[:, 1], np.indices((h, w))[1])):
+                target[used] = np.bincount(label.ravel(), weight.ravel().astype(float), len(centre))[used] / count[used]
+        return label.astype(float) + 1
+
+    return run
+
+
+def label_tiles(df: DataFrame, value: str, kernel: Kernel, size: int, result: str) -> DataFrame:
+    """Like apply_tiles() without a halo, for kernels that number segments: a number is made unique by its tile."""
+    tiles = apply_tiles(df, value, kernel, 0, size, result)
+    tile = F.floor(F.col("row") / size).cast("long") * 1_000_000 + F.floor(F.col("col") / size).cast("long")
+    return tiles.select("row", "col", F.when(F.col(result) > 0, tile * 1_000_000 + F.col(result).cast("long")).otherwise(0).alias(result))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def _assembled(columns: list[str]) -> VectorAssembler:
@@ -82,3 +84,80 @@ def logistic_growth(years: list[float], shares: list[float], steps: int = 100) -
             damp *= 4
     total = ((y - y.mean()) ** 2).sum()
     return float(p[0]), float(p[1]), float(p[2]), float(1 - ((y - model(p)) ** 2).sum() / total) if total else 0.0
+
+
+def fidelity_svm(df: DataFrame, amplitudes: list[str], label: str, rounds: int = 50) -> PipelineModel:
+    """A support vector machine with the kernel <a, b>**2 of real states.
+
+    The kernel is the product of outer products, so a linear machine over the pairwise products of the
+    amplitudes is exact, and needs no kernel matrix and no bound on the training rows.
+    """
+    pairs = [(i, j) for i in range(len(amplitudes)) for j in range(i, len(amplitudes))]
+    products = SQLTransformer(statement="SELECT *, " + ", ".join(f"`{amplitudes[i]}` * `{amplitudes[j]}` * {1.0 if i == j else 2**0.5!r} AS __k{n}" for n, (i, j) in enumerate(pairs)) + " FROM __THIS__")
+    return Pipeline(stages=[products, _assembled([f"__k{n}" for n in range(len(pairs))]), LinearSVC(featuresCol="__features", labelCol=label, maxIter=rounds, standardization=False)]).fit(df)
+
+
+class Circuit:
+    """A circuit of n qubits: inputs as rotations, then layers of rotations and a ring of controlled flips; gives the Z expectation of each qubit.
+
+    Rotations and flips are real, so states are real vectors, and many rows are one matrix.
+    """
+
+    def __init__(self, qubits: int = 8, layers: int = 3, seed: int = 42):
+        self.qubits, self.layers = qubits, layers
+        self.theta = np.random.default_rng(seed).uniform(0, 2 * np.pi, (layers, qubits))
+        order = np.arange(2**qubits)
+        for q in range(qubits):
+            order = np.where(order >> q & 1, order ^ (1 << (q + 1) % qubits), order)
+        self._flips = order  # where the amplitude of each state goes
+        self._signs = 1.0 - 2.0 * (np.arange(2**qubits)[:, None] >> np.arange(qubits) & 1)
+
+    def _rotate(self, states: np.ndarray, qubit: int, angle: np.ndarray | float) -> np.ndarray:
+        s = states.reshape(len(states), -1, 2, 2**qubit)
+        c, d = np.cos(np.asarray(angle) / 2).reshape(-1, 1, 1), np.sin(np.asarray(angle) / 2).reshape(-1, 1, 1)
+        return np.stack([c * s[:, :, 0] - d * s[:, :, 1], d * s[:, :, 0] + c * s[:, :, 1]], axis=2).reshape(len(states), -1)
+
+    def expectations(self, angles: np.ndarray, theta: np.ndarray | None = None) -> np.ndarray:
+        """rows x qubits values in [-1, 1] for rows of input angles."""
+        theta = self.theta if theta is None else theta
+        states = np.zeros((len(angles), 2**self.qubits))
+        states[:, 0] = 1
+        for q in range(self.qubits):
+            states = self._rotate(states, q, angles[:, q])
+        for layer in theta:
+            for q in range(self.qubits):
+                states = self._rotate(states, q, layer[q])
+            moved = np.empty_like(states)
+            moved[:, self._flips] = states
+            states = moved
+        return states**2 @ self._signs
+
+    def fit(self, angles: np.ndarray, labels: np.ndarray, steps: int = 30, rate: float = 0.05) -> "Circuit":
+        """Train on a bounded sample of labelled rows (0/1): the first qubit's expectation against the label, by shifted parameters and Adam."""
+        target, m, v = 1.0 - 2.0 * labels, np.zeros_like(self.theta), np.zeros_like(self.theta)
+        for step in range(1, steps + 1):
+            miss = self.expectations(angles)[:, 0] - target
+            slope = np.empty_like(self.theta)
+            for at in np.ndindex(self.theta.shape):
+                shift = np.zeros_like(self.theta)
+                shift[at] = np.pi / 2
+                slope[at] = (miss * (self.expectations(angles, self.theta + shift)[:, 0] - self.expectations(angles, self.theta - shift)[:, 0])).mean()
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            self.theta = self.theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return self
+
+    def apply(self, df: DataFrame, column: str, name: str = "expectations") -> DataFrame:
+        """df with the expectations of an array column of angles."""
+
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series(list(self.expectations(np.array([np.asarray(x, float)[: self.qubits] for x in values]).reshape(len(values), self.qubits)))) if len(values) else pd.Series([], dtype=object)
+
+        return df.withColumn(name, pandas_udf(run, "array<double>")(F.col(column)))
+
+
+def noisy_samples(df: DataFrame, key: list[str], column: str, samples: int = 8, sigma: float = 0.02, seed: int = 42) -> DataFrame:
+    """df once for each sample, with the column disturbed by normal noise; sample 0 is clean. The noise follows from a hash of the key, so every run gives the same."""
+    draw = lambda part: (F.pmod(F.xxhash64(*key, F.col("sample"), F.lit(seed + part)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * np.pi * draw(1))
+    spread = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return spread.withColumn(column, F.when(F.col("sample") == 0, F.col(column)).otherwise(F.col(column) + sigma * normal))

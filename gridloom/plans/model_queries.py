@@ -162,3 +162,37 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event-time windows with a watermark."""
     out = monitor.drain(monitor.windowed_counts(monitor.stream_table(spark, sf_dir, "events"), "ts", "1 day", "2 days", ["event_type"]))
     return out.select(F.to_date(C("window.start")).alias("day"), "event_type", "n")
+
+
+@REGISTRY.query("m4_crowns")
+def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crowns of a canopy surface and their areas, three cells at least."""
+    d = fx.dem(spark, sf_dir).withColumn("v", (C("z") % 100) / 100)
+    labels = kernels.label_tiles(d, "v", kernels.crowns(), 64, "crown")
+    return labels.filter("crown > 0").groupBy("crown").agg(F.count(F.lit(1)).alias("area")).filter("area >= 3")
+
+
+@REGISTRY.query("m7_superpixels")
+def superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.label_tiles(fx.dem(spark, sf_dir), "z", kernels.superpixels(8), 64, "segment")
+
+
+@REGISTRY.query("m11_circuit")
+def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations of an eight-qubit circuit over scaled features."""
+    scaled = learning.angles(_features(spark, sf_dir), _F8)
+    return learning.Circuit().apply(scaled, "angles").select("vec_id", F.transform("expectations", lambda x: F.round(x, 6)).alias("z"))
+
+
+@REGISTRY.query("m12_fidelity_svm")
+def fidelity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _features(spark, sf_dir)
+    return learning.fidelity_svm(d, _F8, "y", 10).transform(d).select("vec_id", C("prediction").cast("int").alias("predicted"))
+
+
+@REGISTRY.query("a36_noise_samples")
+def noise_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the water probability over eight disturbed samples."""
+    s = learning.noisy_samples(fx.obs(spark, sf_dir), fx.OBS_KEY, "green")
+    w = encoders.with_water_probability(s, 0.3 * spectral.difference(C("green"), C("nir")), F.lit(0.0), F.lit(0.0))
+    return w.groupBy(*fx.OBS_KEY).agg(F.round(F.avg("water"), 6).alias("mean"), F.round(F.stddev_pop("water"), 6).alias("std"))

@@ -212,3 +212,50 @@ def test_learning_accuracy(spark):
     assert len(learning.reduce(df, ["green", "nir"], 1).first().reduced) == 1
     angles = [r.angles for r in learning.angles(df, ["green", "nir"]).collect()]
     assert np.min(angles) == 0 and np.max(angles) == pytest.approx(np.pi)
+
+
+def test_crowns_and_superpixels():
+    r, c = np.indices((30, 30))
+    bumps = np.exp(-((r - 8) ** 2 + (c - 8) ** 2) / 20) + np.exp(-((r - 20) ** 2 + (c - 21) ** 2) / 20)
+    label = kernels.crowns()(bumps)
+    assert set(np.unique(label)) == {0, 1, 2} and label[8, 8] != label[20, 21] and label[0, 29] == 0
+    halves = np.where(c < 15, 0.0, 100.0)
+    seg = kernels.superpixels(8, 1.0)(halves)
+    assert not set(seg[:, :15].ravel()) & set(seg[:, 15:].ravel())
+
+
+def test_circuit_by_full_matrices():
+    c = learning.Circuit(3, 2)
+    x = np.random.default_rng(4).uniform(0, np.pi, (5, 3))
+    ry = lambda t: np.array([[np.cos(t / 2), -np.sin(t / 2)], [np.sin(t / 2), np.cos(t / 2)]])
+    each = lambda t: np.kron(np.kron(ry(t[2]), ry(t[1])), ry(t[0]))  # noqa: E731  qubit 0 is the lowest bit
+    ring = np.eye(8)
+    for q in range(3):
+        m = np.zeros((8, 8))
+        for i in range(8):
+            m[i ^ (1 << (q + 1) % 3) if i >> q & 1 else i, i] = 1
+        ring = m @ ring
+    for row, got in zip(x, c.expectations(x), strict=True):
+        s = each(row)[:, 0]
+        for t in c.theta:
+            s = ring @ each(t) @ s
+        assert np.allclose(got, [sum(s[i] ** 2 * (-1 if i >> q & 1 else 1) for i in range(8)) for q in range(3)])
+    y = (x[:, 0] > 1.5).astype(float)
+    before = ((c.expectations(x)[:, 0] - (1 - 2 * y)) ** 2).mean()
+    assert ((c.fit(x, y, 15, 0.1).expectations(x)[:, 0] - (1 - 2 * y)) ** 2).mean() < before
+
+
+def test_fidelity_kernel_separates_circles(spark):
+    rng = np.random.default_rng(6)
+    t = rng.uniform(0, 2 * np.pi, 300)
+    y = (np.cos(t) ** 2 > 0.5).astype(float)
+    df = spark.createDataFrame([(float(np.cos(a)), float(np.sin(a)), float(b)) for a, b in zip(t, y, strict=True)], "a double, b double, y double")
+    out = learning.fidelity_svm(df, ["a", "b"], "y").transform(df)
+    assert out.filter("prediction = y").count() / 300 > 0.95
+
+
+def test_noise_is_the_same_each_time(spark):
+    df = spark.createDataFrame([(i, 0.5) for i in range(200)], "id int, v double")
+    a, b = (sorted(map(tuple, learning.noisy_samples(df, ["id"], "v", 8, 0.1).collect())) for _ in range(2))
+    v = np.array([x[1] for x in a if x[2] > 0])
+    assert a == b and all(x[1] == 0.5 for x in a if x[2] == 0) and abs(v.mean() - 0.5) < 0.01 and abs(v.std() - 0.1) < 0.01
