@@ -30,7 +30,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-@REGISTRY.query("op4_jaccard_join")
+@REGISTRY.query("op4_jaccard_join", jaccard_join.oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -58,11 +58,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-@REGISTRY.query("op9_quality_rules")
+@REGISTRY.query("op9_quality_rules", quality.oracle())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("op10_lz_dedup")
+@REGISTRY.query("op10_lz_dedup", lz_dedup.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_dedup.digests(lz_dedup.remove_repeats(table(spark, sf_dir, "documents")))

@@ -109,3 +109,16 @@ def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", tex
 
 def digests(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle(words: int = 13) -> str:
+    """digests() of the table documents in DuckDB's SQL."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + {words - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {words - 2})) AS i FROM d)),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT g.doc_id, unnest(range(i, i + {words})) AS pos FROM g JOIN f USING (gram) WHERE first < g.doc_id)),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+k AS (SELECT w.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE gone.pos IS NULL) AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos GROUP BY 1)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

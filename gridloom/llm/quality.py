@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, staged, utf8_of
+from gridloom.llm.common import staged, utf8_of
 
 # Common words by language.
 COMMON_WORDS = {
@@ -189,3 +189,37 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str
     bad = judge(docs, rules, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
     told = docs.filter(F.col(f"`{id_col}`").isNotNull())
     return told.join(bad, told[f"`{id_col}`"].cast("long") == bad["__bad"], "left_anti")
+
+
+def oracle(rules: QualityRules = QualityRules()) -> str:
+    """judge() of the table documents in DuckDB's SQL."""
+    widest = max(map(len, COMMON_WORDS.values())) + 1
+    patterns = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "blank": r" \x09-\x0D", "symbol": "#*$%&|<>", "control": r"\x00-\x08\x0E-\x1F\x7F"}
+    count = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+    ascii_all = r"length(regexp_replace(t, '[^\x00-\x7F]', '', 'g'))"
+    counts = [f"{ascii_all} - " + " - ".join(count(c) for c in patterns.values()) if n == "punctuation" else f"length(t) - {ascii_all}" if n == "beyond_ascii" else count(patterns[n]) for n in CLASSES]
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
+    median = lambda column, i: f"coalesce(quantile_cont(round({column}[{i + 1}] * 1000 / nullif(list_sum({column}), 0)::DOUBLE), 0.5), 0)"
+
+    def distance(a: str, b: str) -> str:
+        p, q = (f"coalesce({x}[i] / nullif(list_sum({x}), 0)::DOUBLE, 0)" for x in (a, b))
+        term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+        shares = f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN list_sum(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {term(p)} + {term(q)})) / 2 ELSE 0 END"
+        return f"sqrt(greatest({shares}, 0))"
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(repr(x) for x in COMMON_WORDS)}) THEN lang ELSE 'other' END AS lang, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS words FROM documents),
+c AS (SELECT *, len(words) AS n_words, length(t) AS n_chars, [{", ".join(counts)}] AS classes, CASE lang {lists} ELSE []::VARCHAR[] END AS listed,
+  list_transform(words, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS low FROM d),
+m AS (SELECT *, list_concat(list_transform(listed, lambda x: len(list_filter(low, lambda w: w = x))), [len(list_filter(low, lambda w: NOT list_contains(listed, w)))]) AS common FROM c),
+refs AS (SELECT lang, [{", ".join(median("classes", i) for i in range(len(CLASSES)))}] AS rc, [{", ".join(median("common", i) for i in range(widest))}] AS rw FROM m GROUP BY 1),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, sum(n - 1)::BIGINT AS n FROM (SELECT doc_id, line, count(*) AS n FROM line WHERE regexp_matches(line, '[^ \\x09-\\x0D]') GROUP BY 1, 2) GROUP BY 1),
+gram AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM gram JOIN (SELECT doc_id, g FROM gram GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, g)) GROUP BY 1),
+j AS (SELECT m.doc_id, n_words, n_chars, n_chars - classes[{CLASSES.index("blank") + 1}] AS word_chars, classes[{CLASSES.index("symbol") + 1}] AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  {distance("classes", "rc")} AS cd, {distance("common", "rw")} AS wd FROM m JOIN refs USING (lang) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words OR (n_chars >= {rules.min_class_chars} AND cd > {rules.max_class_distance}::DOUBLE) OR (n_words >= {rules.min_both_words} AND cd > {rules.both_class_distance}::DOUBLE AND wd > {rules.both_word_distance}::DOUBLE)) AS kept,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j
+"""

@@ -1,6 +1,10 @@
 """The pipeline's stages on a small corpus, against the operators' brute-force versions."""
 
+import os
+
+import duckdb
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -8,6 +12,8 @@ from gridloom.llm import catalog, quality
 from tests.llm.test_dedup import line_brute
 from tests.llm.util import SCHEMA, corpus, jaccard_classes
 
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-duplicate removal", "benchmark decontamination", "piece encoding"]
@@ -51,3 +57,15 @@ def test_stages_take_nulls_and_empty_tables(spark, tmp_path):
         docs = spark.createDataFrame(rows, SCHEMA)
         for name, stage in corpus_pipeline.STAGES:
             assert len(stage(spark, docs, str(tmp_path)).collect()) in (0, len(rows)), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(catalog.REGISTRY.oracles))
+def test_query_equals_oracle(spark, name):
+    con = duckdb.connect()
+    con.sql("SET threads = 2")
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    plain = lambda v: None if v is None or v != v else round(v, 5) if isinstance(v, float) else str(v)[:10] if hasattr(v, "year") else v
+    rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
+    assert rows(catalog.REGISTRY.queries[name](spark, SF).toPandas()) == rows(con.sql(catalog.REGISTRY.oracles[name]).df())
