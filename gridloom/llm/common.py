@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables staged by this process.
+_STAGED: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,10 +34,21 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged; results that still read them must have been written. Gives their number."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return count
+
+
 def input_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Catalyst's size estimate of a frame, which for a file scan follows the size of its files; where it has none, the bytes of the text."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -80,3 +95,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 def documents(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The columns an operator needs under fixed names, so that clashing extra columns do no harm."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(c) for c in more])
+
+
+def join_by_count(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n", share: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of their distinct keys, which counts the rows of each key.
+
+    A key may hold a large part of all rows. Keys of more than 1/share of the total are fewer than
+    `share`, so these are broadcast and their rows stay where they are; the other rows are shuffled, and no key of theirs is large.
+    """
+    bound = max(total // share, 1)
+    hot = right.filter(F.col(count) > bound).withColumn("__hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), key, "left")
+    columns = [*left.columns, *[c for c in right.columns if c not in left.columns]]
+    rest = marked.filter(F.col("__hot").isNull()).select(left.columns).join(right.filter(F.col(count) <= bound), key)
+    return marked.filter("__hot").select(columns).unionByName(rest.select(columns))

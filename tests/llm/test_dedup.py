@@ -171,3 +171,16 @@ def test_line_dedup_edges(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.remove_repeats(empty).collect() == [] and lz_dedup.remove_repeats(empty).collect() == []
+
+
+@pytest.mark.parametrize("share", [2, 1000])
+def test_join_by_count_equals_a_join(spark, share):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.common import join_by_count
+
+    left = spark.range(400).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("v"), F.lit(1).alias("n_left"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).filter("k <> 4")
+    got = sorted(map(tuple, join_by_count(left, right, "k", 400, share=share).collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "v", "n_left", "n", "top").collect()))
+    assert join_by_count(left.limit(0), right, "k", 0).collect() == []

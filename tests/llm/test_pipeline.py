@@ -69,3 +69,13 @@ def test_query_equals_oracle(spark, name):
     plain = lambda v: None if v is None or v != v else round(v, 5) if isinstance(v, float) else str(v)[:10] if hasattr(v, "year") else v
     rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
     assert rows(catalog.REGISTRY.queries[name](spark, SF).toPandas()) == rows(con.sql(catalog.REGISTRY.oracles[name]).df())
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from gridloom.llm.common import drop_staged, staged
+
+    df = staged(spark.range(3), "test")
+    assert df.count() == 3 and drop_staged(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+    assert drop_staged(spark) == 0
