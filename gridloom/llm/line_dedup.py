@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import join_by_count, staged
+
 #: A chunk ends after a line in so many, on average.
 LINES_A_CHUNK = 4
 #: A chunk has so many lines at least to be removed.
@@ -68,13 +70,13 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone: the spans (start, n_lines) of each document that occur earlier, by line.
 
     Hashes of chunks meet first; texts of repeated chunks only are compared, each with the first
-    occurrence of its hash. A chunk with a third of all rows is a large key with one row on the
-    other side, which adaptive execution splits.
+    occurrence of its hash. A chunk may hold a third of all rows: hashes meet their counts by
+    join_by_count(), and in the join of texts adaptive execution splits it, as the other side has one row.
     """
     key = F.struct("doc_id", "text_key", "start")
-    marked = chunks(docs).select("doc_id", "text_key", "start", "n_lines", F.xxhash64("chunk").alias("chunk_hash"))
-    first = marked.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1").select("chunk_hash", "first")
-    wanted = marked.join(first, "chunk_hash").select("doc_id", "text_key", F.struct("start", "n_lines", "chunk_hash", (F.col("first") == key).alias("is_first")).alias("w"))
+    marked = staged(chunks(docs).select("doc_id", "text_key", "start", "n_lines", F.xxhash64("chunk").alias("chunk_hash")), "lines")
+    first = marked.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1")
+    wanted = join_by_count(marked, first, "chunk_hash", marked.count()).select("doc_id", "text_key", F.struct("start", "n_lines", "chunk_hash", (F.col("first") == key).alias("is_first")).alias("w"))
     by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("w").alias("wanted"))
     cut = lambda lines: F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk_hash"].alias("chunk_hash"), c["is_first"].alias("is_first"), _text(lines, c).alias("chunk")))
     texts = docs.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), cut)).alias("c")).select("doc_id", "text_key", "c.*")
