@@ -1,8 +1,8 @@
 """Connected components of a graph in a table, by alternating large-star and small-star steps.
 
 Each round is two grouped minimums joined back; edges shrink to stars around the smallest node. A
-node with very many neighbours is a large join key with one row on the other side, which adaptive
-execution splits. The edges of each round are staged in the shared folder.
+node with very many neighbours, as the middle of a star has, is broadcast with its minimum. The
+edges of each round are staged in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged
+from gridloom.llm.common import join_by_count, staged
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges (u, v): each u's larger (large) or other (small) neighbours are tied to its smallest one."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    tied = join_by_count(both, least, "u", total)
     out = tied.filter("v > u").select("v", "m") if large else tied.select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
     return out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for the nodes of edges u, v (integers); roots included."""
     now, mark = staged(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
     while True:
-        now = staged(_star(_star(now, True), False), "edges")
+        total = now.count()
+        now = staged(_star(_star(now, True, 2 * total), False, 2 * total), "edges")
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, pieces, staged, utf8_of
+from gridloom.llm.common import documents, join_by_count, pieces, staged, utf8_of
 from gridloom.llm.components import components
 from gridloom.llm.hashing import Prefix, joined, mix, spread, word_hashes, word_spans
 
@@ -195,8 +195,8 @@ def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_
     described = staged(_describe(source, rules), "minhash")
     nodes = staged(described.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "pivot")
-    ties = banded.join(pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ties = join_by_count(banded, pivots, "bucket", nodes.count() * rules.bands).filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     parts = staged(components(ties), "candidates")
     sized = parts.join(nodes.select("node", "first", "copies", "size"), "node")
     # A component is dealt to blocks by a hash of the node; every pair of blocks is a tile.
@@ -214,7 +214,10 @@ def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_
     smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
     result = named.join(smallest, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     own = described.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(result, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    # Sets of many copies are broadcast with their class, so that their documents stay where they are.
+    told = join_by_count(own.filter("node is not null"), result, "node", own.count(), "n_copies")
+    alone = own.filter("node is null").withColumns({"class_id": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long"), "n_copies": F.lit(None).cast("long")})
+    return told.unionByName(alone).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
