@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, texts_of
+from gridloom.llm.common import join_by_count, staged, texts_of
 
 # The base patterns, in the order of their kinds. A letter of the first stands for either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,14 +107,14 @@ def scan(docs: DataFrame, rules: OwnershipRules, id_col: str, text_col: str, rep
 
 
 def ownership(scanned: DataFrame, rules: OwnershipRules) -> DataFrame:
-    """Distinct repositories and owners of each candidate value: value_hash, n_repos, n_owners, verdict.
+    """Distinct repositories and owners of each candidate value: value_hash, n (spans), n_repos, n_owners, verdict.
 
-    Values are made distinct by repository and owner before they meet, so a value in a third of all
+    Values are counted by repository and owner before they meet, so a value in a third of all
     documents brings a row for each repository and owner, not for each document.
     """
     values = scanned.select("repo", "owner", F.explode(F.concat("base", "extra")).alias("c")).select("repo", "owner", F.col("c.value_hash").alias("value_hash"))
-    held = values.distinct()
-    return held.groupBy("value_hash").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("verdict", F.when(F.col("n_owners") >= rules.example_owners, "example").otherwise("live"))
+    held = values.groupBy("repo", "owner", "value_hash").agg(F.count(F.lit(1)).alias("n"))
+    return held.groupBy("value_hash").agg(F.sum("n").alias("n"), F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("verdict", F.when(F.col("n_owners") >= rules.example_owners, "example").otherwise("live"))
 
 
 def find_secrets(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
@@ -122,8 +122,7 @@ def find_secrets(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), id_c
     scanned = staged(scan(docs, rules, id_col, text_col, repo_col, owner_col), "secrets")
     verdicts = ownership(scanned, rules)
     spans = scanned.select("doc_id", F.explode(F.concat("base", "extra")).alias("c")).select("doc_id", "c.*")
-    # A value of many documents makes a large join key: adaptive execution splits it, as one side has a row for each value.
-    judged = spans.join(verdicts, "value_hash")
+    judged = join_by_count(spans, verdicts, "value_hash", spans.count())
     per_doc = judged.groupBy("doc_id").agg(
         F.collect_list(F.when((F.col("kind") == "live") & (F.col("verdict") == "live"), F.struct("kind", "start", "stop"))).alias("added"),
         F.count_if((F.col("verdict") == "live")).alias("n_live"),
