@@ -21,9 +21,6 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fe.snapshot_diff(a, b, ["type", "id"])
 
 
-_FKEY = "SELECT s_suppkey AS id, round((s_suppkey * 37) % 50 / 7.0::DOUBLE, 6) AS x FROM supplier"
-
-
 @REGISTRY.query("j3_consuming_diff", fx.sql(
     "SELECT coalesce(a.key, b.key) AS key, coalesce(a.turn, b.turn)::INT AS turn, CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN 'unchanged' WHEN b.key IS NOT NULL THEN 'added' ELSE 'removed' END AS status FROM a FULL JOIN b ON a.key = b.key AND a.turn = b.turn",
     a="SELECT DISTINCT s_suppkey * 37 % 50 AS key, 1 AS turn FROM supplier WHERE s_suppkey % 3 <> 0", b="SELECT s_suppkey * 37 % 50 AS key, row_number() OVER (PARTITION BY s_suppkey * 37 % 50 ORDER BY s_suppkey) AS turn FROM supplier WHERE s_suppkey % 4 <> 0"))
@@ -185,8 +182,8 @@ _BAD = "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey *
 
 
 @REGISTRY.query("q7_health_report", fx.sql(
-    "SELECT n, s, c, a FROM (SELECT 'null_geometry' AS n, CASE WHEN count(*) > 0 THEN 'FAILED' ELSE 'PASSED' END AS s, count(*) AS c, coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') AS a FROM b WHERE lon IS NULL UNION ALL SELECT 'extent', CASE WHEN count(*) > 0 THEN 'FAILED' ELSE 'PASSED' END, count(*), coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') FROM b WHERE lon < -180 OR lat < -90 OR lon > 180 OR lat > 90"
-    " UNION ALL SELECT 'encoding', 'PASSED', 0, '' UNION ALL SELECT 'duplicates', CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'PASSED' END, count(*), coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') FROM b WHERE name IN (SELECT name FROM b GROUP BY 1 HAVING count(*) > 1))".replace("SELECT n, s, c, a", "SELECT n AS check_name, s AS status, c AS n_affected, a AS affected"), b=_BAD))
+    "SELECT n AS check_name, s AS status, c AS n_affected, a AS affected FROM (SELECT 'null_geometry' AS n, CASE WHEN count(*) > 0 THEN 'FAILED' ELSE 'PASSED' END AS s, count(*) AS c, coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') AS a FROM b WHERE lon IS NULL UNION ALL SELECT 'extent', CASE WHEN count(*) > 0 THEN 'FAILED' ELSE 'PASSED' END, count(*), coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') FROM b WHERE lon < -180 OR lat < -90 OR lon > 180 OR lat > 90"
+    " UNION ALL SELECT 'encoding', 'PASSED', 0, '' UNION ALL SELECT 'duplicates', CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'PASSED' END, count(*), coalesce(array_to_string(list(id ORDER BY id)[1:20], ','), '') FROM b WHERE name IN (SELECT name FROM b GROUP BY 1 HAVING count(*) > 1))", b=_BAD))
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null geometries, extent, encoding and duplicates, a row each."""
     k = C("c_custkey")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import encoders, scores, spectral
+from gridloom.functions.geo import ring_area
 from gridloom.functions.guards import r6
 from gridloom.operators import geometry, kernels, learning
 from gridloom.plans.registry import Registry
@@ -17,12 +18,12 @@ C = F.col
 
 
 def _encoder_sql() -> str:
-    u = encoders.water_circuit()
+    u = encoders.water_circuit().tolist()
     terms = []
     for k in range(8):
-        turned = f"({u[k, 0]!r} * s0 + {u[k, 1]!r} * s1)"
-        rest = " + ".join(f"({u[k, j]!r}) * s{j}" for j in range(2, 8))
-        terms.append(f"({turned} * cos(a3) + {rest}) ** 2 + ({turned} * sin(a3)) ** 2 AS p{k}".replace("np.float64(", "(").replace("))", "))"))
+        turned = f"(({u[k][0]!r}) * s0 + ({u[k][1]!r}) * s1)"
+        rest = " + ".join(f"({u[k][j]!r}) * s{j}" for j in range(2, 8))
+        terms.append(f"({turned} * cos(a3) + {rest}) ** 2 + ({turned} * sin(a3)) ** 2 AS p{k}")
     states = ", ".join(f"{'sin' if k & 4 else 'cos'}(a1 / 2) * {'sin' if k & 2 else 'cos'}(a2 / 2) * {'sin' if k & 1 else 'cos'}(a3 / 2) AS s{k}" for k in range(8))
     d = lambda a, b: f"CASE WHEN {a} + {b} = 0 THEN 0 ELSE ({a} - {b}) / nullif({a} + {b}, 0) END"
     return fx.sql(
@@ -32,7 +33,7 @@ def _encoder_sql() -> str:
     )
 
 
-@REGISTRY.query("m9_water_encoder", _encoder_sql().replace("(np.float64", "("))
+@REGISTRY.query("m9_water_encoder", _encoder_sql())
 def water_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Water probability and confidence of the three-qubit encoder."""
     ndwi, mndwi = spectral.difference(C("green"), C("nir")), spectral.difference(C("green"), C("swir1"))
@@ -92,8 +93,6 @@ def shape_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("j8_clip", "SELECT id, round(least(w, 2.0) + least(h, 2.5) - 1, 6) AS area FROM (SELECT p_partkey AS id, 2.0::DOUBLE + p_partkey % 7 AS w, 3.0::DOUBLE + p_partkey % 5 AS h FROM part)")
 def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings cut to a rectangle."""
-    from gridloom.functions.geo import ring_area
-
     return geometry.clip_to_box(_rings(spark, sf_dir), "ring", -1.0, -1.0, 2.0, 2.5).select("id", F.round(ring_area(C("ring")), 6).alias("area"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import classes, radiometry, scores, spectral
-from gridloom.functions.guards import r6, ratio
+from gridloom.functions.guards import clip, r6, ratio
 from gridloom.operators import composites as co
 from gridloom.plans.registry import Registry
 from gridloom.sources import fixtures as fx
@@ -165,8 +165,6 @@ def sensor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contrast_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.obs(spark, sf_dir).groupBy(*PX).agg(F.avg("red").alias("m"))
     s = m.agg(F.percentile("m", F.lit(0.02)).alias("lo"), F.percentile("m", F.lit(0.98)).alias("hi"))
-    from gridloom.functions.guards import clip
-
     return m.crossJoin(F.broadcast(s)).select(*PX, r6(F.pow(clip(ratio(C("m") - C("lo"), C("hi") - C("lo")), 0, 1), F.lit(0.85))).alias("shade"))
 
 
@@ -181,8 +179,6 @@ _SERIES = "SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FROM even
 @REGISTRY.query("a22_scene_series", fx.sql(f"SELECT event_type, day, {_r('v AS mean', 'avg(v) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth')} FROM s", s=_SERIES))
 def scene_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means and their centred rolling mean over five scenes."""
-    from pyspark.sql import Window
-
     s = fx.table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
     w = Window.partitionBy("event_type").orderBy("day").rowsBetween(-2, 2)
     return s.select("event_type", "day", r6(C("v")).alias("mean"), r6(F.avg("v").over(w)).alias("smooth"))
@@ -206,7 +202,5 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("a38_stratified_sample", None)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred parts of each brand, chosen by a seeded hash: the same on every run."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("p_brand").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey")
     return fx.table(spark, sf_dir, "part").withColumn("n", F.row_number().over(w)).filter("n <= 100").select("p_brand", "p_partkey")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import classes
 from gridloom.functions.guards import r6
 from gridloom.operators import scenes as sc
+from gridloom.operators.raster import overview, percentile_stretch
 from gridloom.plans.raster_queries import _pad
 from gridloom.plans.registry import Registry
 from gridloom.sources import fixtures as fx
@@ -42,8 +43,6 @@ def sensor_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("o5_finest_scene", fx.sql("SELECT sensor, scene_id, resolution FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY resolution, date DESC, scene_id) AS r FROM s WHERE west <= 0 AND east >= 0) WHERE r = 1", s=_SCENES))
 def finest_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each sensor the scene of the finest resolution, the latest of equals."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("sensor").orderBy("resolution", F.desc("date"), "scene_id")
     return _scenes(spark, sf_dir).filter("west <= 0 and east >= 0").withColumn("r", F.row_number().over(w)).filter("r = 1").select("sensor", "scene_id", "resolution")
 
@@ -161,8 +160,6 @@ def embedding_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("w32_grid_harmonised", fx.sql("SELECT CAST(row // 2 AS INT) AS row, CAST(col // 2 AS INT) AS col, z FROM dem WHERE row % 2 = 0 AND col % 2 = 0 AND row // 2 >= 2 AND col // 2 >= 2 AND col // 2 < 23", "dem"))
 def grid_harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid on a coarser one by its nearest cells, two cells trimmed at the sides."""
-    from gridloom.operators.raster import overview
-
     return overview(fx.dem(spark, sf_dir), 2).filter("row >= 2 and col >= 2 and col < 23")
 
 
@@ -195,8 +192,6 @@ def texture_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pseudo_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretched band, and shadows: cells below the mean by 1.5 deviations."""
     d = fx.dem(spark, sf_dir)
-    from gridloom.operators.raster import percentile_stretch
-
     shaded = sc.shadows(d, "z", 1.5)
     return percentile_stretch(shaded, "z").select("row", "col", F.round("z", 6).alias("green"), F.when(C("shadow"), 0.6).otherwise(0.0).alias("blue"))
 
