@@ -210,12 +210,13 @@ def regions(df: DataFrame, mask: str, eight: bool = False) -> DataFrame:
     labels = staged(labels, "labels")
     both = staged(edges.union(edges.select("v", "u")), "edges")
     while True:
-        told = both.join(labels, F.col("u") == F.col("run")).groupBy(F.col("v").alias("run")).agg(F.min("region").alias("told"))
-        new = labels.join(told, "run", "left").select("run", F.least("region", F.coalesce("told", "region")).alias("region"))
-        # Follow the label of the label: chains shorten by half each round.
-        jump = new.alias("a").join(new.alias("b"), F.col("a.region") == F.col("b.run")).select(F.col("a.run").alias("run"), F.col("b.region").alias("region"))
-        jump = staged(jump, "labels")
-        if jump.join(labels.withColumnRenamed("region", "old"), "run").filter("region <> old").isEmpty():
+        new = labels.select("run", "region", F.col("region").alias("old"))
+        for _ in range(2):  # two steps for each table that is written
+            told = both.join(new, F.col("u") == F.col("run")).groupBy(F.col("v").alias("run")).agg(F.min("region").alias("told"))
+            new = new.join(told, "run", "left").select("run", F.least("region", F.coalesce("told", "region")).alias("region"), "old")
+            # Follow the label of the label: chains shorten by half.
+            new = new.alias("a").join(new.alias("b"), F.col("a.region") == F.col("b.run")).select("a.run", F.col("b.region").alias("region"), "a.old")
+        labels = staged(new, "labels")
+        if labels.filter("region <> old").isEmpty():
             break
-        labels = jump
     return named.join(labels, "run").select("row", "col", "region")
