@@ -21,7 +21,7 @@ import numpy as np
 
 HEAD = struct.Struct("<III")
 BLOCK_IDS = 4096
-#: Blocks that are coded side by side; a block's models take some 80 kB.
+#: Blocks that are coded side by side; a block's models take some 110 kB.
 SIDE_BY_SIDE = 1024
 DIGIT_NODES, ORDER1, ORDER2 = 1024, 2048, 4096
 MOST_CONFIDENT, LIMIT = 15, 1 << 13
@@ -56,22 +56,28 @@ class _Coder:
         self.at = np.zeros(count, np.int64)
 
     def _take(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        low = (self.low[rows] + unit * start) & _MASK
-        width = unit * size
-        while True:
-            same = (low ^ ((low + width) & _MASK)) < _TOP
-            same &= low + width <= _MASK
-            small = ~same & (width < _BOTTOM)
-            move = np.flatnonzero(same | small)
-            if not len(move):
+        low, width = (self.low[rows] + unit * start) & _MASK, unit * size
+        move = np.arange(len(rows))
+        moved, span = low, width
+        while True:  # rows whose top byte is settled, or whose range is too small, shift; few do so twice
+            high = moved + span
+            same = ((moved ^ (high & _MASK)) < _TOP) & (high <= _MASK)
+            small = span < _BOTTOM
+            shift = np.flatnonzero(same | small)
+            if not len(shift):
                 break
-            if small.any():
-                width[small] = (-low[small]) & (_BOTTOM - 1)
-            self._shift(rows[move], low[move])
-            low[move] = (low[move] << 8) & _MASK
-            width[move] <<= 8
+            move, moved, span = move[shift], moved[shift], np.where(same, span, np.where(small, -moved & (_BOTTOM - 1), span))[shift]
+            self._shift(rows[move], moved)
+            moved, span = (moved << 8) & _MASK, span << 8
+            low[move], width[move] = moved, span
         self.low[rows], self.range[rows] = low, width
 
+    def _place(self, rows: np.ndarray, cumulated: np.ndarray, digit: np.ndarray, unit: np.ndarray) -> None:
+        flat = cumulated.ravel()
+        at = np.arange(0, len(flat), 17) + digit
+        start = flat[at].astype(np.int64)
+        self._take(rows, start, flat[at + 1] - start, unit)
+
 
 class _Writer(_Coder):
     def __init__(self, count: int, most: int):
@@ -83,11 +89,8 @@ class _Writer(_Coder):
         self.at[rows] += 1
 
     def digit(self, rows, cumulated, digit):
-        """One of 16 symbols by cumulated counts (rows x 16)."""
-        each = np.arange(len(rows))
-        stop = cumulated[each, digit]
-        start = np.where(digit > 0, cumulated[each, digit - 1], 0)
-        self._take(rows, start, stop - start, self.range[rows] // cumulated[:, 15])
+        """One of 16 symbols by cumulated counts (rows x 17, from 0)."""
+        self._place(rows, cumulated, digit, self.range[rows] // cumulated[:, 16])
         return digit
 
     def flag(self, rows, chance, flag):
@@ -119,12 +122,10 @@ class _Reader(_Coder):
         return np.minimum(((self.code[rows] - self.low[rows]) & _MASK) // np.maximum(unit, 1), total - 1)
 
     def digit(self, rows, cumulated, _):
-        unit = self.range[rows] // cumulated[:, 15]
-        digit = (cumulated <= self._point(rows, unit, cumulated[:, 15])[:, None]).sum(axis=1)
-        each = np.arange(len(rows))
-        stop = cumulated[each, digit]
-        start = np.where(digit > 0, cumulated[each, digit - 1], 0)
-        self._take(rows, start, stop - start, unit)
+        unit = self.range[rows] // cumulated[:, 16]
+        point = self._point(rows, unit, cumulated[:, 16]).astype(np.int32)
+        digit = (cumulated[:, 1:16] <= point[:, None]).sum(axis=1)
+        self._place(rows, cumulated, digit, unit)
         return digit
 
     def flag(self, rows, chance, _):
@@ -134,6 +135,10 @@ class _Reader(_Coder):
         return flag
 
 
+#: What a digit adds to the cumulated counts.
+_STEP = (32 * (np.arange(17) > np.arange(16)[:, None])).astype(np.int32)
+
+
 class _Models:
     """Models of many blocks, and how they code the next id."""
 
@@ -141,7 +146,7 @@ class _Models:
         self.digits = digits
         self.nodes = [min(16**k, DIGIT_NODES) for k in range(digits)]
         self.base = np.concatenate(([0], np.cumsum(self.nodes)))
-        self.counts = np.ones((count * self.base[-1], 16), np.uint16)
+        self.counts = np.tile(np.arange(17, dtype=np.int32), (count * self.base[-1], 1))  # cumulated
         self.next = [np.full(count * size, -1, np.int32) for size in (ORDER1, ORDER2)]
         self.sure = [np.zeros(count * size, np.uint8) for size in (ORDER1, ORDER2)]
         # Chance, to 12 bits, that a prediction of an order and confidence is right.
@@ -150,10 +155,9 @@ class _Models:
 
     def _odds(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Stretched share of the first two digits of ids in the order-0 frequencies."""
-        top = self.counts[rows * self.base[-1]]
-        first = ids >> 4 * (self.digits - 1)
-        each = np.arange(len(rows))
-        share = top[each, first].astype(np.int64) * 4095 // top.sum(axis=1, dtype=np.int64)
+        flat, at = self.counts.ravel(), rows * (self.base[-1] * 17)
+        first = at + (ids >> 4 * (self.digits - 1))
+        share = (flat[first + 1] - flat[first]) * np.int64(4095) // flat[at + 16]
         return STRETCH[share]
 
     def _predicted(self, coder, rows, ids, order, slot, other):
@@ -184,11 +188,11 @@ class _Models:
         for k in range(self.digits):
             node = rows * self.base[-1] + self.base[k] + prefix % self.nodes[k]
             counts = self.counts[node]
-            digit = coder.digit(rows, np.cumsum(counts, axis=1, dtype=np.int64), None if ids is None else (ids >> 4 * (self.digits - 1 - k)) & 15)
-            counts[np.arange(len(rows)), digit] += 32
-            full = counts.sum(axis=1, dtype=np.int64) > LIMIT
-            if full.any():
-                counts[full] = (counts[full] + 1) >> 1
+            digit = coder.digit(rows, counts, None if ids is None else (ids >> 4 * (self.digits - 1 - k)) & 15)
+            counts += _STEP[digit]
+            full = np.flatnonzero(counts[:, 16] > LIMIT)
+            if len(full):
+                counts[full, 1:] = np.cumsum((np.diff(counts[full], axis=1) + 1) >> 1, axis=1)
             self.counts[node] = counts
             prefix = prefix << 4 | digit
         return prefix
@@ -225,7 +229,7 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None, digits: int) -> np.
     """Steps through blocks sorted by falling length; ids by block and step, or None to read them."""
     count, most = len(lengths), int(lengths[0])
     models = _Models(count, digits)
-    out = np.zeros((count, most), np.int64)
+    out = np.zeros((count, most), np.int32)
     before = last = np.zeros(count, np.int64)
     for step in range(most):
         live = int(np.searchsorted(-lengths, -step, "left"))  # blocks of more ids than step
@@ -246,7 +250,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         most = int(lengths[0])
         codes = [b""] * len(part)
         if most:
-            flat = np.zeros((len(part), most), np.int64)
+            flat = np.zeros((len(part), most), np.int32)
             for row, j in enumerate(part):
                 flat[row, : len(blocks[j])] = blocks[j]
             coder = _Writer(len(part), most)
