@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, utf8_of
+from gridloom.llm.common import pieces, staged, utf8_of
 
 # Common words by language.
 COMMON_WORDS = {
@@ -112,7 +112,7 @@ def measure(data: bytes, lang: str | None) -> tuple:
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string()] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
     names = [c.split()[0] for c in HISTOGRAM_SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, "text")):
         langs = [x if x in COMMON_WORDS else "other" for x in batch.column("lang").to_pylist()]
         rows = [measure(data, lang) for data, lang in zip(utf8_of(batch.column("text")), langs, strict=True)]
         columns = [batch.column("doc_id").to_pylist(), langs, *(list(c) for c in zip(*rows, strict=True))] if rows else [[] for _ in names]
