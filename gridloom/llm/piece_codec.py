@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Segments up to this many characters are solved side by side, longer ones one at a time.
 SIDE_BY_SIDE = 40
 #: Entries kept in a worker between batches.
-KEPT_SEGMENTS, KEPT_PAIRS = 250_000, 1_000_000
+KEPT_SEGMENTS, KEPT_PAIRS = 120_000, 300_000
 _NO_PAIR = np.int64(-1)
 
 
