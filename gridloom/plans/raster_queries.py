@@ -188,7 +188,7 @@ _REACH = """WITH RECURSIVE dem AS ({dem}), m AS (SELECT row, col, row * 21474836
 @REGISTRY.query("m1_regions", _REACH.format(dem=fx.SQL["dem"]) + " SELECT m.row, m.col, l.region FROM m JOIN l ON m.id = l.id")
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected regions of a mask; four neighbours."""
-    return ra.regions(_dem(spark, sf_dir).filter("row < 40").withColumn("set", F.floor("z") % 3 != 0), "set").withColumn("region", C("region"))
+    return ra.regions(_dem(spark, sf_dir).withColumn("set", F.floor("z") % 3 != 0), "set").withColumn("region", C("region"))
 
 
 @REGISTRY.query("m2_small_regions", _REACH.format(dem=fx.SQL["dem"]) + " SELECT region, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 4")

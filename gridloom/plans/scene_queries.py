@@ -111,7 +111,7 @@ def shadow_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("m3_region_shapes", fx.sql(
     "SELECT label, area, round(major, 6) AS major, round(minor, 6) AS minor, area >= 4 AND major / greatest(minor, 1.0) > 4 AND minor < 5 AND minor > 0 AS road FROM (SELECT label, area, 4 * sqrt(greatest((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS major, 4 * sqrt(greatest((a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS minor FROM (SELECT label, count(*) AS area, var_pop(row) + 1 / 12.0::DOUBLE AS a, var_pop(col) + 1 / 12.0::DOUBLE AS b, covar_pop(row, col) AS c FROM (SELECT row, col, CAST(col // 3 AS INT) AS label FROM dem WHERE row < 40) GROUP BY 1))", "dem"))
 def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sc.region_shapes(fx.dem(spark, sf_dir).filter("row < 40").withColumn("label", F.floor(C("col") / 3).cast("int")), "label")
+    out = sc.region_shapes(fx.dem(spark, sf_dir).withColumn("label", F.floor(C("col") / 3).cast("int")), "label")
     return out.select("label", "area", F.round("major", 6).alias("major"), F.round("minor", 6).alias("minor"), "road")
 
 
