@@ -73,7 +73,7 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def building_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings from ways and nodes; unknown nodes are skipped, short ways go."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"])
-    ways = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").groupBy(C("l_orderkey").alias("way_id")).agg(ids.alias("node_ids"))
+    ways = fx.table(spark, sf_dir, "lineitem").groupBy(C("l_orderkey").alias("way_id")).agg(ids.alias("node_ids"))
     nodes = fx.table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(C("p_partkey").alias("node_id"), C("p_size").cast("double").alias("x"), C("p_retailprice").alias("y"))
     rings = sc.ordered_rings(ways, nodes)
     digest = F.aggregate(F.transform("ring", lambda p, i: p["x"] * (i + 1)), F.lit(0.0), lambda s, x: s + x)

@@ -41,3 +41,15 @@ def test_regions_of_the_whole_grid(spark, parts):
     small = {r.region: r.n for r in REGISTRY.queries["m2_small_regions"](spark, folder).collect()}
     assert small == {k: n for k, n in sizes.items() if n >= 4} and max(small) >= 40 * 2**31
     assert {r.label: r.area for r in REGISTRY.queries["m3_region_shapes"](spark, folder).collect()} == {i: 60 * len(range(3 * i, min(3 * i + 3, 50))) for i in range(17)}
+
+
+def test_rings_of_all_ways(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("p_partkey"), (1 + F.col("id") % 50).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(way, n, (way + 3 * n) % 100, n) for way in (1, 2999, 3000, 3001, 70000) for n in range(7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for way in {x[0] for x in lines}:
+        known = [p for w, _, p, _ in lines if w == way and p % 5]
+        want[way] = (len(known), float(sum((1 + p % 50) * (i + 1) for i, p in enumerate(known))))
+    got = {r.way_id: (r.n, r.digest) for r in REGISTRY.queries["s21_building_rings"](spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in want.items() if v[0] >= 4} and max(got) == 70000
