@@ -65,7 +65,7 @@ def gauge_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("k14_gauge_report", fx.sql("SELECT d.day, r.site_id, CASE WHEN r.date < d.day THEN 'before' WHEN r.date > d.day THEN 'after' ELSE 'day_of' END AS \"window\", printf('%.2f', r.gage * 1.0007) AS gage_ft, printf('%.2f', r.gage * 0.30501) AS gage_m FROM days d JOIN readings r ON r.date BETWEEN d.day - 1 AND d.day + 1 WHERE r.site_id < 20", "readings", days=_DAYS))
 def gauge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _around(spark, sf_dir).filter("site_id < 20")
+    a = _around(spark, sf_dir)
     return a.select("day", "site_id", "window", F.format_string("%.2f", C("gage") * 1.0007).alias("gage_ft"), F.format_string("%.2f", C("gage") * 0.30501).alias("gage_m"))
 
 

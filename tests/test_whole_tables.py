@@ -53,3 +53,12 @@ def test_rings_of_all_ways(spark, tmp_path):
         want[way] = (len(known), float(sum((1 + p % 50) * (i + 1) for i, p in enumerate(known))))
     got = {r.way_id: (r.n, r.digest) for r in REGISTRY.queries["s21_building_rings"](spark, str(tmp_path)).collect()}
     assert got == {k: v for k, v in want.items() if v[0] >= 4} and max(got) == 70000
+
+
+def test_report_of_all_sites(spark, tmp_path):
+    k = F.col("id")
+    spark.range(300).select((k % 60).alias("user_id"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 7 as int))").alias("ts"), F.lit("purchase").alias("event_type"), (k / 3).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    report = REGISTRY.queries["k14_gauge_report"](spark, str(tmp_path))
+    around = REGISTRY.queries["j5_readings_around_dates"](spark, str(tmp_path))
+    keys = lambda df: sorted(map(tuple, df.select("day", "site_id", "window").collect()))
+    assert keys(report) == keys(around) and {r.site_id for r in report.collect()} == set(range(60))
