@@ -62,3 +62,8 @@ def test_report_of_all_sites(spark, tmp_path):
     around = REGISTRY.queries["j5_readings_around_dates"](spark, str(tmp_path))
     keys = lambda df: sorted(map(tuple, df.select("day", "site_id", "window").collect()))
     assert keys(report) == keys(around) and {r.site_id for r in report.collect()} == set(range(60))
+
+
+def test_all_rings_are_rasterized(spark, parts):
+    want = {k: (2 + k % 7) + (3 + k % 5) - 1 for k in range(N_PARTS)}  # an L of width 1
+    assert {r.id: r.cells for r in REGISTRY.queries["j9_rasterize"](spark, parts[0]).collect()} == want
