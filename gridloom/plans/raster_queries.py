@@ -153,7 +153,7 @@ _TILED = "SELECT * FROM (SELECT d.*, CAST(a.i AS INT) AS tile_row, CAST(b.j AS I
 
 @REGISTRY.query("t2_halo_tiles", fx.sql("SELECT tile_row, tile_col, count(*) AS n, count(*) FILTER (WHERE row // 16 = tile_row AND col // 16 = tile_col) AS n_inner, round(sum(z), 3) AS total FROM t WHERE row < 1600 GROUP BY 1, 2", "dem", t=_TILED))
 def halo_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ra.halo_tiles(_dem(spark, sf_dir).filter("row < 1600"), 16, 4).filter("tile_row < 100 and tile_col < 10")
+    t = ra.halo_tiles(_dem(spark, sf_dir), 16, 4)
     return t.groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"), F.count_if("inner").alias("n_inner"), F.round(F.sum("z"), 3).alias("total"))
 
 
@@ -163,7 +163,7 @@ _BW = lambda x, t: f"CASE WHEN least({x} - {t} * 16 + 4, 19 - ({x} - {t} * 16))
 @REGISTRY.query("a34_blended_mosaic", fx.sql(f"SELECT row, col, round(sum((z + tile_row) * w) / nullif(sum(w), 0), 6) AS z FROM (SELECT *, ({_BW('row', 'tile_row')}) * ({_BW('col', 'tile_col')}) AS w FROM t) GROUP BY 1, 2", "dem", t=_TILED))
 def blended_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles whose values differ a little, blended where they overlap."""
-    t = ra.halo_tiles(_dem(spark, sf_dir), 16, 4).filter("tile_row < 100 and tile_col < 10").withColumn("z", C("z") + C("tile_row"))
+    t = ra.halo_tiles(_dem(spark, sf_dir), 16, 4).withColumn("z", C("z") + C("tile_row"))
     return ra.blend(t, ["z"], 16, 4).select("row", "col", F.round("z", 6).alias("z"))
 
 

@@ -67,3 +67,18 @@ def test_report_of_all_sites(spark, tmp_path):
 def test_all_rings_are_rasterized(spark, parts):
     want = {k: (2 + k % 7) + (3 + k % 5) - 1 for k in range(N_PARTS)}  # an L of width 1
     assert {r.id: r.cells for r in REGISTRY.queries["j9_rasterize"](spark, parts[0]).collect()} == want
+
+
+def test_tiles_of_a_long_grid(spark, tmp_path):
+    rows, cols = 1640, 50
+    spark.range(rows * cols).select(F.col("id").alias("p_partkey"), (F.col("id") % 997).cast("double").alias("p_retailprice"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    span = lambda t, size: range(max(t * 16 - 4, 0), min(t * 16 + 20, size))
+    inner = lambda t, size: len(range(t * 16, min(t * 16 + 16, size)))
+    tiles = lambda size: [t for t in range(size // 16 + 2) if span(t, size)]
+    want = {(a, b): (len(span(a, rows)) * len(span(b, cols)), inner(a, rows) * inner(b, cols)) for a in tiles(rows) for b in tiles(cols)}
+    got = {(r.tile_row, r.tile_col): (r.n, r.n_inner) for r in REGISTRY.queries["t2_halo_tiles"](spark, str(tmp_path)).collect()}
+    assert got == want and max(a for a, _ in got) > 99
+    # Inside a tile, off every halo, a cell has that tile alone: its height and the number of the tile.
+    mosaic = {(r.row, r.col): r.z for r in REGISTRY.queries["a34_blended_mosaic"](spark, str(tmp_path)).collect()}
+    assert len(mosaic) == rows * cols
+    assert all(abs(mosaic[t * 16 + 8, 24] - ((t * 16 + 8) * cols + 24) % 997 - 1 - t) < 1e-5 for t in range(rows // 16))
