@@ -16,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path parts that a pattern may have beside the host.
-PATH_PARTS = 2
 #: A list of at most so many intervals is broadcast (a row is some 200 bytes); a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: Parts that a host's captures are dealt to in a shuffled join.
@@ -48,12 +46,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def patterns_of(url: Column) -> Column:
-    """The patterns a URL falls under: host, parent domains of two labels or more, host with one and two path parts."""
+def patterns_of(url: Column, depth: int) -> Column:
+    """The patterns a URL falls under: host, parent domains of two labels or more, host with up to `depth` path parts."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.slice(F.filter(F.split(F.lower(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))), "/"), lambda p: p != ""), 1, PATH_PARTS)
+    parts = F.slice(F.filter(F.split(F.lower(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))), "/"), lambda p: p != ""), 1, depth)
     deep = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(domains, deep)).otherwise(F.array().cast("array<string>"))
 
@@ -61,13 +59,14 @@ def patterns_of(url: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_on", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each capture: capture_id, url, fetched_on, host, n_active, pattern, list_name, action, kept.
 
-    A list within broadcast_rows, which are counted, meets the captures where they are. A larger one is
+    URLs give patterns as deep as the deepest of the list. A list within broadcast_rows, which are counted, meets the captures where they are. A larger one is
     shuffled by pattern and salt, so that a host with a third of all captures is dealt to many tasks.
     """
     source = captures.select(F.col(f"`{id_col}`").alias("capture_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{time_col}`").alias("fetched_on")).withColumn("host", host_of(F.col("url")))
-    keyed = source.withColumn("pattern", F.explode_outer(patterns_of(F.col("url"))))
     spans = intervals(entries)
-    small = spans.limit(broadcast_rows + 1).count() <= broadcast_rows
+    size = spans.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("pattern", "/")) - 1).alias("depth")).first()
+    keyed = source.withColumn("pattern", F.explode_outer(patterns_of(F.col("url"), size["depth"] or 0)))
+    small = size["n"] <= broadcast_rows
     if small:
         on, right = ["pattern"], F.broadcast(spans)
     else:

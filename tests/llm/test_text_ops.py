@@ -191,3 +191,11 @@ def test_url_filter(spark, bound):
     assert got[5].n_active == 3 and got[7].action == "allow"
     assert all(r.kept for r in url_filter.evaluate(captures, entries.limit(0), broadcast_rows=bound).collect())
     assert url_filter.evaluate(captures.limit(0), entries, broadcast_rows=bound).collect() == []
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_url_filter_matches_deep_paths(spark, bound):
+    entries = spark.createDataFrame([("l", "h.com/a/b/c", "block", date(2024, 1, 1), 1), ("l", "h.com/a/b/c/d/e", "allow", date(2024, 1, 1), 2), ("l", "h.com/a", "allow", date(2024, 1, 1), 3)], "list_name string, pattern string, action string, listed_on date, seq int")
+    urls = {1: "http://h.com/a/b", 2: "http://h.com/a/b/c", 3: "http://h.com/a//b/C/x?q", 4: "http://h.com/a/b/c/d/e/f", 5: "http://h.com/a/b/cc"}
+    got = {r.capture_id: (r.pattern, r.kept) for r in url_filter.evaluate(spark.createDataFrame([(k, u, date(2024, 2, 1)) for k, u in urls.items()], "page_id long, url string, fetched_on date"), entries, broadcast_rows=bound).collect()}
+    assert got == {1: ("h.com/a", True), 2: ("h.com/a/b/c", False), 3: ("h.com/a/b/c", False), 4: ("h.com/a/b/c/d/e", True), 5: ("h.com/a", True)}
