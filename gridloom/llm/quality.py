@@ -182,13 +182,17 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of the documents that the rules keep, with all their columns.
+    """The rows that the rules keep, with all their columns.
 
-    Rows whose id is null can't be told apart and go; rows of one id stay if each of them is kept.
+    Rows of one id stay if each of them is kept; rows whose id is null are decided by themselves, and
+    meet their verdicts by a hash of text and language.
     """
-    bad = judge(docs, rules, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    told = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    return told.join(bad, told[f"`{id_col}`"].cast("long") == bad["__bad"], "left_anti")
+    parts = [F.col(f"`{id_col}`").cast("long"), *[F.col(f"`{c}`").cast("string") for c in (text_col, lang_col)]]
+    key = F.when(parts[0].isNotNull(), F.xxhash64(parts[0])).otherwise(F.xxhash64(*parts[1:], *[p.isNull() for p in parts[1:]]))  # the hash alone skips nulls
+    keyed = docs.select(key.alias("key"), parts[1].alias("text"), parts[2].alias("lang"))
+    bad = judge(keyed, rules, "key", "text", "lang").filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(bad, "key", "left_anti").select("row.*")
 
 
 def oracle(rules: QualityRules = QualityRules()) -> str:

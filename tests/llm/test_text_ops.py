@@ -193,6 +193,15 @@ def test_url_filter(spark, bound):
     assert url_filter.evaluate(captures.limit(0), entries, broadcast_rows=bound).collect() == []
 
 
+def test_quality_decides_rows_without_id_by_themselves(spark):
+    rng = random.Random(2)
+    clean = lambda: " ".join(rng.choice("the of and to in house river walks green paper seldom matters window".split()) + rng.choice(["", "", "s", "ly"]) for _ in range(120))
+    good = [(i, clean(), "en", "s", 1) for i in range(20)] + [(None, clean(), "en", "s", 1), (None, clean(), "en", "t", 1)]
+    bad = [(20, "too short", "en", "s", 1), (None, "short too", "en", "s", 1), (None, None, None, "s", 1)]
+    kept = quality.keep_good(spark.createDataFrame(good + bad + [good[7]], SCHEMA).withColumn("key", F.lit("clash")))
+    assert sorted((tuple(r)[:5] for r in kept.collect()), key=str) == sorted([*good, good[7]], key=str) and kept.columns[5:] == ["key"]
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_url_filter_matches_deep_paths(spark, bound):
     entries = spark.createDataFrame([("l", "h.com/a/b/c", "block", date(2024, 1, 1), 1), ("l", "h.com/a/b/c/d/e", "allow", date(2024, 1, 1), 2), ("l", "h.com/a", "allow", date(2024, 1, 1), 3)], "list_name string, pattern string, action string, listed_on date, seq int")
