@@ -6,8 +6,9 @@ and owners: a value that several owners hold is a widely copied example, one tha
 owner looks live. Random-looking tokens that are live add spans of kind `live`; base spans stay.
 
 Defined results: a null or empty text has no spans; a null repository or owner counts as one of its
-own; repeated rows count once for each repository and owner; rows of one doc_id are scanned each and
-their spans put together per doc_id, so ids should be unique; an empty table gives an empty result.
+own; repeated rows count once for each repository and owner; every row is scanned and answered by
+itself, also rows of one doc_id or of a null id; texts of any length are scanned whole; spans of one
+start stand in the order of their kinds; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +83,15 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-SCAN_SCHEMA = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base array<struct<kind:string,start:long,stop:long,value_hash:long>>, extra array<struct<kind:string,start:long,stop:long,value_hash:long>>"
+SCAN_SCHEMA = "row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base array<struct<kind:string,start:long,stop:long,value_hash:long>>, extra array<struct<kind:string,start:long,stop:long,value_hash:long>>"
 
 
 def scan(docs: DataFrame, rules: OwnershipRules, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """Spans and candidate hashes of each whole text."""
+    """Spans and candidate hashes of each whole text; `row` numbers the rows, for as long as the result is staged."""
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value_hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             counts, base, extra = [], [], []
             for text in texts_of(batch.column("text")):
@@ -98,8 +101,9 @@ def scan(docs: DataFrame, rules: OwnershipRules, id_col: str, text_col: str, rep
                 base.append([{"kind": k, "start": s, "stop": e, "value_hash": _hash(v)} for s, k, e, v in found])
                 taken = [(s, e) for s, _, e, _ in found]
                 extra.append([{"kind": "live", "start": s, "stop": e, "value_hash": _hash(v)} for s, e, v in random_tokens(text, rules) if not any(a < e and s < b for a, b in taken)])
-            arrays = [batch.column("doc_id"), batch.column("repo"), batch.column("owner"), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(3)], pa.array(base, item), pa.array(extra, item)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base", "extra"])
+            arrays = [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column("doc_id"), batch.column("repo"), batch.column("owner"), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(3)], pa.array(base, item), pa.array(extra, item)]
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base", "extra"])
 
     part = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null"))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), part(repo_col).alias("repo"), part(owner_col).alias("owner"))
@@ -118,12 +122,16 @@ def ownership(scanned: DataFrame, rules: OwnershipRules) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """One row for each document: base counts, base spans, all spans, and how many candidates are live or copied."""
+    """One row for each row: base counts, base spans, all spans, and how many candidates are live or copied.
+
+    The scan is staged once, and verdicts come back to the rows by the number that it has written for
+    each, so equal or null ids do no harm.
+    """
     scanned = staged(scan(docs, rules, id_col, text_col, repo_col, owner_col), "secrets")
     verdicts = ownership(scanned, rules)
-    spans = scanned.select("doc_id", F.explode(F.concat("base", "extra")).alias("c")).select("doc_id", "c.*")
+    spans = scanned.select("row", F.explode(F.concat("base", "extra")).alias("c")).select("row", "c.*")
     judged = join_by_count(spans, verdicts, "value_hash", spans.count())
-    per_doc = judged.groupBy("doc_id").agg(
+    per_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("kind") == "live") & (F.col("verdict") == "live"), F.struct("kind", "start", "stop"))).alias("added"),
         F.count_if((F.col("verdict") == "live")).alias("n_live"),
         F.count_if((F.col("verdict") == "example")).alias("n_example"),
@@ -134,6 +142,6 @@ def find_secrets(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), id_c
     joined = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["stop"].cast("string"))), ",")
     return (
         scanned.withColumn("base_spans", base)
-        .join(per_doc, "doc_id", "left")
+        .join(per_row, "row", "left")
         .select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(everything).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
     )
