@@ -5,9 +5,10 @@ language by Jensen-Shannon distance. The references are medians over all documen
 they are corpus statistics; rules of counts (too few words, repeated word windows) stand beside them.
 
 Defined results: a null or empty text has no words and fails the base rule; an unknown or null
-language shares one reference; texts below the length guards are never judged by distance; repeated
-rows are judged each; an empty table gives an empty result; other columns are ignored by judge().
-A null id stays null; documents are judged row by row, so equal ids do no harm.
+language shares one reference; texts below the length guards are never judged by distance; texts of
+any length are measured whole; every row is judged by itself, so repeated rows and equal or null ids
+do no harm; a distance equal to its bound passes; an empty table gives an empty result; other columns
+are not read (judge) or carried (keep_good).
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def _class_table() -> np.ndarray:
 
 CLASS_OF = _class_table()
 WORD_INDEX = {lang: {w.encode(): i for i, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
-HISTOGRAM_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<long>, common array<long>"
+HISTOGRAM_SCHEMA = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<long>, common array<long>"
+HISTOGRAM = dict(zip([c.split()[0] for c in HISTOGRAM_SCHEMA.split(", ")], [pa.string()] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2, strict=True))
 
 
 def repeated_words(words: list[bytes], size: int = 3) -> int:
@@ -94,7 +96,7 @@ def _code_points(data: bytes) -> int:
 
 
 def measure(data: bytes, lang: str | None) -> tuple:
-    """The counts and histograms of one text, as in HISTOGRAM_SCHEMA from n_words on."""
+    """The counts and histograms of one text, as in HISTOGRAM from n_words on."""
     words = data.split()
     classes = np.bincount(CLASS_OF[np.frombuffer(data, np.uint8)], minlength=len(CLASSES) + 1)[: len(CLASSES)]
     index = WORD_INDEX.get(lang or "", {})
@@ -109,20 +111,28 @@ def measure(data: bytes, lang: str | None) -> tuple:
     return len(words), blanks, int(classes[CLASSES.index("symbol")]), repeated_lines(data), repeated_words(words), n_chars, classes.tolist(), common
 
 
-def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string()] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
-    names = [c.split()[0] for c in HISTOGRAM_SCHEMA.split(", ")]
-    for batch in (part for whole in batches for part in pieces(whole, "text")):
-        langs = [x if x in COMMON_WORDS else "other" for x in batch.column("lang").to_pylist()]
-        rows = [measure(data, lang) for data, lang in zip(utf8_of(batch.column("text")), langs, strict=True)]
-        columns = [batch.column("doc_id").to_pylist(), langs, *(list(c) for c in zip(*rows, strict=True))] if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _measured(text: str, lang: str, names: list[str]):
+    """Batches with the counts and histograms put behind the columns of `names`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces(whole, text)):
+            langs = [x if x in COMMON_WORDS else "other" for x in batch.column(lang).to_pylist()]
+            rows = [measure(data, x) for data, x in zip(utf8_of(batch.column(text)), langs, strict=True)]
+            columns = [langs, *(list(c) for c in zip(*rows, strict=True))] if rows else [[] for _ in HISTOGRAM]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(columns, HISTOGRAM.values(), strict=True))], [*names, *HISTOGRAM])
 
-def histograms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and histograms per document; words are runs without ASCII white space."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return source.mapInArrow(_histograms, HISTOGRAM_SCHEMA)
+    return run
+
+
+def histograms(docs: DataFrame, columns: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts and histograms of each row, beside the named columns as c0, c1, ...; words are runs without ASCII white space."""
+    names = [f"c{i}" for i in range(len(columns))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)], *[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang_name"))])
+    # A text that is carried anyway is not sent twice.
+    text = names[columns.index(text_col)] if text_col in columns and source.schema[names[columns.index(text_col)]].dataType.simpleString() == "string" else "text"
+    carried = source.drop("text") if text != "text" else source
+    kinds = {c: source.schema[c].dataType.simpleString() for c in names}
+    return carried.mapInArrow(_measured(text, "lang_name", names), ", ".join([*(f"{c} {k}" for c, k in kinds.items()), HISTOGRAM_SCHEMA]))
 
 
 def references(hists: DataFrame, steps: int = 1000) -> DataFrame:
@@ -160,39 +170,34 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.coalesce(divergence, F.lit(0.0)), F.lit(0.0)))
 
 
-def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each document: counts, both distances, base_failed and the verdict `kept`.
+def _verdicts(docs: DataFrame, rules: QualityRules, columns: list[str], text_col: str, lang_col: str) -> DataFrame:
+    """The named columns as c0, c1, ... with counts, distances and verdict of each row.
 
     The histograms are staged once, as references and verdicts both read them. The references are
     broadcast: at most one row for each known language and one for the rest.
     """
-    hists = staged(histograms(docs, id_col, text_col, lang_col), "quality")
+    hists = staged(histograms(docs, columns, text_col, lang_col), "quality")
     joined = hists.join(F.broadcast(references(hists)), "lang", "left")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     far = ((F.col("n_chars") >= rules.min_class_chars) & (F.col("class_distance") > rules.max_class_distance)) | (
         (F.col("n_words") >= rules.min_both_words) & (F.col("class_distance") > rules.both_class_distance) & (F.col("word_distance") > rules.both_word_distance)
     )
-    return (
-        joined.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes")))
-        .withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common")))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~far)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
-    )
+    measured = joined.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes"))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common")))
+    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row for each row: counts, both distances, base_failed and the verdict `kept`."""
+    found = _verdicts(docs, rules, [id_col], text_col, lang_col)
+    return found.select(F.col("c0").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
-def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that the rules keep, with all their columns.
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that the rules keep, with all their columns; each row is decided by itself.
 
-    Rows of one id stay if each of them is kept; rows whose id is null are decided by themselves, and
-    meet their verdicts by a hash of text and language.
+    Rows carry their columns through the measurement, so no verdict is joined back by an id.
     """
-    parts = [F.col(f"`{id_col}`").cast("long"), *[F.col(f"`{c}`").cast("string") for c in (text_col, lang_col)]]
-    key = F.when(parts[0].isNotNull(), F.xxhash64(parts[0])).otherwise(F.xxhash64(*parts[1:], *[p.isNull() for p in parts[1:]]))  # the hash alone skips nulls
-    keyed = docs.select(key.alias("key"), parts[1].alias("text"), parts[2].alias("lang"))
-    bad = judge(keyed, rules, "key", "text", "lang").filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
-    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(bad, "key", "left_anti").select("row.*")
+    return _verdicts(docs, rules, docs.columns, text_col, lang_col).filter("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle(rules: QualityRules = QualityRules()) -> str:
