@@ -96,7 +96,7 @@ def solve(regions: Regions, plan: Plan) -> list[np.ndarray]:
 def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", **portions: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) for each row; portions as in Plan."""
 
-    def finish(text: bytes, starts: np.ndarray) -> tuple[int, int, str]:
+    def finish(text: bytes, starts: np.ndarray, _: int) -> tuple[int, int, str]:
         own = text.split()
         if not len(starts):
             return len(own), 0, b" ".join(own).decode("utf-8", "replace")

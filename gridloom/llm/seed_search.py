@@ -2,7 +2,8 @@
 
 Documents are dealt to chunks of a few megabytes, and three rounds run over the chunks:
 
-1. Each chunk asks for its distinct seeds; the bucket of a seed answers whether it occurs again.
+1. Each chunk asks for its distinct seeds; the bucket of a seed answers whether it occurs again, and
+   for marks (seeds of shorter windows, where they are wanted) whether another document has it.
 2. Each chunk sends the distinct regions (the symbols of a run of windows) of such seeds; a bucket
    holds all regions of its seeds and decides, by the operator's own method, which of their windows
    occur elsewhere.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import groups_for, input_bytes, utf8_of
 from gridloom.llm.hashing import Prefix, mix, spread
-from gridloom.llm.seeds import Runs, runs
+from gridloom.llm.seeds import Runs, runs_and_marks
 
 DEAD, LIVE, HOT = 0, 1, 2
 #: Symbols that are worked on at a time.
@@ -38,10 +39,14 @@ LAST_ID = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Plan:
-    """What is searched, and in what portions: bytes of the input's files for a chunk and a bucket, and the regions of a seed from which on it is hot."""
+    """What is searched, and in what portions: bytes of the input's files for a chunk and a bucket, and the regions of a seed from which on it is hot.
+
+    near: shorter windows whose seeds are only asked for (marks); 0 for none.
+    """
 
     window: int
     gram: int
+    near: int = 0
     chunk_bytes: int = 2 << 20
     bucket_bytes: int = 4 << 20
     hot_regions: int = 2048
@@ -70,25 +75,33 @@ class Chunk:
         self.texts = list(utf8_of(group.column("text")))
         self.symbols = [symbols_of(t) for t in self.texts]
         parts: list[tuple[Runs, np.ndarray, np.ndarray]] = []
+        marks: list[np.ndarray] = [np.zeros((0, 3), np.uint64)]
         for slab in self._slabs():
             flat = hash_of(np.concatenate([self.symbols[d][a:b] for d, a, b in slab]))
             offsets = np.concatenate(([0], np.cumsum([b - a for _, a, b in slab])))
-            found = runs(flat, offsets, plan.gram, plan.window)
-            parts.append((found, np.array([d for d, _, _ in slab])[found.text], np.array([a for _, a, _ in slab])[found.text] - offsets[found.text]))
+            doc, start = np.array([d for d, _, _ in slab]), np.array([a for _, a, _ in slab])
+            found, near = runs_and_marks(flat, offsets, plan.gram, plan.window, plan.near)
+            parts.append((found, doc[found.text], start[found.text] - offsets[found.text]))
+            marks.append(np.stack([x.astype(np.uint64) for x in (doc[near.text], near.place + start[near.text] - offsets[near.text], near.seed)], axis=1))
         join = lambda pick, kind: np.concatenate([pick(*p) for p in parts]) if parts else np.zeros(0, kind)
         self.doc = join(lambda r, d, s: d, np.int64)
         self.first = join(lambda r, d, s: r.first + s, np.int64)
         self.last = join(lambda r, d, s: r.last + s, np.int64)
         self.seed = join(lambda r, d, s: r.seed, np.uint64)
         self.content = join(lambda r, d, s: r.content, np.uint64)
+        # Parts of a long document overlap, so a mark may be met twice.
+        marked = np.concatenate(marks)
+        order = np.lexsort((marked[:, 1], marked[:, 0]))
+        marked = marked[order][np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(marked[order, :2].view(np.int64), axis=0) != 0).any(axis=1)))]
+        self.mark_doc, self.mark_seed = marked[:, 0].astype(np.int64), marked[:, 2].copy()
 
     def _slabs(self) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, from, to), of SLAB symbols or little more; a long document is cut so that each window start falls to one part."""
         slab, size = [], 0
         for d, own in enumerate(self.symbols):
-            if len(own) < self.plan.window:
+            if len(own) < (self.plan.near or self.plan.window):
                 continue
-            for a in range(0, len(own) - self.plan.window + 1, SLAB):
+            for a in range(0, max(1, len(own) - self.plan.window + 1), SLAB):
                 b = min(a + SLAB + self.plan.window - 1, len(own))
                 if slab and size + b - a > SLAB:
                     yield slab
@@ -98,24 +111,27 @@ class Chunk:
         if slab:
             yield slab
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct seeds, and for each its number of different regions and whether it occurs more than once."""
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct seeds, and notes on each: 1 if several runs have it, 2 if it marks several documents, and from 4 on the number of its different regions."""
+        unique = np.unique(np.concatenate([self.seed, self.mark_seed]))
         order = np.lexsort((self.content, self.seed))
         seed, content = self.seed[order], self.content[order]
-        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
+        at = np.searchsorted(unique, seed)
         fresh = np.concatenate((np.ones(min(1, len(seed)), bool), (seed[1:] != seed[:-1]) | (content[1:] != content[:-1])))
-        if not len(seed):
-            return seed, head, head.astype(bool)
-        return seed[head], np.add.reduceat(fresh.astype(np.int64), head), np.diff(np.append(head, len(seed))) > 1
-
-    def codes(self, answers: dict[int, np.ndarray], buckets: int) -> np.ndarray:
-        """The answer for each run."""
-        unique, back = np.unique(self.seed, return_inverse=True)
+        different, times = np.bincount(at[fresh], minlength=len(unique)), np.bincount(at, minlength=len(unique))
+        pairs = np.unique(np.searchsorted(unique, self.mark_seed) * max(1, len(self.ids)) + self.mark_doc)
+        documents = np.bincount(pairs // max(1, len(self.ids)), minlength=len(unique))
+        return unique, (np.minimum(different, 16383) << 2 | (documents > 1) << 1 | (times > 1)).astype(np.uint16)
+
+    def codes(self, answers: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The answer for each run, and for each document how many of its marks are in other documents too."""
+        unique = np.unique(np.concatenate([self.seed, self.mark_seed]))
         code = np.zeros(len(unique), np.uint8)
         place = (unique % np.uint64(buckets)).astype(np.int64)
         for b, got in answers.items():
             code[place == b] = got
-        return code[back]
+        shared = code[np.searchsorted(unique, self.mark_seed)] >> 2 > 0
+        return code[np.searchsorted(unique, self.seed)] & 3, np.bincount(self.mark_doc[shared], minlength=len(self.ids))
 
     def regions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the live runs: their places, the place in `first` of each one's region, and the runs that stand first for their regions, in order of seed and content."""
@@ -146,8 +162,7 @@ class Chunk:
 
 
 def _ask(chunk: Chunk, number: int, buckets: int) -> pa.Table:
-    seed, different, often = chunk.seeds()
-    notes = (np.minimum(different, 32767).astype(np.uint16) << np.uint16(1)) | often.astype(np.uint16)
+    seed, notes = chunk.asked()
     place = (seed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     used, at = np.unique(place[order], return_index=True)
@@ -164,9 +179,10 @@ def _answer(group: pa.Table, hot_regions: int) -> pa.Table:
     seeds = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("seeds")]
     note = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in group.column("notes")])
     unique, back = np.unique(np.concatenate(seeds), return_inverse=True)
-    times = np.bincount(back, 1 + (note & 1), len(unique))
-    different = np.bincount(back, note >> 1, len(unique))
-    code = np.where(times < 2, DEAD, np.where(different > hot_regions, HOT, LIVE)).astype(np.uint8)[back]
+    different = np.bincount(back, note >> 2, len(unique))
+    times = np.bincount(back, np.where(note > 3, 1 + (note & 1), 0), len(unique))
+    shared = np.bincount(back, 1 + (note >> 1 & 1), len(unique)) >= 2
+    code = (np.where(times < 2, DEAD, np.where(different > hot_regions, HOT, LIVE)) | shared << 2).astype(np.uint8)[back]
     cut = np.concatenate(([0], np.cumsum([len(s) for s in seeds])))
     return pa.table({
         "chunk": group.column("chunk"),
@@ -286,11 +302,11 @@ def search(
     hash_of: Callable[[np.ndarray], np.ndarray],
     dtype: np.dtype,
     solve: Callable[[Regions, Plan], list[np.ndarray]],
-    finish: Callable[[bytes, np.ndarray], tuple],
+    finish: Callable[[bytes, np.ndarray, int], tuple],
     schema: str,
     by_owner: bool,
 ) -> DataFrame:
-    """doc_id and what finish(text, starts of windows that occur elsewhere) gives, for each row of docs (doc_id, text).
+    """doc_id and what finish(text, starts of windows that occur elsewhere, marks that other documents have too) gives, for each row of docs (doc_id, text).
 
     symbols_of cuts a text into symbols of a dtype, hash_of gives their 64-bit hashes; solve decides the
     windows of a bucket's regions. by_owner: a window counts only if it occurs under a smaller id.
@@ -311,7 +327,7 @@ def search(
 
     def send(key, group, replies):
         chunk = Chunk(group, plan, symbols_of, hash_of)
-        return _send(chunk, key[0].as_py(), chunk.codes(read(replies)[0], buckets), buckets)
+        return _send(chunk, key[0].as_py(), chunk.codes(read(replies)[0], buckets)[0], buckets)
 
     def decide(group):
         return _decide(group, plan, dtype, solve, by_owner)
@@ -319,11 +335,12 @@ def search(
     def conclude(key, group, replies):
         chunk = Chunk(group, plan, symbols_of, hash_of)
         answers, got = read(replies)
-        doc, start = _hits(chunk, chunk.codes(answers, buckets), got, buckets, by_owner)
+        code, marked = chunk.codes(answers, buckets)
+        doc, start = _hits(chunk, code, got, buckets, by_owner)
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         cut = np.searchsorted(doc, np.arange(len(chunk.ids) + 1))
-        rows = [(i, *finish(t, start[a:b])) for i, t, a, b in zip(chunk.ids, chunk.texts, cut[:-1], cut[1:], strict=True)]
+        rows = [(i, *finish(t, start[a:b], m)) for i, t, a, b, m in zip(chunk.ids, chunk.texts, cut[:-1], cut[1:], marked.tolist(), strict=True)]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         fields = [("doc_id", pa.int64()), *((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", "))]
         return pa.table([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])

@@ -29,31 +29,48 @@ class Runs:
     text: np.ndarray
 
 
+@dataclass
+class Marks:
+    """Distinct seeds' places of shorter windows: place, hash of the seed, text index."""
+
+    place: np.ndarray
+    seed: np.ndarray
+    text: np.ndarray
+
+
+def _chosen(ranked: np.ndarray, text: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that lie in one text, and the place of each one's seed."""
+    n = len(text) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = sliding_min(ranked, window - gram + 1)[:n]
+    starts = np.flatnonzero(text[:n] == text[window - 1 :])
+    return starts, (least[starts] & _PLACE).astype(np.int64)
+
+
 def runs(symbols: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> Runs:
-    """Runs of all texts; symbols are 64-bit hashes, offsets the texts' starts and the end, by symbol.
+    """Runs of all texts; symbols are 64-bit hashes, offsets the texts' starts and the end, by symbol."""
+    return runs_and_marks(symbols, offsets, gram, window, 0)[0]
+
+
+def runs_and_marks(symbols: np.ndarray, offsets: np.ndarray, gram: int, window: int, near: int) -> tuple[Runs, Marks]:
+    """runs(), and the seeds of windows of `near` symbols if it is not 0.
 
-    The symbols of one call must stay under 2**24; longer texts are cut by the caller with an overlap
-    of window - 1 symbols.
+    Seeds of the longer windows are among those of the shorter ones. The symbols of one call must stay
+    under 2**24; longer texts are cut by the caller with an overlap of window - 1 symbols.
     """
     if len(symbols) >= 1 << 24:
         raise ValueError("too many symbols in one call")
-    if len(symbols) < window:
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     prefix = Prefix(symbols)
     grams = prefix.windows(gram)
     ranked = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    least = (sliding_min(ranked, window - gram + 1) & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    n = len(symbols) - window + 1
-    whole = text[:n] == text[window - 1 :]
-    starts = np.flatnonzero(whole)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
-    place = least[:n][starts]
-    cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1))))
-    first, last = starts[cut], starts[np.concatenate((cut[1:], [len(starts)])) - 1]
+    at = _chosen(ranked, text, gram, near)[1] if near else np.zeros(0, np.int64)
+    at = at[np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1]))]  # places rise with the windows
+    marks = Marks(at, grams[at], text[at])
+    starts, place = _chosen(ranked, text, gram, window)
+    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(starts)), bool), (place[1:] != place[:-1]) | (np.diff(starts) != 1))))
+    first, last = starts[cut], starts[np.append(cut, len(starts))[1:] - 1]
     place = place[cut]
     content = prefix.ranges(first, last + window) ^ ((place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return Runs(first, last, place, grams[place], content, text[first])
+    return Runs(first, last, place, grams[place], content, text[first]), marks

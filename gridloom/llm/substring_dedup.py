@@ -7,7 +7,7 @@ common prefixes are derived by breadth-first backward extension up to the minimu
 Defined results: a null text is empty; matches never cross documents; overlapping occurrences count,
 also in one document; strings are judged on the input, not on what is left; repeated rows and rows of
 equal or null ids are documents of their own; an empty table gives an empty result; other columns are
-not read. Texts are taken as UTF-8 bytes, and what is left of one need not be valid UTF-8, so it is binary.
+not read; texts of any length are worked on whole, in parts that overlap. Texts are taken as UTF-8 bytes, and what is left of one need not be valid UTF-8, so it is binary.
 """
 
 from __future__ import annotations
@@ -67,19 +67,24 @@ def _transform(batch: list[tuple[int, bytes, int]], flags: dict, window: int) ->
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **portions: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary) for each row; portions as in Plan."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), n_shared_seeds, kept (binary) for each row; portions as in Plan.
 
-    def finish(text: bytes, starts: np.ndarray) -> tuple[int, int, int, bytes]:
+    n_shared_seeds tells of passages that other documents have too, but that may be too short to be
+    removed: any 3/4 length bytes in a row hold one of the text's seeds, strings of length/2 bytes, and
+    those which stand in another document are counted. A text that has 3/4 length bytes in a row in common with
+    another one has one at least; a text that has no length/2 bytes in common has none.
+    """
+
+    def finish(text: bytes, starts: np.ndarray, marks: int) -> tuple[int, int, int, int, bytes]:
         if not len(starts):
-            return len(text), 0, 0, text
+            return len(text), 0, 0, marks, text
         gone = covered(starts, starts + length, len(text))
-        return len(text), int(gone.sum()), len(runs_of(gone)[0]), np.frombuffer(text, np.uint8)[~gone].tobytes()
+        return len(text), int(gone.sum()), len(runs_of(gone)[0]), marks, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
-    plan = Plan(window=length, gram=max(1, length // 2), **portions)
-    return search(documents(docs, id_col, text_col), plan, _symbols, _hashes, np.uint8, solve, finish, "n_bytes long, n_removed long, n_spans long, kept binary", by_owner=False)
+    gram = max(1, length // 2)
+    plan = Plan(window=length, gram=gram, near=max(gram, 3 * length // 4), **portions)
+    return search(documents(docs, id_col, text_col), plan, _symbols, _hashes, np.uint8, solve, finish, "n_bytes long, n_removed long, n_spans long, n_shared_seeds long, kept binary", by_owner=False)
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_seeds")
