@@ -97,6 +97,17 @@ def documents(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(c) for c in more])
 
 
+def splittable_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a row for each key (an integer), of which one may hold a large part of all rows.
+
+    What an aggregate on the key has dealt out is joined as it lies, and then a large key stays in one
+    task. Here the inverted key is joined, so both sides are dealt out for the join itself, and adaptive
+    execution splits the rows of a large key over several tasks, each with the key's only row.
+    """
+    inverted = F.bitwise_not(F.col(key))
+    return left.withColumn("__k", inverted).join(right.withColumn("__k", inverted).drop(key), "__k").drop("__k")
+
+
 def join_by_count(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n", share: int = 1000) -> DataFrame:
     """Inner join of rows with a table of their distinct keys, which counts the rows of each key.
 

@@ -2,7 +2,7 @@
 
 Each round is two grouped minimums joined back; edges shrink to stars around the smallest node. A
 node with very many neighbours is a large join key with one row on the other side, which adaptive
-execution splits. The edges of each round are staged in the shared folder.
+execution splits (splittable_join). The edges of each round are staged in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged
+from gridloom.llm.common import splittable_join, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = both.join(least, "u")
+    tied = splittable_join(both, least, "u")
     out = tied.filter("v > u").select("v", "m") if large else tied.select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
     return out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 

@@ -8,10 +8,11 @@ full n-gram sets, in tiles of bounded size when it is large, and a tile returns
 a spanning forest of them, not the pairs.
 
 Defined results: words are runs without ASCII white space, taken as they stand; a text of fewer than
-n words is one n-gram of all its words; a null, empty or blank text has no n-grams, links to nothing
-and is a class of its own; equal sets are linked; rows are judged each, so rows of one doc_id may
-differ, and repeated rows are copies of each other; classes are named by their smallest doc_id; a
-row with a null id takes no part and has a null class; an empty table gives an empty result; other columns are not read (classes) or carried (keep_one).
+n words is one n-gram of all its words; texts of any length are compared whole; a null, empty or blank
+text has no n-grams, links to nothing and is a class of its own; equal sets are linked; rows are judged
+each, so rows of one doc_id may differ, and repeated rows are copies of each other; classes are named by
+their smallest doc_id; a row with a null id takes no part and has a null class; an empty table gives an
+empty result; other columns are not read (classes) or carried (keep_one).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, pieces, staged, utf8_of
+from gridloom.llm.common import documents, pieces, splittable_join, staged, utf8_of
 from gridloom.llm.components import components
 from gridloom.llm.hashing import Prefix, joined, mix, spread, word_hashes, word_spans
 
@@ -76,7 +77,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """doc_id, node (name of the set, null without n-grams), size, bands (hashes, with the band's number in them)."""
+    """doc_id, key, node (name of the set, null without n-grams), size, bands (hashes, with the band's number in them)."""
     draw = np.random.default_rng(20240229)
     factor = draw.integers(1, 1 << 63, rules.bands * rules.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -99,9 +100,9 @@ def _describe(docs: DataFrame, rules: JoinRules) -> DataFrame:
                 lists = [None] * len(texts)
                 for i, own in zip(full.tolist(), _signed(bands.T.copy()).tolist(), strict=True):
                     lists[i] = own
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "node", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, size long, bands array<long>")
 
 
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, common: int = 16, width: int = 2048) -> np.ndarray:
@@ -178,32 +179,35 @@ def _verify(rules: JoinRules):
 
 def _grams(rules: JoinRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "component", "copies", "blocks", "block"]
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = _sets(list(utf8_of(part.column("text"))), rules.n)
-                same = [len(s) > 0 and int(np.uint64(_set_hash(s)).view(np.int64)) == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)]
-                kept = part.filter(pa.array(same, pa.bool_()))
-                names = ["node", "component", "copies", "blocks", "block"]
-                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary())], [*names, "grams"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "grams"])
 
     return run
 
 
-def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: doc_id, class_id, n_links (other documents at the threshold or above), n_copies (documents of the same set)."""
-    source = documents(docs, id_col, text_col)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key: a row is told from others of its doc_id by a hash of its text."""
+    return documents(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+
+
+def _linked(source: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key, node) and the nodes: node, keeper (smallest doc_id and key of its class), links to other documents, copies."""
     described = staged(_describe(source, rules), "minhash")
-    nodes = staged(described.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    row = F.struct("doc_id", "key")
+    nodes = staged(described.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "pivot")
-    ties = banded.join(pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    ties = splittable_join(banded, pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     parts = staged(components(ties), "candidates")
     sized = parts.join(nodes.select("node", "first", "copies", "size"), "node")
     # A component is dealt to blocks by a hash of the node; every pair of blocks is a tile.
     blocks = F.greatest(F.ceil(F.col("members") / rules.block_nodes), F.ceil(F.col("bytes") / rules.block_bytes), F.lit(1)).cast("int")
-    planned = sized.join(sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes")), "root").withColumn("blocks", blocks)
-    wanted = planned.select(F.col("first").alias("doc_id"), "node", F.col("root").alias("component"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = source.join(wanted, "doc_id").select("text", "node", "component", "copies", "blocks", "block")
+    planned = splittable_join(sized, sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes")), "root").withColumn("blocks", blocks)
+    wanted = planned.select("first.doc_id", "first.key", "node", F.col("root").alias("component"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    texts = source.join(wanted, ["doc_id", "key"]).select("text", "node", "component", "copies", "blocks", "block")
     grams = texts.mapInArrow(_grams(rules), "node long, component long, copies long, blocks int, block int, grams binary").dropDuplicates(["node"])
     tiled = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     tiles = tiled.select("component", "i", "j", "node", "copies", "block", "grams")
@@ -211,16 +215,38 @@ def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.select("node", "first", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    result = named.join(smallest, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    own = described.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(result, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
+    result = splittable_join(named, keepers, "root").select("node", "keeper", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    return described.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), result
+
+
+def classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row: doc_id, class_id, n_links (other documents at the threshold or above), n_copies (documents of the same set)."""
+    rows, nodes = _linked(_keyed(docs, id_col, text_col), rules)
+    return rows.join(nodes, "node", "left").select("doc_id", F.coalesce("keeper.doc_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest doc_id of each class, and those with a null id, with all their columns."""
-    gone = classes(docs, rules, id_col, text_col).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each class, with all its columns: that of the smallest doc_id, then of the smallest hash of text, then of all columns.
+
+    Rows without an id or without n-grams stay. Rows of one doc_id are told apart by their texts, so a
+    text that is in another class than its id's other texts is not lost.
+    """
+    rows, nodes = _linked(_keyed(docs, id_col, text_col), rules)
+    row = F.struct("doc_id", "key")
+    judged = staged(rows.filter("node is not null").join(nodes, "node").groupBy("doc_id", "key").agg(F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")).withColumn("gone", row != F.col("keeper")).filter("gone or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone"), "judged")
+    own_id, own_key = docs[f"`{id_col}`"].cast("long"), F.xxhash64(docs[f"`{text_col}`"].cast("string"))
+    gone = judged.filter("gone")
+    kept = docs.join(gone, (own_id == gone["__id"]) & (own_key == gone["__key"]), "left_anti")
+    again = judged.filter("not gone").withColumn("__again", F.lit(True)).drop("gone")
+    if again.isEmpty():
+        return kept
+    # Rows that stand several times with one id and text: the one of the smallest hash of all columns stays.
+    marked = kept.join(again, (own_id == again["__id"]) & (own_key == again["__key"]), "left")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    one = marked.filter("__again").groupBy("__id", "__key").agg(F.min_by(whole, F.xxhash64(*hashed)).alias("row"))
+    return marked.filter("__again is null").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def oracle(n: int = 5) -> str:
