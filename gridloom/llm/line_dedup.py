@@ -1,15 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of a line and the line before it chooses where a chunk ends, so the
-same run of lines is cut alike wherever it stands. Chunks of two lines or more that occur again
-anywhere in the corpus are removed, after a byte comparison, but for their first occurrence
-(smallest doc_id, then line).
-
-Defined results: a null or empty text is one empty line, which is never a chunk of its own; chunks of
-blank lines only stay; documents keep their row even if no line is left; rows whose id is null are
-returned unchanged and are not compared; rows of one doc_id are put apart by their text, equal rows
-of one id are one document and each of them gets its result; an empty table gives an empty
-result; other columns are carried, whatever their names. Only DataFrame functions are used.
+A hash rolls over the hashes of the lines that are not blank, two at a time. A chunk is a maximal run
+of lines whose rolling hashes all occur earlier in the corpus (under a smaller doc_id, or further up in
+the document). So content alone draws its boundaries, where what was there before ends, and neither what stands
+around a chunk nor a shift moves them. Chunks are removed after a comparison of their lines byte by byte,
+with blank lines inside them; a single line, repeated as it may be, is no chunk.
+
+Boundaries at lines of certain hashes, the usual form, do not give right results: documents have few
+lines, most repeated runs have two or three, and whatever rule leaves a boundary out leaves some of them untouched.
+
+Defined results: null and empty texts and texts of one line have no chunks; blank lines separate
+nothing; lines are judged on the input, not on what is left; documents keep their row even if no line
+is left; rows whose id is null are returned unchanged and are not compared; rows of one doc_id are put
+apart by their text, equal rows of one id are one document and each of them gets its result; texts of
+any length are taken whole; an empty table gives an empty result; other columns are carried, whatever
+their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -21,10 +26,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import join_by_count, staged
 
-#: A chunk ends after a line in so many, on average.
-LINES_A_CHUNK = 4
-#: A chunk has so many lines at least to be removed.
-MIN_LINES = 2
+#: A line that is not blank.
+FILLED = r"[^ \t\n\x0B\f\r]"
 
 
 def _lines(text: Column) -> Column:
@@ -40,84 +43,74 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cut(lines: Column) -> Column:
-    """start, n_lines and chunk (text) of the chunks of MIN_LINES or more."""
-
-    def rolled(line_hash: Column) -> Column:
-        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(line_hash, 1, F.size(line_hash) - 1))
-        return F.zip_with(before, line_hash, lambda p, c: p * 31 + c)
-
-    def spans(ends: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-        return F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n_lines"))), lambda c: c["n_lines"] >= MIN_LINES)
-
-    line_hash = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    ends = _let(_let(line_hash, rolled), lambda r: F.filter(F.transform(r, lambda x, i: F.when((i == F.size(r) - 1) | (x % LINES_A_CHUNK == 0), i)), lambda i: i.isNotNull()))
-    return F.transform(_let(ends, spans), lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), _text(lines, c).alias("chunk")))
+def _pairs(lines: Column) -> Column:
+    """start and stop (lines, from 0) and rolled (hash) of every two neighbouring lines that are not blank."""
+    filled = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.when(x.rlike(FILLED), F.xxhash64(x)).alias("hash"))), lambda c: c["hash"].isNotNull())
+    pair = lambda a, b: F.struct(a["at"].alias("start"), b["at"].alias("stop"), F.xxhash64(a["hash"], b["hash"]).alias("rolled"))
+    count = lambda full: F.greatest(F.size(full) - 1, F.lit(0))
+    return _let(filled, lambda full: F.zip_with(F.slice(full, 1, count(full)), F.slice(full, 2, count(full)), pair))
 
 
 def _text(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span["start"] + 1, span["n_lines"]), "\n")
+    return F.concat_ws("\n", F.get(lines, span["start"]), F.get(lines, span["stop"]))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start (line, from 0), n_lines, chunk (text) of chunks long enough to be compared."""
-    found = docs.filter(F.col("text").contains("\n")).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), _cut)).alias("c"))
-    return found.select("doc_id", "text_key", "c.*").filter(F.col("chunk").rlike(r"[^ \t\n\x0B\f\r]"))
+def pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, stop, rolled of all neighbouring lines."""
+    found = docs.filter(F.col("text").contains("\n")).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), _pairs)).alias("c"))
+    return found.select("doc_id", "text_key", "c.*").filter(F.col("rolled").isNotNull())
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, gone: the spans (start, n_lines) of each document that occur earlier, by line.
+    """doc_id, text_key, gone: the lines of each document that are in a chunk, in order.
 
-    Hashes of chunks meet first; texts of repeated chunks only are compared, each with the first
-    occurrence of its hash. A chunk may hold a third of all rows: hashes meet their counts by
+    Rolling hashes meet first; lines of repeated ones only are compared, each with the first
+    occurrence of its hash. A hash may stand in a third of all rows: hashes meet their counts by
     join_by_count(), and in the join of texts adaptive execution splits it, as the other side has one row.
     """
     key = F.struct("doc_id", "text_key", "start")
-    marked = staged(chunks(docs).select("doc_id", "text_key", "start", "n_lines", F.xxhash64("chunk").alias("chunk_hash")), "lines")
-    first = marked.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1")
-    wanted = join_by_count(marked, first, "chunk_hash", marked.count()).select("doc_id", "text_key", F.struct("start", "n_lines", "chunk_hash", (F.col("first") == key).alias("is_first")).alias("w"))
+    marked = staged(pairs(docs), "lines")
+    first = marked.groupBy("rolled").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1")
+    wanted = join_by_count(marked, first, "rolled", marked.count()).select("doc_id", "text_key", F.struct("start", "stop", "rolled", (F.col("first") == key).alias("is_first")).alias("w"))
     by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("w").alias("wanted"))
-    cut = lambda lines: F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk_hash"].alias("chunk_hash"), c["is_first"].alias("is_first"), _text(lines, c).alias("chunk")))
+    cut = lambda lines: F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["rolled"].alias("rolled"), c["is_first"].alias("is_first"), _text(lines, c).alias("both")))
     texts = docs.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode_outer(_let(_lines(F.col("text")), cut)).alias("c")).select("doc_id", "text_key", "c.*")
     later = texts.filter(~F.col("is_first")).drop("is_first")
-    original = texts.filter("is_first").select("chunk_hash", F.col("chunk").alias("original"))
-    same = later.join(original, "chunk_hash").filter(F.col("chunk") == F.col("original"))
-    return same.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "n_lines"))).alias("gone"))
+    original = texts.filter("is_first").select("rolled", F.col("both").alias("original"))
+    same = later.join(original, "rolled").filter(F.col("both") == F.col("original"))
+    return same.select("doc_id", "text_key", F.explode(F.sequence("start", "stop")).alias("line")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns with repeated chunks taken from the text, and __n_lines, __n_removed (lines), __n_chunks."""
+    """The input's columns with repeated lines taken from the text, and __n_lines, __n_removed (lines), __n_chunks (runs of removed lines)."""
     columns = docs.columns
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in (id_col, text_col)]
     inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), *([F.struct(*others).alias("rest")] if others else []))
     # The joins see the same rows and, without other columns, share one exchange of the texts.
     told = inner.filter(F.col("doc_id").isNotNull())
-    alone = inner.filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast("array<struct<start:int,n_lines:int>>"))
+    alone = inner.filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast("array<int>"))
     lined = told.join(removals(told.select("doc_id", "text", "text_key")), ["doc_id", "text_key"], "left").unionByName(alone)
 
     def kept(lines: Column) -> Column:
-        gaps = F.concat(F.col("gone"), F.array(F.struct(F.size(lines).alias("start"), F.lit(0).alias("n_lines"))))
-        stops = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["start"] + g["n_lines"]))
-        return F.array_join(F.flatten(F.zip_with(stops, gaps, lambda s, g: F.slice(lines, s + 1, g["start"] - s))), "\n")
+        """What stands before, between and after the lines that go."""
+        stops = F.concat("gone", F.array(F.size(lines)))
+        starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1))
+        return F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(_lines(F.col("text")), kept))
     back = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == id_col else text.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)]
-    counts = [F.size(_lines(F.col("text"))).cast("long").alias("__n_lines"), F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, g: n + g["n_lines"]), F.lit(0)).alias("__n_removed"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("__n_chunks")]
+    breaks = F.zip_with(F.slice("gone", 1, F.size("gone") - 1), F.slice("gone", 2, F.size("gone") - 1), lambda a, b: b - a > 1)
+    runs = F.when(F.col("gone").isNotNull(), 1 + F.size(F.filter(breaks, lambda x: x)))
+    counts = [F.size(_lines(F.col("text"))).cast("long").alias("__n_lines"), F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("__n_removed"), F.coalesce(runs, F.lit(0)).cast("long").alias("__n_chunks")]
     return lined.select(*back, *counts)
 
 
-ORACLE = f"""
+ORACLE = rf"""
 WITH lined AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 line AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM lined),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM line),
-rolled AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) % {LINES_A_CHUNK} = 0 AS is_end FROM hashed),
-numbered AS (SELECT *, coalesce(sum(CAST(is_end AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM rolled),
-chunk AS (SELECT doc_id, chunk_no, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, chunk_no),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) AS nth FROM chunk WHERE n >= {MIN_LINES} AND regexp_matches(chunk, '[^ \\t\\n\\x0B\\f\\r]')),
-gone AS (SELECT doc_id, chunk_no FROM ranked WHERE nth > 1),
-per_doc AS (SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.doc_id IS NOT NULL) AS n_removed, count(DISTINCT g.chunk_no) AS n_chunks,
-                   coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (WHERE g.doc_id IS NULL), '') AS kept
-            FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.chunk_no = g.chunk_no GROUP BY n.doc_id)
-SELECT doc_id, n_lines, n_removed, n_chunks, sha256(kept) AS kept_sha256 FROM per_doc
+pair AS (SELECT doc_id, i AS start, line AS one, lead(i) OVER w AS stop, lead(line) OVER w AS two FROM line WHERE regexp_matches(line, '{FILLED}') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, start) AS nth FROM pair WHERE stop IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM ranked WHERE nth > 1),
+marked AS (SELECT l.*, g.i IS NOT NULL AS away, lag(g.i) OVER (PARTITION BY l.doc_id ORDER BY l.i) IS NOT NULL AS after FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE away) AS n_removed, count(*) FILTER (WHERE away AND NOT after) AS n_chunks, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT away), '')) AS kept_sha256 FROM marked GROUP BY doc_id
 """
