@@ -44,7 +44,24 @@ def test_substring_dedup(spark, portions):
     rows = corpus() + [(None, "null id " * 12, None, None, None), (7, corpus()[7][1], "en", "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = substring_dedup.digests(substring_dedup.remove_repeats(docs, 40, **portions)).collect()
-    assert sorted(map(tuple, got), key=str) == substring_brute(rows, 40)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == substring_brute(rows, 40)
+
+
+def shares(rows, size):
+    """For each row, whether it has a string of `size` bytes in common with another row."""
+    data = [(t or "").encode() for _, t, *_ in rows]
+    grams = [{t[i : i + size] for i in range(len(t) - size + 1)} for t in data]
+    times = Counter(g for own in grams for g in own)
+    return [any(times[g] > 1 for g in own) for own in grams]
+
+
+@pytest.mark.parametrize("portions", [{}, {"chunk_bytes": 500, "bucket_bytes": 300}])
+def test_shared_seeds_tell_of_shorter_passages(spark, portions):
+    rows = [r for r in corpus(11) if r[0] < 100] + [(200, "first one here and then some words ", "en", "s", 1), (201, "again: one here and then some words.", "en", "s", 1), (202, "qq " * 70, "en", "s", 1)]
+    got = {r.doc_id: r.n_shared_seeds for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), 40, **portions).collect()}
+    long, short = shares(rows, 30), shares(rows, 20)
+    assert all(got[r[0]] > 0 for r, yes in zip(rows, long, strict=True) if yes) and all(got[r[0]] == 0 for r, yes in zip(rows, short, strict=True) if not yes)
+    assert got[200] and got[201] and not got[202] and not all(got.values())
 
 
 def lz_brute(rows, size):
@@ -109,6 +126,26 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3] and "node" in kept.columns
 
 
+def test_one_row_of_each_class_stays(spark):
+    """By brute force over rows, where ids repeat with other texts, with equal rows, and are null."""
+    rows = [(d % 40, *rest) for d, *rest in corpus(13, 80)] + [(None, "one two three", "a", "b", 1)] * 2
+    rows += [(1, "w1 w2 w3 w4 w5 w6 w7", "a", "b", 1), (2, "w1 w2 w3 w4 w5 w6 w7", "a", "b", 1), (2, "another text altogether, far from any other", "a", "b", 1), (3, "same twice", "a", "z", 1), (3, "same twice", "a", "y", 2), (3, "same twice", "a", "z", 1)]
+    by_row = jaccard_classes([(i, r[1]) for i, r in enumerate(rows) if r[0] is not None])
+    members = {}
+    for i, (c, _) in by_row.items():
+        members.setdefault(c, []).append(i)
+    kept = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    left = Counter(kept)
+    assert not left - Counter(rows)
+    for own in members.values():
+        if words(rows[own[0]][1]):  # one of the rows of the smallest id
+            least = min(rows[i][0] for i in own)
+            # rows of two classes may be equal in nothing, so each class is met in its own rows
+            assert sum(left[r] for r in {rows[i] for i in own}) == 1 and any(left[rows[i]] for i in own if rows[i][0] == least)
+    blank = [r for r in rows if r[0] is None or not words(r[1])]
+    assert all(left[r] == blank.count(r) for r in blank)
+
+
 def test_banding_reaches_its_recall():
     rules = jaccard_join.JoinRules()
     assert 1 - (1 - rules.threshold**rules.rows) ** rules.bands >= rules.recall
@@ -132,20 +169,17 @@ def test_components(spark):
 
 
 def line_brute(rows):
-    """Kept text by doc_id, for unique ids."""
+    """Kept text by doc_id, for unique ids: lines that stand together with a neighbour earlier go, with blank lines in between."""
     seen, out = set(), {}
     for d, t, *_ in sorted(rows):
         lines = (t or "").split("\n")
-        code = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        kept, start = [], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or ((code[i - 1] if i else 0) * 31 + code[i]) % line_dedup.LINES_A_CHUNK == 0:
-                part = lines[start : i + 1]
-                if len(part) < line_dedup.MIN_LINES or not "".join(part).strip(" \t\n\v\f\r") or tuple(part) not in seen:
-                    kept += part
-                    seen.add(tuple(part))
-                start = i + 1
-        out[d] = "\n".join(kept)
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for a, b in zip(full, full[1:], strict=False):
+            if (lines[a], lines[b]) in seen:
+                gone.update(range(a, b + 1))
+            seen.add((lines[a], lines[b]))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -159,6 +193,27 @@ def test_line_dedup(spark):
     assert any(want[d] != (t or "") for d, t, *_ in rows)
 
 
+def test_passages_in_foreign_surroundings_go(spark):
+    """Runs of two lines or more that occur earlier go whole, whatever stands around; other lines stay."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"own line {rng.integers(1 << 40)}" for _ in range(n)]
+    rows, runs, own = [], {}, {}
+    for k in range(400):
+        size = int(rng.integers(2, 9))
+        run = [f"passage {k} line {i}" for i in range(size)]
+        blank = [""] * int(rng.integers(0, 2))
+        runs[1000 + k] = run
+        own[1000 + k] = fresh(int(rng.integers(0, 4))), fresh(int(rng.integers(0, 4)))
+        rows.append((k, "\n".join(fresh(int(rng.integers(0, 4))) + run + fresh(int(rng.integers(0, 4)))), "en", "s", 1))
+        rows.append((1000 + k, "\n".join(own[1000 + k][0] + blank + run[:1] + blank + run[1:] + own[1000 + k][1]), "en", "s", 1))
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k]["__n_removed"] == 0 for k in range(400))
+    left = {d: [x for x in got[d].text.split("\n") if x] for d in runs}
+    assert all(set(own[d][0] + own[d][1]) <= set(left[d]) for d in runs)
+    assert all(left[d] == own[d][0] + own[d][1] and got[d]["__n_chunks"] == 1 for d in runs)
+    assert sum(len(run) == 2 for run in runs.values()) > 30
+
+
 def test_line_dedup_edges(spark):
     block = "\n".join(f"line {i}" for i in range(30))
     rows = [(1, block, "a", "b", 1), (1, block, "a", "c", 1), (None, block, "a", "b", 1), (2, block, "a", "b", 1)]

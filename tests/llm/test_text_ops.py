@@ -65,6 +65,22 @@ def test_secret_spans(spark):
     assert secret_scan.find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_secret_rows_stand_by_themselves(spark):
+    """Spans of rows with equal and null ids, and of equal rows, against a plain count of owners."""
+    rng = random.Random(9)
+    value = lambda: "".join(rng.sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", 26)) + "a1"
+    values = [value() for _ in range(12)]
+    rows = [(rng.choice([None, 1, 2, 3]), f"{'pad ' * rng.randint(0, 4)}{rng.choice(values)} and {rng.choice(values)}", "en", rng.choice("ab"), i % 3) for i in range(14)]
+    rows += [(1, "short one", "en", "a", 1), rows[0], (7, None, "en", "a", 1)]
+    owners = {v: {s for _, t, _, s, _ in rows if v in (t or "")} for v in values}
+    want = []
+    for d, t, *_ in rows:
+        live = [(t.index(v, at), v) for v in values for at in range(len(t)) if t[at : at + len(v)] == v] if t else []
+        want.append((d, ",".join(f"live:{a}:{a + len(v)}" for a, v in sorted(set(live)) if len(owners[v]) == 1)))
+    got = [(r.doc_id, r.spans) for r in secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_secret_patterns_match_plain_rules():
     rng = random.Random(3)
     for _ in range(200):
@@ -102,6 +118,49 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).collect() == [] and decontaminate.remove_leaks(d.limit(0), b).collect() == []
 
 
+@pytest.mark.parametrize("size, least", [(8, 0.95), (12, 0.95), (20, 0.95), (40, 0.95)])
+def test_leaks_against_alignment_of_all_pairs(spark, size, least):
+    """Every document is aligned with every item; what reaches the score is to be found, and nothing else is."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(60)]
+    docs = []
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for j in sorted(rng.sample(range(size), round(size * rng.choice([0.1, 0.2, 0.3]))), reverse=True):
+            w[j : j + 1] = rng.choice([[word()], [], [w[j], word()]])
+        docs.append((i, " ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]), "en", "s", 1))
+    rules = decontaminate.LeakRules()
+    hashes = lambda t: decontaminate.tokens([t.encode()])[0]
+    own, texts = [hashes(t) for _, t in items], [hashes(t) for _, t, *_ in docs]
+    want = {(d, i): decontaminate.align(a, b)[0] / (2 * size) for i, a in enumerate(own) for d, b in enumerate(texts)}
+    want = {k: v for k, v in want.items() if v >= rules.min_score}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(want) > 30 and len(got) / len(want) >= least
+
+
+def test_leaks_of_repeated_rows_and_common_items(spark):
+    """Rows of one id are judged by their own texts; a text in a third of all rows and n-grams of all items do no harm."""
+    items = [(i, f"the following question has one answer number {i} and nothing else") for i in range(40)]
+    rows = [(5, items[3][1], "en", "s", 1), (5, "a text without anything of that kind", "en", "s", 1), (None, items[7][1], "en", "s", 1), *[(6, f"start {items[9][1]} stop", "en", "s", 1)] * 30]
+    d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    best = {}
+    for r in decontaminate.find_leaks(d, b).collect():
+        if r.score == 1.0:
+            best[r.doc_id, r.item_id] = best.get((r.doc_id, r.item_id), 0) + 1
+    assert best == {(5, 3): 1, (None, 7): 1, (6, 9): 30}
+    assert [tuple(r) for r in decontaminate.remove_leaks(d, b).collect()] == [rows[1]]
+
+
+def test_bit_table_never_misses(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-(1 << 63), (1 << 63) - 1, 40_000)
+    table = decontaminate.bit_table(spark.createDataFrame([(int(v),) for v in values[:5000]], "hash long"))
+    assert table.holds(values[:5000].view(np.uint64)).all() and table.holds(values[5000:].view(np.uint64)).mean() < 0.1
+    assert not decontaminate.bit_table(spark.createDataFrame([], "hash long")).holds(values.view(np.uint64)).any()
+
+
 def test_alignment_matches_plain_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -193,6 +252,16 @@ def test_url_filter(spark, bound):
     assert url_filter.evaluate(captures.limit(0), entries, broadcast_rows=bound).collect() == []
 
 
+def test_quality_decides_each_row_by_itself(spark):
+    """Rows of one id, equal rows and rows without id, against the verdicts of the same texts under ids of their own."""
+    rows = [(d % 30 if d % 7 else None, *rest) for d, *rest in corpus(14, 90)] + [corpus(14, 90)[8]] * 2
+    lone = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    verdict = {r.doc_id: r.kept for r in quality.judge(lone).collect()}
+    kept = quality.keep_good(spark.createDataFrame(rows, SCHEMA).withColumn("c0", F.lit("clash")).withColumn("classes", F.lit(1)))
+    assert sorted((tuple(r)[:5] for r in kept.collect()), key=str) == sorted((r for i, r in enumerate(rows) if verdict[i]), key=str)
+    assert kept.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "c0", "classes"] and 0 < kept.count() < len(rows)
+
+
 def test_quality_decides_rows_without_id_by_themselves(spark):
     rng = random.Random(2)
     clean = lambda: " ".join(rng.choice("the of and to in house river walks green paper seldom matters window".split()) + rng.choice(["", "", "s", "ly"]) for _ in range(120))
