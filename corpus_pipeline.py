@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that occur earlier; n_chars is that of the new text."""
-    done = line_dedup.remove_repeats(docs)
+    """Documents without the lines that occur earlier in runs; n_chars is that of the new text, and a document of which nothing is left goes."""
+    done = line_dedup.remove_repeats(docs).filter((F.col("__n_removed") == 0) | F.col("text").rlike(line_dedup.FILLED))
     return done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
