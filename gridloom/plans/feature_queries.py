@@ -44,11 +44,11 @@ def station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.readings(spark, sf_dir).join(fx.stations(spark, sf_dir), "site_id").select("site_id", "site_name", "date", F.round("gage", 6).alias("gage"), "discharge")
 
 
-_DAYS = "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND user_id % 10 = 0"
+_DAYS = "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'"
 
 
 def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = fx.table(spark, sf_dir, "events").filter("event_type = 'purchase' and user_id % 10 = 0").select(F.to_date("ts").alias("day")).distinct()
+    days = fx.table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.to_date("ts").alias("day")).distinct()
     return fe.around_dates(days, fx.readings(spark, sf_dir), "day", "date")
 
 
@@ -63,7 +63,7 @@ def gauge_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _around(spark, sf_dir).groupBy("day", "site_id").agg(F.round(F.max("gage"), 6).alias("max_gage"), F.bool_or(C("gage") > 0.6).alias("any_flooding"))
 
 
-@REGISTRY.query("k14_gauge_report", fx.sql("SELECT d.day, r.site_id, CASE WHEN r.date < d.day THEN 'before' WHEN r.date > d.day THEN 'after' ELSE 'day_of' END AS \"window\", printf('%.2f', r.gage * 1.0007) AS gage_ft, printf('%.2f', r.gage * 0.30501) AS gage_m FROM days d JOIN readings r ON r.date BETWEEN d.day - 1 AND d.day + 1 WHERE r.site_id < 20", "readings", days=_DAYS))
+@REGISTRY.query("k14_gauge_report", fx.sql("SELECT d.day, r.site_id, CASE WHEN r.date < d.day THEN 'before' WHEN r.date > d.day THEN 'after' ELSE 'day_of' END AS \"window\", printf('%.2f', r.gage * 1.0007) AS gage_ft, printf('%.2f', r.gage * 0.30501) AS gage_m FROM days d JOIN readings r ON r.date BETWEEN d.day - 1 AND d.day + 1", "readings", days=_DAYS))
 def gauge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _around(spark, sf_dir)
     return a.select("day", "site_id", "window", F.format_string("%.2f", C("gage") * 1.0007).alias("gage_ft"), F.format_string("%.2f", C("gage") * 0.30501).alias("gage_m"))

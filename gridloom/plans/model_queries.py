@@ -96,7 +96,7 @@ def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.clip_to_box(_rings(spark, sf_dir), "ring", -1.0, -1.0, 2.0, 2.5).select("id", F.round(ring_area(C("ring")), 6).alias("area"))
 
 
-@REGISTRY.query("j9_rasterize", "SELECT id, count(*) AS cells FROM (SELECT p_partkey AS id, 2 + p_partkey % 7 AS w, 3 + p_partkey % 5 AS h FROM part WHERE p_partkey < 200), (SELECT unnest(range(12)) + 0.5 AS x) a, (SELECT unnest(range(12)) + 0.5 AS y) b WHERE (x < w AND y < 1) OR (x < 1 AND y < h) GROUP BY 1")
+@REGISTRY.query("j9_rasterize", "SELECT id, count(*) AS cells FROM (SELECT p_partkey AS id, 2 + p_partkey % 7 AS w, 3 + p_partkey % 5 AS h FROM part), (SELECT unnest(range(12)) + 0.5 AS x) a, (SELECT unnest(range(12)) + 0.5 AS y) b WHERE (x < w AND y < 1) OR (x < 1 AND y < h) GROUP BY 1")
 def rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells whose centres lie in each ring."""
     cells = spark.range(144).select((C("id") % 12 + 0.5).alias("x"), (F.floor(C("id") / 12) + 0.5).alias("y"))

@@ -148,10 +148,10 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ra.tile_grid(40, 50, 16, 4, spark.range(1))
 
 
-_TILED = "SELECT * FROM (SELECT d.*, CAST(a.i AS INT) AS tile_row, CAST(b.j AS INT) AS tile_col FROM dem d, (SELECT unnest(range(100)) AS i) a, (SELECT unnest(range(10)) AS j) b WHERE d.row BETWEEN a.i * 16 - 4 AND a.i * 16 + 19 AND d.col BETWEEN b.j * 16 - 4 AND b.j * 16 + 19)"
+_TILED = "SELECT * EXCLUDE (tile_row), CAST(tile_row AS INT) AS tile_row, CAST(unnest(range(greatest(col - 4, 0) // 16, (col + 4) // 16 + 1)) AS INT) AS tile_col FROM (SELECT *, unnest(range(greatest(row - 4, 0) // 16, (row + 4) // 16 + 1)) AS tile_row FROM dem)"
 
 
-@REGISTRY.query("t2_halo_tiles", fx.sql("SELECT tile_row, tile_col, count(*) AS n, count(*) FILTER (WHERE row // 16 = tile_row AND col // 16 = tile_col) AS n_inner, round(sum(z), 3) AS total FROM t WHERE row < 1600 GROUP BY 1, 2", "dem", t=_TILED))
+@REGISTRY.query("t2_halo_tiles", fx.sql("SELECT tile_row, tile_col, count(*) AS n, count(*) FILTER (WHERE row // 16 = tile_row AND col // 16 = tile_col) AS n_inner, round(sum(z), 3) AS total FROM t GROUP BY 1, 2", "dem", t=_TILED))
 def halo_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ra.halo_tiles(_dem(spark, sf_dir), 16, 4)
     return t.groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"), F.count_if("inner").alias("n_inner"), F.round(F.sum("z"), 3).alias("total"))
@@ -179,7 +179,7 @@ def segment_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ra.segment_majority(m, "seg", "k", ["row", "col"])
 
 
-_REACH = """WITH RECURSIVE dem AS ({dem}), m AS (SELECT row, col, row * 2147483648 + col AS id FROM dem WHERE CAST(floor(z) AS BIGINT) % 3 <> 0 AND row < 40),
+_REACH = """WITH RECURSIVE dem AS ({dem}), m AS (SELECT row, col, row * 2147483648 + col AS id FROM dem WHERE CAST(floor(z) AS BIGINT) % 3 <> 0),
  e AS (SELECT a.id AS u, b.id AS v FROM m a JOIN m b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
  r(id, root) AS (SELECT id, id FROM m UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id WHERE r.root < e.v),
  l AS (SELECT id, min(root) AS region FROM r GROUP BY 1)"""

@@ -69,7 +69,7 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.fallback(d.filter("(row + col) % 3 <> 0"), d.filter("(row + col) % 2 = 0").withColumn("z", C("z") + 1), ["row", "col"], "z")
 
 
-@REGISTRY.query("s21_building_rings", "SELECT l_orderkey AS way_id, count(*) AS n, round(sum(p_size * rn), 6) AS digest FROM (SELECT l_orderkey, p_size, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS rn FROM (SELECT l_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1)) JOIN part ON p_partkey = id WHERE p_partkey % 5 <> 0) GROUP BY 1 HAVING count(*) >= 4")
+@REGISTRY.query("s21_building_rings", "SELECT l_orderkey AS way_id, count(*) AS n, round(sum(p_size * rn), 6) AS digest FROM (SELECT l_orderkey, p_size, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS rn FROM (SELECT l_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY 1)) JOIN part ON p_partkey = id WHERE p_partkey % 5 <> 0) GROUP BY 1 HAVING count(*) >= 4")
 def building_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings from ways and nodes; unknown nodes are skipped, short ways go."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"])
@@ -109,7 +109,7 @@ def shadow_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query("m3_region_shapes", fx.sql(
-    "SELECT label, area, round(major, 6) AS major, round(minor, 6) AS minor, area >= 4 AND major / greatest(minor, 1.0) > 4 AND minor < 5 AND minor > 0 AS road FROM (SELECT label, area, 4 * sqrt(greatest((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS major, 4 * sqrt(greatest((a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS minor FROM (SELECT label, count(*) AS area, var_pop(row) + 1 / 12.0::DOUBLE AS a, var_pop(col) + 1 / 12.0::DOUBLE AS b, covar_pop(row, col) AS c FROM (SELECT row, col, CAST(col // 3 AS INT) AS label FROM dem WHERE row < 40) GROUP BY 1))", "dem"))
+    "SELECT label, area, round(major, 6) AS major, round(minor, 6) AS minor, area >= 4 AND major / greatest(minor, 1.0) > 4 AND minor < 5 AND minor > 0 AS road FROM (SELECT label, area, 4 * sqrt(greatest((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS major, 4 * sqrt(greatest((a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c), 0)) AS minor FROM (SELECT label, count(*) AS area, var_pop(row) + 1 / 12.0::DOUBLE AS a, var_pop(col) + 1 / 12.0::DOUBLE AS b, covar_pop(row, col) AS c FROM (SELECT row, col, CAST(col // 3 AS INT) AS label FROM dem) GROUP BY 1))", "dem"))
 def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sc.region_shapes(fx.dem(spark, sf_dir).withColumn("label", F.floor(C("col") / 3).cast("int")), "label")
     return out.select("label", "area", F.round("major", 6).alias("major"), F.round("minor", 6).alias("minor"), "road")
