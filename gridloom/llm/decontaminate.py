@@ -37,8 +37,10 @@ SEPARATORS[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ
 SEPARATORS[128:] = False
 FOLDED = BYTE_VALUE.copy()
 FOLDED[65:91] = BYTE_VALUE[97:123]
-#: Bits of the table of n-grams: at least, at most (64 MB), for each n-gram, and in a row that is sent.
-LEAST_BITS, MOST_BITS, GRAM_BITS, ROW_BITS = 16, 29, 16, 19
+#: Size of the table of n-grams as a power of 2, at least and at most (64 MB), bits for each n-gram, and the power of what is sent as a row.
+LEAST_BITS, MOST_BITS, GRAM_BITS, ROW_BITS = 20, 29, 32, 19
+#: An n-gram sets a bit for each of these shifts of its hash.
+PROBES = (0, 18, 35)
 #: Leaked texts whose keys (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -133,9 +135,13 @@ class Table:
             self.bits[i] = np.frombuffer(row, np.uint8)
         self.bits = self.bits.ravel()
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> self.width).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are that the table holds; few are left after the first probe."""
+        left = np.arange(len(hashes))
+        for shift in PROBES:
+            at = ((hashes[left] << np.uint64(shift)) >> self.width).astype(np.int64)
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        return left
 
 
 def bit_table(hashes: DataFrame) -> Table:
@@ -148,7 +154,7 @@ def bit_table(hashes: DataFrame) -> Table:
         bits[group.column("at").to_numpy() & ((1 << row_bits) - 1)] = 1
         return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    at = hashes.select(F.shiftrightunsigned("hash", 64 - width).alias("at")).distinct()
+    at = hashes.select(F.explode(F.array(*[F.shiftrightunsigned(F.shiftleft("hash", shift), 64 - width) for shift in PROBES])).alias("at")).distinct()
     rows = at.groupBy(F.shiftright("at", row_bits).alias("row")).applyInArrow(run, "row long, bits binary").collect()  # 64 MB in all at most
     return Table(width, {r.row: bytes(r.bits) for r in rows})
 
@@ -158,7 +164,7 @@ def _hits(words: np.ndarray, at: np.ndarray, widths: list[int], table: Table) ->
     found = []
     for width in widths:
         hashes = Prefix(words).windows(width)
-        place = np.flatnonzero(table.holds(hashes))
+        place = table.places(hashes)
         doc = np.searchsorted(at, place, "right") - 1
         inside = place + width <= at[doc + 1]
         found.append((doc[inside], place[inside], hashes[place[inside]]))
