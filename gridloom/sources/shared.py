@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the folder of spark.checkpoint.dir and read it back: cuts lineage, survives lost executors, and has true statistics."""
-    spark = df.sparkSession
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="gridloom-shared-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A session without one gets a folder of its own if driver and executors are one process; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/gridloom-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/gridloom-{what}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = f"file://{_own_folder()}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage, survives lost executors, and has true statistics."""
+    path = f"{shared_folder(df.sparkSession)}/gridloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators.features import snapshot_diff
+from gridloom.sources.shared import shared_folder
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -32,8 +33,7 @@ def windowed_counts(stream: DataFrame, time: str, window: str, late: str, keys:
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gridloom-shared"
-    return f"{folder.rstrip('/')}/gridloom-{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
