@@ -5,10 +5,14 @@ holds). Patterns are a host, a parent domain of it, or a host with the first par
 capture is joined, on each pattern that its URL falls under, with the entries valid at its fetch
 time; the longest pattern decides, and of equal patterns on several lists block wins over allow.
 
-Defined results: a null or hostless URL or a null time matches nothing and is kept; of entries of one
-list and pattern on one date the highest seq counts, and of equal seq the last action by name;
-entries with a null in any column are left out; repeated captures (same id, URL and time) are one; an empty list keeps
-all; other columns are not read. Only DataFrame functions are used.
+Hosts are lower-cased, without port, user and closing dots; an address (IPv4, or IPv6 in brackets) has no
+parent domains. Patterns are read in the same way, and empty parts of a path count in neither.
+
+Defined results: a null or hostless URL or a null time matches nothing and is kept; URLs of any length
+are taken whole; of entries of one list and pattern on one date the highest seq counts, and of equal seq
+the last action by name; entries with a null in any column are left out; repeated captures (same id, URL
+and time) are one, null ids too; an empty list keeps all, no captures give no rows; other columns are not
+read. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ BROADCAST_ROWS = 50_000
 #: Parts that a host's captures are dealt to in a shuffled join.
 SALTS = 32
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
+ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -33,7 +38,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return (
         entries.select(*named)
         .dropna()
-        .withColumn("pattern", F.lower("pattern"))
+        .withColumn("pattern", normal_pattern(F.col("pattern")))
         .withColumn("rank", F.row_number().over(last))
         .filter("rank = 1")
         .withColumn("valid_to", F.lead("listed_on").over(following))
@@ -43,14 +48,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit(""))), r"\.+$", "")
+
+
+def normal_pattern(pattern: Column) -> Column:
+    """A list's pattern as URLs give it: lower case, no dots after the host, no empty path parts."""
+    parts = F.filter(F.split(F.lower(pattern), "/"), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, F.regexp_replace(p, r"\.+$", "")).otherwise(p)), "/")
 
 
 def patterns_of(url: Column, depth: int) -> Column:
     """The patterns a URL falls under: host, parent domains of two labels or more, host with up to `depth` path parts."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.when(host.rlike(ADDRESS), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
+    domains = F.transform(F.sequence(F.lit(1), parents), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.slice(F.filter(F.split(F.lower(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))), "/"), lambda p: p != ""), 1, depth)
     deep = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(domains, deep)).otherwise(F.array().cast("array<string>"))
@@ -110,18 +122,18 @@ ENTRIES = [
 ]
 
 _VALUES = ", ".join(f"('{name}', '{pattern}', '{action}', DATE '{day}', {seq})" for name, pattern, action, day, seq in ENTRIES)
-ORACLE = f"""
+ORACLE = rf"""
 WITH entries(list_name, pattern, action, listed_on, seq) AS (VALUES {_VALUES}),
 last AS (SELECT *, row_number() OVER (PARTITION BY list_name, pattern, listed_on ORDER BY seq DESC, action DESC) AS rank FROM entries),
 spans AS (SELECT list_name, pattern, action, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY list_name, pattern ORDER BY listed_on) AS valid_to FROM last WHERE rank = 1),
 source AS (
   SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched_on,
-         lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
-         list_filter(string_split(lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '')), '/'), lambda p: p <> '')[1:2] AS parts
+         regexp_replace(lower(coalesce(regexp_extract(url, '{HOST}', 1), '')), '\.+$', '') AS host,
+         list_filter(string_split(lower(coalesce(regexp_extract(url, '{PATH}', 1), '')), '/'), lambda p: p <> '')[1:{max(e[1].count("/") for e in ENTRIES)}] AS parts
   FROM pages),
 keyed AS (
   SELECT page_id, url, fetched_on, host, unnest(CASE WHEN host = '' THEN [NULL] ELSE
-         list_concat(list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+         list_concat(list_transform(range(1, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
                      list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/'))) END) AS pattern
   FROM source),
 hit AS (
