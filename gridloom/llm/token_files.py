@@ -5,12 +5,14 @@ documents, and their token ids as blocks that stand alone (see id_coder). A shar
 starts within its part; the parts' sizes give the starts in the whole corpus.
 
 Defined results: a null or empty text has the end id only; rows of one doc_id are documents of their
-own, in order of a hash of their text; null ids come first; an empty table gives no
-rows; other columns are not read. A damaged block raises BlockError when it is read.
+own, in order of a hash of their text; null ids come first; texts of any length are taken whole; an empty
+table gives no rows; other columns are not read. A damaged block raises BlockError when it is read, and
+a tokenizer whose ids depend on white space is refused.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,11 +20,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, groups_for, input_bytes, pieces, shared_dir, utf8_of
+from gridloom.llm.common import documents, groups_for, input_bytes, pieces, utf8_of
 from gridloom.llm.id_coder import BLOCK_IDS, SIDE_BY_SIDE, decode_blocks, encode_blocks, split_blocks
+from gridloom.sources.shared import shared_folder
 
 SHARD = "part int, shard int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, vocabulary int, blocks binary"
 #: Ids that a task holds before it codes them: as many blocks as are coded side by side.
@@ -30,6 +33,36 @@ BATCH_IDS = BLOCK_IDS * SIDE_BY_SIDE
 SHARD_IDS = BLOCK_IDS * 64
 #: Words whose ids a worker keeps between batches.
 KEPT_WORDS = 400_000
+#: Parts in a block of the prefix sums, and parts whose starts are broadcast (some 16 bytes each).
+BLOCK_PARTS, BROADCAST_PARTS = 4096, 1_000_000
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return [] if part is None else [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+#: What stands about white space when a pre-tokenizer is tried out.
+PROBE = "a b\t1\n!\r.  's\v_ \f-\n\né \t'"
+
+
+def drops_white_space(model: str) -> bool:
+    """Whether a model's ids are those of its text's runs without white space, one after another.
+
+    It is so where the normalizer composes, folds case or replaces white space by spaces, the first step
+    of the pre-tokenizer keeps matches of a pattern, of which none holds white space, and nothing
+    is added, cut or filled up after it.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(model)
+    normal, pre = _steps(spec.get("normalizer"), "normalizers"), _steps(spec.get("pre_tokenizer"), "pretokenizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(x["type"] not in ("NFC", "Lowercase") and x != spaces for x in normal) or any(spec.get(k) for k in ("post_processor", "truncation", "padding")):
+        return False
+    if not pre or (pre[0]["type"], pre[0].get("behavior"), pre[0].get("invert")) != ("Split", "Removed", True) or any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in pre[1:]):
+        return False
+    found = Tokenizer.from_str(model).pre_tokenizer.pre_tokenize_str(PROBE)
+    return not any(set(PROBE[a:b]) & set(" \t\n\v\f\r") for _, (a, b) in found)
 
 
 class WordTokenizer:
@@ -42,6 +75,8 @@ class WordTokenizer:
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
+        if not drops_white_space(model):
+            raise ValueError("the tokenizer's ids are not those of runs without white space")
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._ids: dict[bytes, bytes] = {}
@@ -133,12 +168,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     ordered.mapInArrow(run, SHARD).write.option("compression", "none").parquet(path)
 
 
+def _starts(shards: DataFrame) -> DataFrame:
+    """part, before: the ids of all parts before a part. Prefix sums within blocks of parts, and over the blocks' sums, a row for each BLOCK_PARTS parts."""
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sums.withColumn("inside", ahead(Window.partitionBy("block").orderBy("part")))
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n")).withColumn("outside", ahead(Window.orderBy("block"))).drop("n")
+    return inside.join(blocks, "block").select("part", (F.col("inside") + F.col("outside")).alias("before"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary: little-endian unsigned 32-bit) from the files."""
     shards = spark.read.schema(SHARD).parquet(path)
-    sizes = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row for each part
-    starts = dict(zip(sorted(sizes), np.concatenate(([0], np.cumsum([sizes[p] for p in sorted(sizes)]))).tolist(), strict=False))
-    shared = spark.sparkContext.broadcast(starts)
+    starts = _starts(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -147,21 +189,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 held.append((row, split_blocks(row["blocks"])))
                 count += len(held[-1][1])
                 if count >= SIDE_BY_SIDE:
-                    yield _documents(held, shared.value)
+                    yield _documents(held)
                     held, count = [], 0
         if held:
-            yield _documents(held, shared.value)
+            yield _documents(held)
 
-    return shards.mapInArrow(run, "doc_id long, start long, ids binary")
+    placed = shards.join(F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts, "part")
+    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def _documents(held: list[tuple[dict, list[bytes]]], starts: dict[int, int]) -> pa.RecordBatch:
+def _documents(held: list[tuple[dict, list[bytes]]]) -> pa.RecordBatch:
     decoded = iter(decode_blocks([b for _, blocks in held for b in blocks], held[0][0]["vocabulary"]))
     ids, first, texts = [], [], []
     for row, blocks in held:
         own = np.concatenate([np.zeros(0, "<u4"), *[next(decoded) for _ in blocks]]).astype("<u4")
         stops = np.cumsum(row["lengths"])
-        base = starts[row["part"]] + row["part_start"]
+        base = row["before"] + row["part_start"]
         for doc_id, n, stop in zip(row["doc_ids"], row["lengths"], stops.tolist(), strict=True):
             ids.append(doc_id)
             first.append(base + stop - n)
@@ -171,7 +214,7 @@ def _documents(held: list[tuple[dict, list[bytes]]], starts: dict[int, int]) ->
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """write() into the shared folder, and read() back."""
-    path = f"{shared_dir(docs.sparkSession)}/gridloom-tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(docs.sparkSession)}/gridloom-tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer_path, end_id, id_col, text_col)
     return read(docs.sparkSession, path)
 
