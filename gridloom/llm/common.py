@@ -12,6 +12,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import shared_folder
 
 #: Tables staged by this process.
 _STAGED: list[str] = []
@@ -21,19 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), one is chosen."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/gridloom-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
     _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,16 +42,13 @@ def drop_staged(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame, text_col: str = "text") -> int:
-    """Catalyst's size estimate of a frame, which for a file scan follows the size of its files; where it has none, the bytes of the text."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
+    """Bytes of all texts, from a scan of that column alone; sizes of files tell little, as texts pack well or badly."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0])
 
 
-def groups_for(scan_bytes: int, bytes_each: int, least: int = 1) -> int:
+def groups_for(size: int, bytes_each: int, least: int = 1) -> int:
     """How many groups of about bytes_each an input makes; grows with the input, without a cap."""
-    return max(least, math.ceil(scan_bytes / bytes_each))
+    return max(least, math.ceil(size / bytes_each))
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -9,8 +9,11 @@ Words are runs without ASCII white space, taken unchanged.
 
 Defined results: a null text has no words; windows never cross documents and are judged on the input;
 an equal id is not smaller, so rows of one id do not bear on each other; a null id counts as larger
-than every id; texts shorter than a window stay whole; an empty table gives an empty result; other
-columns are not read.
+than every id; texts shorter than a window stay whole, longer ones of any length are parsed whole; an
+empty table gives an empty result; other columns are not read.
+
+Regions fold into one by a 64-bit hash of their words, and windows of a hot seed are told apart by 128-bit
+hashes (seed_search); within a block words, as 64-bit hashes, are compared one by one.
 """
 
 from __future__ import annotations

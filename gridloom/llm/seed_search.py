@@ -39,7 +39,7 @@ LAST_ID = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Plan:
-    """What is searched, and in what portions: bytes of the input's files for a chunk and a bucket, and the regions of a seed from which on it is hot.
+    """What is searched, and in what portions: bytes of text for a chunk and a bucket, and the regions of a seed from which on it is hot.
 
     near: shorter windows whose seeds are only asked for (marks); 0 for none.
     """
@@ -47,8 +47,8 @@ class Plan:
     window: int
     gram: int
     near: int = 0
-    chunk_bytes: int = 2 << 20
-    bucket_bytes: int = 4 << 20
+    chunk_bytes: int = 3 << 20
+    bucket_bytes: int = 6 << 20
     hot_regions: int = 2048
 
 
