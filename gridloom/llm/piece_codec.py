@@ -10,7 +10,7 @@ outside the vocabulary never merge), so texts of any length are encoded whole, a
 segment of a batch once.
 
 Defined results: a null or empty text gives the begin and end ids only; characters outside the
-vocabulary become byte pieces; rows are encoded each by itself, so repeated rows, equal or null ids,
+vocabulary become byte pieces; texts of any length are encoded whole; rows are encoded each by itself, so repeated rows, equal or null ids,
 and empty tables need no care; other columns of the input are not read.
 """
 
@@ -55,6 +55,8 @@ class PrefixTable:
         self.piece = {i: p.piece for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.rank = {p.piece: (-p.score, i) for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.bytes_at = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
+        if len(self.bytes_at) < 256:
+            raise ValueError("a piece for each byte is needed")
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece has white space after other characters")
         self.known = frozenset("".join(self.rank))

@@ -37,11 +37,12 @@ HINTS = ("passw", "secret", "token", "api")
 
 @dataclass(frozen=True)
 class OwnershipRules:
-    """A candidate token has min_length characters, a digit, letters and min_entropy bits a character; a value held by example_owners or more owners is an example."""
+    """A candidate token has min_length characters, a digit, letters and min_entropy bits a character; a value that example_owners or more owners hold, in example_repos or more repositories, is an example."""
 
     min_length: int = 20
     min_entropy: float = 3.2
     example_owners: int = 2
+    example_repos: int = 2
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str]]:
@@ -118,7 +119,7 @@ def ownership(scanned: DataFrame, rules: OwnershipRules) -> DataFrame:
     """
     values = scanned.select("repo", "owner", F.explode(F.concat("base", "extra")).alias("c")).select("repo", "owner", F.col("c.value_hash").alias("value_hash"))
     held = values.groupBy("repo", "owner", "value_hash").agg(F.count(F.lit(1)).alias("n"))
-    return held.groupBy("value_hash").agg(F.sum("n").alias("n"), F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("verdict", F.when(F.col("n_owners") >= rules.example_owners, "example").otherwise("live"))
+    return held.groupBy("value_hash").agg(F.sum("n").alias("n"), F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("verdict", F.when((F.col("n_owners") >= rules.example_owners) & (F.col("n_repos") >= rules.example_repos), "example").otherwise("live"))
 
 
 def find_secrets(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:

@@ -212,6 +212,29 @@ def test_token_files_round_trip(spark):
     assert token_files.round_trip(spark.createDataFrame([], SCHEMA), WORDS, 1).collect() == []
 
 
+def test_tokenizers_that_look_across_white_space_are_refused():
+    import json
+
+    with open(WORDS, encoding="utf-8") as file:
+        model = file.read()
+    assert token_files.drops_white_space(model)
+    for pattern in (r"\s?[\p{L}]+|[^\s\p{L}]+", r"[\p{L}]+|[^\p{L}]+", r"\S+|\n"):
+        spec = json.loads(model)
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+        with pytest.raises(ValueError):
+            token_files.WordTokenizer(json.dumps(spec))
+    spec = json.loads(model)
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    assert not token_files.drops_white_space(json.dumps(spec))
+
+
+def test_starts_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_PARTS", 3)
+    sizes = {p: p * 7 % 11 for p in range(40) if p % 4}
+    shards = spark.createDataFrame([(p, n - n // 2) for p, n in sizes.items()] + [(p, n // 2) for p, n in sizes.items()], "part int, n_ids long")
+    assert {r.part: r.before for r in token_files._starts(shards).collect()} == {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+
+
 @pytest.mark.parametrize("vocabulary", [2, 300, 49408, 1 << 20])
 def test_blocks_stand_alone(vocabulary):
     rng = np.random.default_rng(7)
@@ -277,3 +300,11 @@ def test_url_filter_matches_deep_paths(spark, bound):
     urls = {1: "http://h.com/a/b", 2: "http://h.com/a/b/c", 3: "http://h.com/a//b/C/x?q", 4: "http://h.com/a/b/c/d/e/f", 5: "http://h.com/a/b/cc"}
     got = {r.capture_id: (r.pattern, r.kept) for r in url_filter.evaluate(spark.createDataFrame([(k, u, date(2024, 2, 1)) for k, u in urls.items()], "page_id long, url string, fetched_on date"), entries, broadcast_rows=bound).collect()}
     assert got == {1: ("h.com/a", True), 2: ("h.com/a/b/c", False), 3: ("h.com/a/b/c", False), 4: ("h.com/a/b/c/d/e", True), 5: ("h.com/a", True)}
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_url_filter_reads_hosts_and_patterns_alike(spark, bound):
+    entries = spark.createDataFrame([("l", p, "block", date(2024, 1, 1), i) for i, p in enumerate(["b.com/", "c.com.", "[::1]", "10.1.2.3", "2.4", "D.com./x//y/"])], "list_name string, pattern string, action string, listed_on date, seq int")
+    urls = {1: "http://b.com", 2: "http://www.b.com/x", 3: "https://c.com./", 4: "http://www.c.com.:8080/q", 5: "http://[::1]:80/x", 6: "http://u:p@10.1.2.3/a", 7: "http://1.3.2.4/", 8: "http://d.com/x/y?z", 9: "http://d.com/x", 10: "http://[::2]/", 11: "http://c.com/" + "p/" * 3000}
+    got = {r.capture_id for r in url_filter.evaluate(spark.createDataFrame([(k, u, date(2024, 2, 1)) for k, u in urls.items()], "page_id long, url string, fetched_on date"), entries, broadcast_rows=bound).collect() if not r.kept}
+    assert got == {1, 2, 3, 4, 5, 6, 8, 11}
