@@ -42,14 +42,18 @@ def _axis(grid: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
 
 
 def gaussian(sigma: float, truncate: float = 4.0) -> Kernel:
-    """Gaussian smoothing; missing cells count as the mean of the others."""
+    """Gaussian smoothing; of a neighbourhood with missing cells the present ones count, with their weights."""
     k = int(truncate * sigma + 0.5)
     weights = np.exp(-0.5 * (np.arange(-k, k + 1) / sigma) ** 2)
     weights /= weights.sum()
 
     def run(grid: np.ndarray) -> np.ndarray:
-        filled = np.where(np.isnan(grid), np.nanmean(grid), grid)
-        return _axis(_axis(filled, weights, 0), weights, 1)
+        both = lambda x: _axis(_axis(x, weights, 0), weights, 1)
+        there = ~np.isnan(grid)
+        if there.all():
+            return both(grid)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return both(np.where(there, grid, 0.0)) / both(there.astype(float))
 
     return run
 
@@ -101,8 +105,11 @@ def attribute_profile(radii: tuple[int, ...] = (3, 5, 8, 12)) -> Kernel:
     return run
 
 
-def edge_density(sigma: float = 1.5, spread: float = 5.0, high: float = 0.2, low: float = 0.1) -> Kernel:
-    """Thinned gradient edges with two thresholds (shares of the strongest), smoothed."""
+def edge_density(sigma: float = 1.5, spread: float = 5.0, high: float = 0.2, low: float = 0.1, strongest: float | None = None) -> Kernel:
+    """Thinned gradient edges with two thresholds (shares of the strongest gradient), smoothed.
+
+    On tiles the strongest gradient of the whole raster is to be given; without it the grid's own counts.
+    """
 
     def run(grid: np.ndarray) -> np.ndarray:
         smooth = gaussian(sigma)(grid)
@@ -115,7 +122,7 @@ def edge_density(sigma: float = 1.5, spread: float = 5.0, high: float = 0.2, low
         for s, (r, c) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
             ahead, behind = padded[1 + r : 1 + r + h, 1 + c : 1 + c + w], padded[1 - r : 1 - r + h, 1 - c : 1 - c + w]
             keep |= (sector == s) & (size >= ahead) & (size >= behind)
-        top = size.max() or 1.0
+        top = (np.nanmax(size) if strongest is None else strongest) or 1.0
         strong, weak = keep & (size >= high * top), keep & (size >= low * top)
         while True:
             grown = weak & (_extreme(strong.astype(float), disk_element(1) + [(1, 1), (1, -1), (-1, 1), (-1, -1)], np.max, 0) > 0)
@@ -177,15 +184,15 @@ def peaks(grid: np.ndarray, apart: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def crowns(sigma: float = 1.0, apart: int = 3, least: float = 0.3) -> Kernel:
-    """Crown numbers (0 is none): a watershed that floods a smoothed grid from its peaks, highest cells first."""
+def crowns(sigma: float = 1.0, apart: int = 3, least: float = 0.3, by_place: bool = False) -> Kernel:
+    """Crown numbers (0 is none): a watershed that floods a smoothed grid from its peaks, highest cells first. by_place: the place of the peak in the grid, plus 1, is the number."""
 
     def run(grid: np.ndarray) -> np.ndarray:
-        smooth = gaussian(sigma)(grid)
-        label = np.zeros(grid.shape, int)
+        smooth = np.nan_to_num(gaussian(sigma)(grid), nan=-np.inf)
+        label = np.zeros(grid.shape, np.int64)
         queue: list[tuple[float, int, int, int]] = []
         for i, (r, c) in enumerate(peaks(smooth, apart, least), 1):
-            heapq.heappush(queue, (-smooth[r, c], i, r, c))
+            heapq.heappush(queue, (-smooth[r, c], r * grid.shape[1] + c + 1 if by_place else i, r, c))
         while queue:
             _, i, r, c = heapq.heappop(queue)
             if label[r, c]:
@@ -194,41 +201,70 @@ def crowns(sigma: float = 1.0, apart: int = 3, least: float = 0.3) -> Kernel:
             for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
                 if 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1] and not label[y, x] and smooth[y, x] > least:
                     heapq.heappush(queue, (-smooth[y, x], i, y, x))
-        return label.astype(float)
+        return label if by_place else label.astype(float)
 
     return run
 
 
-def superpixels(side: int = 8, compactness: float = 10.0, rounds: int = 5) -> Kernel:
-    """Segment numbers by k-means over value and place, each centre within reach of its neighbourhood."""
+def superpixels(side: int = 8, compactness: float = 10.0, rounds: int = 5) -> Callable[..., np.ndarray]:
+    """Segment numbers by k-means over value and place, each centre within reach of its neighbourhood; missing cells get 0.
 
-    def run(grid: np.ndarray) -> np.ndarray:
-        filled = np.nan_to_num(grid, nan=float(np.nanmean(grid)) if not np.isnan(grid).all() else 0.0)
+    Centres start in cells of `side` counted from the raster's corner (row0 and col0 are the grid's place
+    in it), and a segment is named by its centre's first place in the grid, plus 1. What a cell gets depends on cells
+    within `superpixel_reach` of it.
+    """
+
+    def run(grid: np.ndarray, row0: int = 0, col0: int = 0) -> np.ndarray:
+        there = ~np.isnan(grid)
+        filled = np.where(there, grid, 0.0)
         h, w = filled.shape
-        rows, cols = np.meshgrid(np.arange(side // 2, max(h, side // 2 + 1), side), np.arange(side // 2, max(w, side // 2 + 1), side), indexing="ij")
-        centre = np.stack([rows.ravel().clip(0, h - 1), cols.ravel().clip(0, w - 1)], axis=1).astype(float)
-        value = filled[centre[:, 0].astype(int), centre[:, 1].astype(int)]
-        label = np.zeros((h, w), int)
+        first = lambda at, n: np.arange(at - at % side + side // 2 - at, n, side)
+        rows, cols = ([x for x in first(at, n).tolist() if 0 <= x] or [min(side // 2, n - 1)] for at, n in ((row0, h), (col0, w)))
+        start = np.array([(r, c) for r in rows for c in cols])
+        name = start[:, 0] * w + start[:, 1] + 1
+        centre = start.astype(float)
+        value = filled[start[:, 0], start[:, 1]]
+        label = np.zeros((h, w), np.int64)
+        yy, xx = np.indices((h, w))
         for _ in range(rounds):
             best = np.full((h, w), np.inf)
             for k, ((r, c), v) in enumerate(zip(centre, value, strict=True)):
                 y0, y1, x0, x1 = max(int(r) - side, 0), int(r) + side + 1, max(int(c) - side, 0), int(c) + side + 1
-                yy, xx = np.ogrid[y0 : min(y1, h), x0 : min(x1, w)]
-                d = (filled[y0:y1, x0:x1] - v) ** 2 + (compactness / side) ** 2 * ((yy - r) ** 2 + (xx - c) ** 2)
+                d = (filled[y0:y1, x0:x1] - v) ** 2 + (compactness / side) ** 2 * ((yy[y0:y1, x0:x1] - r) ** 2 + (xx[y0:y1, x0:x1] - c) ** 2)
                 closer = d < best[y0:y1, x0:x1]
                 best[y0:y1, x0:x1][closer] = d[closer]
                 label[y0:y1, x0:x1][closer] = k
-            count = np.bincount(label.ravel(), minlength=len(centre))
+            flat = label.ravel()
+            count = np.bincount(flat, there.ravel().astype(float), len(centre))
             used = count > 0
-            for target, weight in ((value, filled), (centre[:, 0], np.indices((h, w))[0]), (centre[:, 1], np.indices((h, w))[1])):
-                target[used] = np.bincount(label.ravel(), weight.ravel().astype(float), len(centre))[used] / count[used]
-        return label.astype(float) + 1
+            for target, weight in ((value, filled), (centre[:, 0], yy), (centre[:, 1], xx)):
+                target[used] = np.bincount(flat, np.where(there, weight, 0).ravel().astype(float), len(centre))[used] / count[used]
+        return np.where(there, name[label], 0)
 
     return run
 
 
-def label_tiles(df: DataFrame, value: str, kernel: Kernel, size: int, result: str) -> DataFrame:
-    """Like apply_tiles() without a halo, for kernels that number segments: a number is made unique by its tile."""
-    tiles = apply_tiles(df, value, kernel, 0, size, result)
-    tile = F.floor(F.col("row") / size).cast("long") * 1_000_000 + F.floor(F.col("col") / size).cast("long")
-    return tiles.select("row", "col", F.when(F.col(result) > 0, tile * 1_000_000 + F.col(result).cast("long")).otherwise(0).alias(result))
+def superpixel_reach(side: int, rounds: int) -> int:
+    """In each round a cell's segment depends on centres within `side`, and these on cells within `side` of them and on their own move."""
+    return 3 * side * rounds
+
+
+def label_tiles(df: DataFrame, value: str, kernel: Callable[..., np.ndarray], halo: int, size: int, result: str, placed: bool = False) -> DataFrame:
+    """row, col, result: kernels that number segments by the place of one of their cells (plus 1), on halo tiles.
+
+    A segment is known by that cell's place in the raster, as row * 2**31 + col + 1, so tiles agree on it
+    without merging, as long as the halo holds what a cell's segment depends on. placed: the kernel takes the tile's first row and column too.
+    """
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(tile["row"].min()), int(tile["col"].min())
+        grid = np.full((tile["row"].max() - r0 + 1, tile["col"].max() - c0 + 1), np.nan)
+        grid[tile["row"] - r0, tile["col"] - c0] = tile[value].astype(float)
+        label = kernel(grid, r0, c0) if placed else kernel(grid)
+        r, c = np.divmod(label - 1, grid.shape[1])
+        name = np.where(label > 0, (r + r0) * (1 << 31) + c + c0 + 1, 0)
+        inner = tile[tile["inner"]]
+        return pd.DataFrame({"row": inner["row"], "col": inner["col"], result: name[inner["row"] - r0, inner["col"] - c0]})
+
+    tiles = halo_tiles(df.select("row", "col", value), size, halo)
+    return tiles.groupBy("tile_row", "tile_col").applyInPandas(run, f"row int, col int, {result} long")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.guards import clip, ratio
+from gridloom.operators.ranks import percentiles
 from gridloom.sources.shared import staged
 
 Aggregate = Callable[[Column], Column]
@@ -185,10 +186,10 @@ def segment_majority(df: DataFrame, segment: str, value: str, keys: list[str]) -
     return df.join(best, segment, "left").select(*keys, segment, F.coalesce(-F.col("__b.__c"), F.col(value)).alias(value))
 
 
-def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> Column:
-    """(value, stretched) of a frame: 0 at its low and 1 at its high percentile."""
-    bounds = df.agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(value, clip(ratio(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")), 0, 1)).drop("__lo", "__hi")
+def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """df with its value stretched: 0 at the low and 1 at the high percentile of all its rows."""
+    lo, hi = (F.lit(x).cast("double") for x in percentiles(df, value, [low, high]))
+    return df.withColumn(value, clip(ratio(F.col(value) - lo, hi - lo), 0, 1))
 
 
 def regions(df: DataFrame, mask: str, eight: bool = False) -> DataFrame:

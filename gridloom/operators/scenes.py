@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.guards import clip, ratio
+from gridloom.operators.ranks import percentiles
 from gridloom.operators.raster import box, box_mean_variance, percentile_stretch
 
 # First day of each sensor.
@@ -126,9 +127,9 @@ def species_name(nir_red: Column, green: Column, ndvi: Column, nir: Column, grou
 
 def texture_proxies(df: DataFrame, value: str, k: int, levels: int = 32) -> DataFrame:
     """Contrast, homogeneity, entropy and angular second moment estimated from the local variance of a quantised band; edges repeated."""
-    bounds = df.agg(F.percentile(value, F.lit(0.02)).alias("__lo"), F.percentile(value, F.lit(0.98)).alias("__hi"))
-    level = F.floor(clip((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-10) * (levels - 1), 0, levels - 1)).cast("double")
-    stats = box_mean_variance(df.crossJoin(F.broadcast(bounds)).select("row", "col", level.alias(value)), value, k, "nearest")
+    lo, hi = (F.lit(x).cast("double") for x in percentiles(df, value, [0.02, 0.98]))
+    level = F.floor(clip((F.col(value) - lo) / (hi - lo + 1e-10) * (levels - 1), 0, levels - 1)).cast("double")
+    stats = box_mean_variance(df.select("row", "col", level.alias(value)), value, k, "nearest")
     v = F.col("variance")
     return stats.select("row", "col", v.alias("contrast"), (1 / (1 + v)).alias("homogeneity"), F.log(F.sqrt(v) + 1e-8 + 1).alias("entropy"), (1 / ((1 + v) * (1 + v))).alias("asm"))
 

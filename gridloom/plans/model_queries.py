@@ -165,15 +165,15 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("m4_crowns")
 def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crowns of a canopy surface and their areas, three cells at least."""
+    """Crowns of a canopy surface and their areas, three cells at least; crowns of up to 48 cells across do not depend on the tiles."""
     d = fx.dem(spark, sf_dir).withColumn("v", (C("z") % 100) / 100)
-    labels = kernels.label_tiles(d, "v", kernels.crowns(), 64, "crown")
+    labels = kernels.label_tiles(d, "v", kernels.crowns(by_place=True), 48, 128, "crown")
     return labels.filter("crown > 0").groupBy("crown").agg(F.count(F.lit(1)).alias("area")).filter("area >= 3")
 
 
 @REGISTRY.query("m7_superpixels")
 def superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.label_tiles(fx.dem(spark, sf_dir), "z", kernels.superpixels(8), 64, "segment")
+    return kernels.label_tiles(fx.dem(spark, sf_dir), "z", kernels.superpixels(8), kernels.superpixel_reach(8, 5), 256, "segment", placed=True)
 
 
 @REGISTRY.query("m11_circuit")

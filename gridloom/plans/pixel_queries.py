@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import classes, radiometry, scores, spectral
-from gridloom.functions.guards import clip, r6, ratio
+from gridloom.functions.guards import r6
 from gridloom.operators import composites as co
+from gridloom.operators.ranks import percentiles
+from gridloom.operators.raster import percentile_stretch
 from gridloom.plans.registry import Registry
 from gridloom.sources import fixtures as fx
 
@@ -155,17 +157,16 @@ def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT px_row, px_col, {_r('CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE w * a + (1 - w) * b END AS fused')} FROM (SELECT j.*, least(greatest(1 - abs(a - b) / nullif(p, 0), 0.1), 1) AS w FROM j, t)", "obs",
     j="SELECT px_row, px_col, median(CASE WHEN sensor = 'landsat' THEN nir END) AS a, median(CASE WHEN sensor = 'sentinel2' AND acq_date < DATE '1996-01-01' THEN nir END) AS b FROM obs GROUP BY 1, 2", t="SELECT quantile_cont(abs(a - b), 0.95) AS p FROM j"))
 def sensor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sensors' composites fused by agreement; the 95th percentile of their difference is one row."""
+    """Two sensors' composites fused by agreement, as against the 95th percentile of their difference."""
     j = fx.obs(spark, sf_dir).groupBy(*PX).agg(F.median(F.when(C("sensor") == "landsat", C("nir"))).alias("a"), F.median(F.when((C("sensor") == "sentinel2") & (C("acq_date") < F.lit("1996-01-01").cast("date")), C("nir"))).alias("b"))
-    p = j.agg(F.percentile(F.abs(C("a") - C("b")), F.lit(0.95)).alias("p"))
-    return j.crossJoin(F.broadcast(p)).select(*PX, r6(co.fuse_sensors(C("a"), C("b"), C("p"))).alias("fused"))
+    p = percentiles(j.select(F.abs(C("a") - C("b")).alias("d")), "d", [0.95])[0]
+    return j.select(*PX, r6(co.fuse_sensors(C("a"), C("b"), F.lit(p).cast("double"))).alias("fused"))
 
 
 @REGISTRY.query("a33_contrast_stretch", fx.sql(f"SELECT px_row, px_col, {_r('least(greatest((m - lo) / nullif(hi - lo, 0), 0), 1) ** 0.85 AS shade')} FROM m, s", "obs", m="SELECT px_row, px_col, avg(red) AS m FROM obs GROUP BY 1, 2", s="SELECT quantile_cont(m, 0.02) AS lo, quantile_cont(m, 0.98) AS hi FROM m"))
 def contrast_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.obs(spark, sf_dir).groupBy(*PX).agg(F.avg("red").alias("m"))
-    s = m.agg(F.percentile("m", F.lit(0.02)).alias("lo"), F.percentile("m", F.lit(0.98)).alias("hi"))
-    return m.crossJoin(F.broadcast(s)).select(*PX, r6(F.pow(clip(ratio(C("m") - C("lo"), C("hi") - C("lo")), 0, 1), F.lit(0.85))).alias("shade"))
+    return percentile_stretch(m, "m").select(*PX, r6(F.pow(C("m"), F.lit(0.85))).alias("shade"))
 
 
 @REGISTRY.query("a21_histogram", fx.sql("SELECT sensor, CAST(CASE WHEN nir >= 0.08 THEN 51 ELSE floor(nir / 0.08 * 50) + 1 END AS BIGINT) AS bin, count(*) AS n FROM obs GROUP BY 1, 2", "obs"))

@@ -94,6 +94,34 @@ def test_kernels_do_not_see_tile_seams(spark):
     assert kernels.edge_density()(np.repeat([[0.0] * 10 + [1.0] * 10], 20, axis=0)).argmax(axis=1).mean() == pytest.approx(9.5, abs=1)
 
 
+def test_segments_do_not_see_tile_seams(spark):
+    rng = np.random.default_rng(8)
+    r, c = np.indices((60, 70))
+    wave = (np.sin(r / 3.1) * np.cos(c / 2.7) + 1) / 2 + rng.random((60, 70)) * 0.05
+    wave[20:23, 30:40] = np.nan
+    label = lambda kernel, halo, size, placed=False: back(kernels.label_tiles(grid(spark, wave), "z", kernel, halo, size, "label", placed), "label", wave.shape)
+    assert (label(kernels.crowns(by_place=True), 24, 13) == label(kernels.crowns(by_place=True), 24, 200)).all()
+    pixels = kernels.superpixels(4, 0.5, 2)
+    assert (label(pixels, kernels.superpixel_reach(4, 2), 17, True) == label(pixels, 0, 200, True)).all()
+    smooth = [back(kernels.apply_tiles(grid(spark, wave), "z", kernels.gaussian(2.0), 8, size=n), "result", wave.shape).astype(float) for n in (15, 200)]
+    assert np.allclose(*smooth, equal_nan=True)
+    # A missing neighbourhood counts by what is there: a constant stays constant.
+    holes = np.where(rng.random((30, 30)) < 0.3, np.nan, 5.0)
+    assert np.allclose(kernels.gaussian(1.5)(holes), 5.0)
+
+
+def test_percentiles_by_ranks(spark, monkeypatch):
+    from gridloom.operators import ranks
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(ranks, "FEW", 5)
+    monkeypatch.setattr(ranks, "BINS", 16)
+    for values in (rng.normal(size=3000), rng.integers(0, 7, 500).astype(float), np.full(40, 2.5), np.concatenate((rng.random(200) * 1e-9, [1e12, -1e12])), np.array([3.0]), np.array([1.0, np.nextafter(1.0, 2.0)] * 9)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "x double")
+        assert np.allclose(ranks.percentiles(df, "x", [0.0, 0.02, 0.5, 0.98, 1.0]), np.percentile(values, [0, 2, 50, 98, 100]), rtol=1e-12, atol=0)
+    assert ranks.percentiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+
+
 def test_composites(spark):
     rows = [(1, i, 0.1 * i, 0.2, i != 2) for i in range(4)] + [(2, 0, 0.3, 0.3, False)]
     obs = spark.createDataFrame(rows, "px int, t int, a double, b double, clear boolean")
