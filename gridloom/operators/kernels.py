@@ -36,7 +36,7 @@ def apply_tiles(df: DataFrame, value: str, kernel: Kernel, halo: int, size: int
 
 def _axis(grid: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     k = len(weights) // 2
-    padded = np.pad(grid, [(k, k) if a == axis else (0, 0) for a in range(2)], "symmetric" if min(grid.shape) >= k else "edge")
+    padded = np.pad(grid, [(k, k) if a == axis else (0, 0) for a in range(2)], "symmetric")
     n = grid.shape[axis]
     return sum(w * np.take(padded, range(i, i + n), axis) for i, w in enumerate(weights))
 

@@ -17,7 +17,11 @@ REGISTRY = Registry()
 C = F.col
 
 
-def _encoder_sql() -> str:
+_D = lambda a, b: f"CASE WHEN {a} + {b} = 0 THEN 0 ELSE ({a} - {b}) / nullif({a} + {b}, 0) END"
+
+
+def _encoder_sql(select: str, source: str, ndwi: str, mndwi: str, awei: str, **more: str) -> str:
+    """DuckDB text over `p`, the source's rows with the probabilities p0 to p7 of the water encoder."""
     u = encoders.water_circuit().tolist()
     terms = []
     for k in range(8):
@@ -25,15 +29,61 @@ def _encoder_sql() -> str:
         rest = " + ".join(f"({u[k][j]!r}) * s{j}" for j in range(2, 8))
         terms.append(f"({turned} * cos(a3) + {rest}) ** 2 + ({turned} * sin(a3)) ** 2 AS p{k}")
     states = ", ".join(f"{'sin' if k & 4 else 'cos'}(a1 / 2) * {'sin' if k & 2 else 'cos'}(a2 / 2) * {'sin' if k & 1 else 'cos'}(a3 / 2) AS s{k}" for k in range(8))
-    d = lambda a, b: f"CASE WHEN {a} + {b} = 0 THEN 0 ELSE ({a} - {b}) / nullif({a} + {b}, 0) END"
     return fx.sql(
-        f"SELECT {fx.KEY_SQL}, round(p0 + p1, 6) + 0.0 AS water, round(greatest(p0, p1, p2, p3, p4, p5, p6, p7), 6) AS confidence FROM p", "obs",
-        a=f"SELECT *, (1 - 0.3::DOUBLE * ({d('green', 'nir')})) / 2 * pi() AS a1, (1 - coalesce(0.35::DOUBLE * ({d('green', 'swir1')}), 0)) / 2 * pi() AS a2, (1 - 1 / (1 + exp(-coalesce(0.35::DOUBLE * (4 * (green - swir1) - (0.25 * nir + 2.75 * swir2)), 0)))) * pi() AS a3 FROM obs",
+        select, "obs", **more,
+        a=f"SELECT *, (1 - {ndwi}) / 2 * pi() AS a1, (1 - coalesce({mndwi}, 0)) / 2 * pi() AS a2, (1 - 1 / (1 + exp(-coalesce({awei}, 0)))) * pi() AS a3 FROM {source}",
         s=f"SELECT *, {states} FROM a", p=f"SELECT *, {', '.join(terms)} FROM s",
     )
 
 
-@REGISTRY.query("m9_water_encoder", _encoder_sql())
+_WATER_SQL = _encoder_sql(
+    f"SELECT {fx.KEY_SQL}, round(p0 + p1, 6) + 0.0 AS water, round(greatest(p0, p1, p2, p3, p4, p5, p6, p7), 6) AS confidence FROM p",
+    "obs", f"0.3::DOUBLE * ({_D('green', 'nir')})", f"0.35::DOUBLE * ({_D('green', 'swir1')})", "0.35::DOUBLE * (4 * (green - swir1) - (0.25 * nir + 2.75 * swir2))",
+)
+_DRAW = lambda part: f"(CAST('0x' || substr(md5(concat_ws('|', {fx.KEY_SQL}, sample, '{42 + part}')), 1, 10) AS BIGINT) + 0.5) / {1 << 40}::DOUBLE"
+_NOISE_SQL = _encoder_sql(
+    f"SELECT {fx.KEY_SQL}, round(avg(p0 + p1), 6) AS mean, round(stddev_pop(p0 + p1), 6) AS std FROM p GROUP BY ALL",
+    "disturbed", f"0.3::DOUBLE * ({_D('green', 'nir')})", "0.0::DOUBLE", "0.0::DOUBLE",
+    sampled="SELECT *, unnest(range(8)) AS sample FROM obs",
+    disturbed=f"SELECT * REPLACE (CASE WHEN sample = 0 THEN green ELSE green + 0.02::DOUBLE * sqrt(-2 * ln({_DRAW(0)})) * cos(2 * pi() * {_DRAW(1)}) END AS green) FROM sampled",
+)
+
+
+def _classes_sql() -> str:
+    rows = ", ".join(f"list_dot_product(v, {[float(x) for x in row]})" for row in encoders.class_circuit())
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS f FROM embeddings),
+ n AS (SELECT vec_id, list_concat(f, list_transform(range(16 - len(f)), lambda i: 0.0::DOUBLE)) AS f, sqrt(list_sum(list_transform(f, lambda x: x * x))) AS norm FROM e),
+ u AS (SELECT vec_id, CASE WHEN norm > 1e-10 THEN list_transform(f, lambda x: x / norm) ELSE list_concat([1.0::DOUBLE], list_transform(range(15), lambda i: 0.0::DOUBLE)) END AS v FROM n),
+ b AS (SELECT vec_id, list_transform([{rows}], lambda x: x * x) AS q FROM u),
+ p AS (SELECT vec_id, list_transform(range(1, 9), lambda c: q[2 * c - 1] + q[2 * c]) AS p FROM b)
+ SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INT) AS best, round(list_max(p), 6) AS top, round(-list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)) / 3, 6) AS entropy FROM p"""
+
+
+def _smooth_sql(sigma: float, select: str) -> str:
+    """DuckDB text over `g`: the grid (row, col, z) and its Gaussian surface s, edges mirrored as often as needed."""
+    reach = int(4 * sigma + 0.5)
+    mirror = lambda at, lo, hi: f"CASE WHEN (({at} - {lo}) % n2 + n2) % n2 < n2 / 2 THEN {lo} + (({at} - {lo}) % n2 + n2) % n2 ELSE {lo} + n2 - 1 - (({at} - {lo}) % n2 + n2) % n2 END"
+    one = lambda axis, other, source: (
+        f"SELECT t.{axis}, t.{other}, t.z, sum(x.s * t.w) AS s FROM (SELECT *, {mirror(f'{axis} + i', 'lo', 'hi')} AS at FROM {source}, w, (SELECT min({axis}) AS lo, max({axis}) AS hi, 2 * (max({axis}) - min({axis}) + 1) AS n2 FROM {source})) t JOIN {source} x ON x.{axis} = t.at AND x.{other} = t.{other} GROUP BY 1, 2, 3"
+    )
+    return fx.sql(
+        select, "dem", w=f"SELECT i, exp(-0.5 * (i / {sigma}::DOUBLE) ** 2) / (SELECT sum(exp(-0.5 * (j / {sigma}::DOUBLE) ** 2)) FROM (SELECT unnest(range(-{reach}, {reach + 1})) AS j)) AS w FROM (SELECT unnest(range(-{reach}, {reach + 1})) AS i)",
+        z0="SELECT row, col, z, z AS s FROM dem", z1=one("row", "col", "z0"), g=one("col", "row", "z1"),
+    )
+
+
+def _hats_sql(select: str, elements: list[list[tuple[int, int]]], hats: str) -> str:
+    """DuckDB text over `h`: row, col and each element's opening (o) and closing (c) of the grid, cut at its edges."""
+    values = ", ".join(f"({k}, {r}, {c})" for k, e in enumerate(elements) for r, c in e)
+    step = lambda pick, source, sign: f"SELECT k, row, col, {pick}(v) AS v FROM (SELECT x.k, x.row {sign} e.r AS row, x.col {sign} e.c AS col, x.v FROM e JOIN {source} x ON x.k = e.n) SEMI JOIN dem USING (row, col) GROUP BY 1, 2, 3"
+    return fx.sql(
+        select, "dem", e=f"SELECT * FROM (VALUES {values}) t(n, r, c)", z="SELECT n AS k, row, col, z AS v FROM dem, (SELECT DISTINCT n FROM e)",
+        lo=step("min", "z", "-"), op=step("max", "lo", "+"), hi=step("max", "z", "-"), cl=step("min", "hi", "+"),
+        h=f"SELECT d.row, d.col, {hats} AS h FROM dem d JOIN op USING (row, col) JOIN cl USING (row, col, k) GROUP BY 1, 2",
+    )
+
+
+@REGISTRY.query("m9_water_encoder", _WATER_SQL)
 def water_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Water probability and confidence of the three-qubit encoder."""
     ndwi, mndwi = spectral.difference(C("green"), C("nir")), spectral.difference(C("green"), C("swir1"))
@@ -42,14 +92,14 @@ def water_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*fx.OBS_KEY, r6(C("water")).alias("water"), F.round("confidence", 6).alias("confidence"))
 
 
-@REGISTRY.query("m10_class_encoder")
+@REGISTRY.query("m10_class_encoder", _classes_sql())
 def class_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class probabilities of the four-qubit encoder, the best class and the share of the entropy."""
     p = fx.table(spark, sf_dir, "embeddings").select("vec_id", encoders.class_probabilities(F.slice("embedding", 1, 8)).alias("p"))
     return p.select("vec_id", scores.argmax(C("p")).alias("best"), F.round(F.array_max("p"), 6).alias("top"), F.round(scores.entropy_share(C("p")), 6).alias("entropy"))
 
 
-@REGISTRY.query("w10_anomaly")
+@REGISTRY.query("w10_anomaly", _smooth_sql(5.0, "SELECT row, col, round(least(greatest(((z - s) / (1.5 * d) + 3) / 6, 0), 1), 6) AS anomaly FROM g, (SELECT stddev_pop(z) AS d FROM g)"))
 def anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residual of a Gaussian surface in deviations, as 0..1."""
     d = fx.dem(spark, sf_dir)
@@ -58,12 +108,12 @@ def anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.crossJoin(F.broadcast(std)).select("row", "col", F.round(F.least(F.greatest(((C("z") - C("result")) / (1.5 * C("s")) + 3) / 6, F.lit(0.0)), F.lit(1.0)), 6).alias("anomaly"))
 
 
-@REGISTRY.query("w15_building_index")
+@REGISTRY.query("w15_building_index", _hats_sql("SELECT row, col, round(h, 6) AS mbi FROM h", [kernels.line_element(n, a) for n in (3, 5) for a in (0, 45, 90, 135)], "avg(d.z - op.v)"))
 def building_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply_tiles(fx.dem(spark, sf_dir), "z", kernels.building_index((3, 5)), 10, result="mbi").select("row", "col", F.round("mbi", 6).alias("mbi"))
 
 
-@REGISTRY.query("w16_attribute_profile")
+@REGISTRY.query("w16_attribute_profile", _hats_sql("SELECT row, col, round(h, 6) AS profile FROM h", [kernels.disk_element(r) for r in (3, 5)], "avg(cl.v - op.v) / 2"))
 def attribute_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply_tiles(fx.dem(spark, sf_dir), "z", kernels.attribute_profile((3, 5)), 10, result="profile").select("row", "col", F.round("profile", 6).alias("profile"))
 
@@ -189,7 +239,7 @@ def fidelity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.fidelity_svm(d, _F8, "y", 10).transform(d).select("vec_id", C("prediction").cast("int").alias("predicted"))
 
 
-@REGISTRY.query("a36_noise_samples")
+@REGISTRY.query("a36_noise_samples", _NOISE_SQL)
 def noise_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of the water probability over eight disturbed samples."""
     s = learning.noisy_samples(fx.obs(spark, sf_dir), fx.OBS_KEY, "green")

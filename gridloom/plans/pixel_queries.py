@@ -200,8 +200,8 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("p_partkey", "code", classes.crosswalk(C("code"), classes.CROSSWALK_8, 7).alias("class_8"), classes.crosswalk(C("code"), classes.CROSSWALK_12, 0).alias("class_12"))
 
 
-@REGISTRY.query("a38_stratified_sample", None)
+@REGISTRY.query("a38_stratified_sample", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey || ':42'), p_partkey) AS n FROM part) WHERE n <= 100")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred parts of each brand, chosen by a seeded hash: the same on every run."""
-    w = Window.partitionBy("p_brand").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey")
+    w = Window.partitionBy("p_brand").orderBy(F.md5(F.concat(C("p_partkey").cast("string"), F.lit(":42"))), "p_partkey")
     return fx.table(spark, sf_dir, "part").withColumn("n", F.row_number().over(w)).filter("n <= 100").select("p_brand", "p_partkey")

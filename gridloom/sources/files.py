@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridloom.operators.features import require_columns
+from gridloom.sources.shared import staged
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str] = (), schema: StructType | str | None = None) -> DataFrame:
@@ -54,17 +55,46 @@ def daily_values(rdb: DataFrame, parameter: str, statistic: str = "00003") -> Da
     return rdb.select("site_no", F.try_to_date(F.col("datetime")).alias("date"), F.col(column).try_cast("double").alias("value")).dropna(subset=["value"])
 
 
-def paged(spark: SparkSession, fetch, total: int, page: int, schema: str) -> DataFrame:
-    """Rows of a paged service: fetch(offset, limit) gives a list of dicts; pages are read by tasks, which are tried again by Spark."""
+def paged(spark: SparkSession, fetch, total: int | None, page: int, schema: str, wave: int = 64, skip_failed: bool = False) -> DataFrame:
+    """Rows of a paged service: fetch(offset, limit) gives a list of dicts; pages are read by tasks.
+
+    With a total its pages are read. Without one, waves of `wave` pages are read side by side until a page
+    comes short; each wave is staged, so no page is fetched twice. A page that fails fails the job, after
+    Spark's own attempts, or is left out if skip_failed.
+    """
+
+    named = StructType.fromDDL(f"__page string, {schema}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for offset in batch["id"]:
-                rows = fetch(int(offset), page)
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.range(0, total, page).repartition(max(1, -(-total // page))).mapInPandas(run, schema)
+                try:
+                    rows = fetch(int(offset), page)
+                except Exception:
+                    if not skip_failed:
+                        raise
+                    rows, state = [], "failed"
+                else:
+                    state = "full" if len(rows) >= page else "short"
+                for part, mark in ((rows, None), ([{}], state)):
+                    if part:
+                        frame = pd.DataFrame(part, dtype=object).reindex(columns=named.names)
+                        yield frame.assign(__page=mark)
+
+    def pages(first: int, stop: int) -> DataFrame:
+        count = max(1, -(-(stop - first) // page))
+        return spark.range(first, stop, page).repartition(count).mapInPandas(run, named)
+
+    if total is not None:
+        return pages(0, total).filter("__page is null").drop("__page")
+    out, at = None, 0
+    while True:
+        part = staged(pages(at, at + wave * page), "pages")
+        at += wave * page
+        rows = part.filter("__page is null").drop("__page")
+        out = rows if out is None else out.unionByName(rows)
+        if not part.filter("__page = 'short'").isEmpty():
+            return out
 
 
 # TIFF rasters: strips of uncompressed or deflated samples, one or more bands.

@@ -51,22 +51,32 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
 class SnapshotMonitor:
     """Diffs each poll with the one before; the first is the baseline and gives no event.
 
-    The state is a versioned table in a folder: a poll writes its own version first, so that one that
-    fails half-way leaves the version before it. Every sink gets the changes; one that fails does not stop the others.
+    The state is in a folder alone: a poll writes a version under its number, and compares it with the last
+    whole version of a smaller number. So a monitor that is started anew goes on where the last one ended,
+    a poll that failed half-way leaves no version, and one that is tried again under its number gives the same
+    changes. Every sink gets the changes; one that fails does not stop the others.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: list[str], sinks: list[Sink]):
-        self.spark, self.folder, self.key, self.sinks, self.version = spark, folder.rstrip("/"), key, sinks, None
+        self.spark, self.folder, self.key, self.sinks = spark, folder.rstrip("/"), key, sinks
         self.errors: list[tuple[int, Exception]] = []
 
-    def poll(self, snapshot: DataFrame, number: int) -> DataFrame | None:
-        """Changes since the poll before, or None for the first."""
+    def versions(self) -> list[int]:
+        """The numbers of the whole versions, in order."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(f.getPath().getParent().getName().removeprefix("version=")) for f in found or [])
+
+    def poll(self, snapshot: DataFrame, number: int | None = None) -> DataFrame | None:
+        """Changes since the poll before, or None for the first; without a number it is the one after the last."""
+        known = self.versions()
+        number = (known[-1] + 1 if known else 0) if number is None else number
         path = f"{self.folder}/version={number}"
         snapshot.write.mode("overwrite").parquet(path)
-        before, self.version = self.version, path
-        if before is None:
+        before = [n for n in known if n < number]
+        if not before:
             return None
-        changes = snapshot_diff(self.spark.read.parquet(before), self.spark.read.parquet(path), self.key)
+        changes = snapshot_diff(self.spark.read.parquet(f"{self.folder}/version={before[-1]}"), self.spark.read.parquet(path), self.key)
         if not changes.isEmpty():
             for sink in self.sinks:
                 try:
@@ -76,8 +86,9 @@ class SnapshotMonitor:
         return changes
 
     def watch(self, stream: DataFrame, minutes: int = 1) -> StreamingQuery:
-        """Poll with every batch of a stream; stop() ends it after the batch at hand."""
-        return stream.writeStream.foreachBatch(lambda batch, number: self.poll(batch, number) and None).trigger(processingTime=f"{max(1, minutes)} minutes").start()
+        """Poll with every batch of a stream, at once and then every few minutes; stop() ends it after the batch at hand. Its numbers go on after a restart, as its checkpoint is in the folder."""
+        polled = stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(lambda batch, number: self.poll(batch, number) and None)
+        return polled.trigger(processingTime=f"{max(1, minutes)} minutes").start()
 
 
 def append_json(path: str) -> Sink:

@@ -205,6 +205,18 @@ def test_files(spark, tmp_path):
         files.decode_tiff(b"nothing")
     rows = files.paged(spark, lambda o, n: [{"i": i} for i in range(o, min(o + n, 25))], 25, 10, "i long").collect()
     assert sorted(r.i for r in rows) == list(range(25))
+    big = 1 << 60
+
+    def page(offset, limit):
+        if offset == 30:
+            raise OSError("service is down")
+        return [{"i": big + i} for i in range(offset, min(offset + limit, 57))]
+
+    unknown = files.paged(spark, page, None, 10, "i long", wave=2, skip_failed=True)
+    assert sorted(r.i - big for r in unknown.collect()) == [i for i in range(57) if not 30 <= i < 40]
+    with pytest.raises(Exception, match="service is down"):
+        files.paged(spark, page, None, 10, "i long", wave=4).collect()
+    assert files.paged(spark, lambda o, n: [], None, 10, "i long").collect() == []
     features_ = features.to_geojson(spark.createDataFrame([(1, 2.0, 3.0)], "id int, lon double, lat double"), "lon", "lat")
     assert '"coordinates":[2.0,3.0]' in files.feature_collection(features_, 5)
     with pytest.raises(ValueError):
@@ -218,10 +230,25 @@ def test_snapshot_monitor(spark, tmp_path):
     changes = m.poll(snap([2, 3]), 1)
     assert seen == [(1, 2)] and len(m.errors) == 1 and monitor.message(changes, "id") == "1 added, 1 removed: 3"
     assert m.poll(snap([2, 3]), 2).count() == 0 and len(seen) == 1
+    # Another monitor on the folder goes on where this one stopped; a poll that is tried again gives the same.
+    again = monitor.SnapshotMonitor(spark, str(tmp_path / "s"), ["type", "id"], [])
+    assert again.versions() == [0, 1, 2] and again.poll(snap([3, 4])).count() == 2
+    assert again.poll(snap([3, 5]), 3).count() == 2 and again.versions() == [0, 1, 2, 3]
     monitor.append_json(str(tmp_path / "log"))(changes, 1)
     assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    seen, source = [], str(tmp_path / "in")
+    for ids in ([1, 2], [2, 3]):
+        spark.createDataFrame([("n", i) for i in ids], "type string, id int").coalesce(1).write.mode("append").parquet(source)
+        m = monitor.SnapshotMonitor(spark, str(tmp_path / "state"), ["type", "id"], [lambda c, n: seen.extend(sorted((r.id, r.status) for r in c.collect()))])
+        query = m.watch(spark.readStream.schema("type string, id int").parquet(source))
+        query.processAllAvailable()
+        query.stop()
+    assert seen == [(1, "removed"), (3, "added")]
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double").write.parquet(str(tmp_path / "t.parquet"))
     out = monitor.drain(monitor.running_counts(monitor.stream_table(spark, str(tmp_path), "t"), ["k"], "v"))
