@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,39 +68,35 @@ class Regions:
 class Chunk:
     """The runs of a chunk's documents."""
 
-    def __init__(self, group: pa.Table, plan: Plan, symbols_of: Callable[[bytes], np.ndarray], hash_of: Callable[[np.ndarray], np.ndarray]):
-        self.plan, self.hash_of = plan, hash_of
+    def __init__(self, group: pa.Table, plan: Plan, symbols_of: Callable[[bytes], np.ndarray], hash_of: Callable[[np.ndarray], np.ndarray], marks: bool = False):
+        self.plan, self.hash_of, self.shortest = plan, hash_of, plan.near if marks and plan.near else plan.window
         ids = group.column("doc_id")
         self.ids = ids.to_pylist()
         self.owner = np.array([LAST_ID if i is None else i for i in self.ids], np.int64)
         self.texts = list(utf8_of(group.column("text")))
         self.symbols = [symbols_of(t) for t in self.texts]
         parts: list[tuple[Runs, np.ndarray, np.ndarray]] = []
-        marks: list[np.ndarray] = [np.zeros((0, 3), np.uint64)]
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for slab in self._slabs():
             flat = hash_of(np.concatenate([self.symbols[d][a:b] for d, a, b in slab]))
             offsets = np.concatenate(([0], np.cumsum([b - a for _, a, b in slab])))
             doc, start = np.array([d for d, _, _ in slab]), np.array([a for _, a, _ in slab])
-            found, near = runs_and_marks(flat, offsets, plan.gram, plan.window, plan.near)
+            found, own = runs_and_marks(flat, offsets, plan.gram, plan.window, plan.near if marks else 0)
             parts.append((found, doc[found.text], start[found.text] - offsets[found.text]))
-            marks.append(np.stack([x.astype(np.uint64) for x in (doc[near.text], near.place + start[near.text] - offsets[near.text], near.seed)], axis=1))
+            near.append((doc[own.text], own.place + start[own.text] - offsets[own.text], own.seed))
+        self.mark_doc, self.mark_place, self.mark_seed = (np.concatenate(x) for x in zip(*near, strict=True))
         join = lambda pick, kind: np.concatenate([pick(*p) for p in parts]) if parts else np.zeros(0, kind)
         self.doc = join(lambda r, d, s: d, np.int64)
         self.first = join(lambda r, d, s: r.first + s, np.int64)
         self.last = join(lambda r, d, s: r.last + s, np.int64)
         self.seed = join(lambda r, d, s: r.seed, np.uint64)
         self.content = join(lambda r, d, s: r.content, np.uint64)
-        # Parts of a long document overlap, so a mark may be met twice.
-        marked = np.concatenate(marks)
-        order = np.lexsort((marked[:, 1], marked[:, 0]))
-        marked = marked[order][np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(marked[order, :2].view(np.int64), axis=0) != 0).any(axis=1)))]
-        self.mark_doc, self.mark_seed = marked[:, 0].astype(np.int64), marked[:, 2].copy()
 
     def _slabs(self) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, from, to), of SLAB symbols or little more; a long document is cut so that each window start falls to one part."""
         slab, size = [], 0
         for d, own in enumerate(self.symbols):
-            if len(own) < (self.plan.near or self.plan.window):
+            if len(own) < self.shortest:
                 continue
             for a in range(0, max(1, len(own) - self.plan.window + 1), SLAB):
                 b = min(a + SLAB + self.plan.window - 1, len(own))
@@ -111,27 +108,35 @@ class Chunk:
         if slab:
             yield slab
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct seeds, and notes on each: 1 if several runs have it, 2 if it marks several documents, and from 4 on the number of its different regions."""
-        unique = np.unique(np.concatenate([self.seed, self.mark_seed]))
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct seeds, and for each its number of different regions and whether it occurs more than once."""
         order = np.lexsort((self.content, self.seed))
         seed, content = self.seed[order], self.content[order]
-        at = np.searchsorted(unique, seed)
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
         fresh = np.concatenate((np.ones(min(1, len(seed)), bool), (seed[1:] != seed[:-1]) | (content[1:] != content[:-1])))
-        different, times = np.bincount(at[fresh], minlength=len(unique)), np.bincount(at, minlength=len(unique))
-        pairs = np.unique(np.searchsorted(unique, self.mark_seed) * max(1, len(self.ids)) + self.mark_doc)
-        documents = np.bincount(pairs // max(1, len(self.ids)), minlength=len(unique))
-        return unique, (np.minimum(different, 16383) << 2 | (documents > 1) << 1 | (times > 1)).astype(np.uint16)
-
-    def codes(self, answers: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The answer for each run, and for each document how many of its marks are in other documents too."""
-        unique = np.unique(np.concatenate([self.seed, self.mark_seed]))
+        if not len(seed):
+            return seed, head, head.astype(bool)
+        return seed[head], np.add.reduceat(fresh.astype(np.int64), head), np.diff(np.append(head, len(seed))) > 1
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct seeds of each document's shorter windows, and the documents."""
+        order = np.lexsort((self.mark_doc, self.mark_seed))
+        seed, doc = self.mark_seed[order], self.mark_doc[order]
+        fresh = np.concatenate((np.ones(min(1, len(seed)), bool), (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])))
+        return seed[fresh], doc[fresh]
+
+    def codes(self, answers: dict[int, np.ndarray], buckets: int) -> np.ndarray:
+        """The answer for each run."""
+        unique, back = np.unique(self.seed, return_inverse=True)
         code = np.zeros(len(unique), np.uint8)
         place = (unique % np.uint64(buckets)).astype(np.int64)
         for b, got in answers.items():
             code[place == b] = got
-        shared = code[np.searchsorted(unique, self.mark_seed)] >> 2 > 0
-        return code[np.searchsorted(unique, self.seed)] & 3, np.bincount(self.mark_doc[shared], minlength=len(self.ids))
+        return code[back]
+
+    def names(self) -> np.ndarray:
+        """Hashes of the texts."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.texts), np.uint64, len(self.texts))
 
     def regions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the live runs: their places, the place in `first` of each one's region, and the runs that stand first for their regions, in order of seed and content."""
@@ -161,35 +166,57 @@ class Chunk:
         return doc, start, one, two
 
 
-def _ask(chunk: Chunk, number: int, buckets: int) -> pa.Table:
-    seed, notes = chunk.asked()
+ASK = "bucket int, chunk long, kind int, seeds binary, notes binary"
+#: Kinds of messages: seeds and their codes, regions and windows with their verdicts, marks and which are shared, and the names of a chunk's documents.
+SEEDS, REGIONS, WINDOWS, MARKS, NAMES = range(5)
+
+
+def _dealt(seed: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of the seeds of each bucket."""
     place = (seed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     used, at = np.unique(place[order], return_index=True)
-    cut = list(zip(at, np.append(at, len(order))[1:], strict=True))
+    yield from zip(used.tolist(), np.split(order, at[1:]), strict=True) if len(used) else ()
+
+
+def _ask(chunk: Chunk, number: int, buckets: int) -> pa.Table:
+    seed, different, often = chunk.seeds()
+    notes = (np.minimum(different, 32767).astype(np.uint16) << np.uint16(1)) | often.astype(np.uint16)
+    rows = [(b, SEEDS, seed[own].tobytes(), notes[own].tobytes()) for b, own in _dealt(seed, buckets)]
+    if chunk.plan.near:
+        mark, doc = chunk.marks()
+        rows += [(b, MARKS, mark[own].tobytes(), doc[own].astype(np.uint32).tobytes()) for b, own in _dealt(mark, buckets)]
+        rows.append((number % buckets, NAMES, chunk.names().tobytes(), b""))
     return pa.table({
-        "bucket": pa.array(used, pa.int32()),
-        "chunk": pa.array([number] * len(used), pa.int64()),
-        "seeds": pa.array([seed[order[a:b]].tobytes() for a, b in cut], pa.binary()),
-        "notes": pa.array([notes[order[a:b]].tobytes() for a, b in cut], pa.binary()),
+        "bucket": pa.array([r[0] for r in rows], pa.int32()),
+        "chunk": pa.array([number] * len(rows), pa.int64()),
+        "kind": pa.array([r[1] for r in rows], pa.int32()),
+        "seeds": pa.array([r[2] for r in rows], pa.binary()),
+        "notes": pa.array([r[3] for r in rows], pa.binary()),
     })
 
 
 def _answer(group: pa.Table, hot_regions: int) -> pa.Table:
+    kind = group.column("kind").to_numpy()
     seeds = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("seeds")]
-    note = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in group.column("notes")])
-    unique, back = np.unique(np.concatenate(seeds), return_inverse=True)
-    different = np.bincount(back, note >> 2, len(unique))
-    times = np.bincount(back, np.where(note > 3, 1 + (note & 1), 0), len(unique))
-    shared = np.bincount(back, 1 + (note >> 1 & 1), len(unique)) >= 2
-    code = (np.where(times < 2, DEAD, np.where(different > hot_regions, HOT, LIVE)) | shared << 2).astype(np.uint8)[back]
-    cut = np.concatenate(([0], np.cumsum([len(s) for s in seeds])))
-    return pa.table({
-        "chunk": group.column("chunk"),
-        "bucket": group.column("bucket"),
-        "kind": pa.array([0] * len(seeds), pa.int32()),
-        "reply": pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-    })
+    notes = group.column("notes")
+    replies: dict[int, bytes] = {int(i): seeds[i].tobytes() for i in np.flatnonzero(kind == NAMES)}
+    for of, width in ((SEEDS, np.uint16), (MARKS, np.uint32)):
+        rows = np.flatnonzero(kind == of).tolist()
+        if not rows:
+            continue
+        note = np.concatenate([np.frombuffer(notes[i].as_py(), width) for i in rows])
+        unique, back = np.unique(np.concatenate([seeds[i] for i in rows]), return_inverse=True)
+        cut = np.concatenate(([0], np.cumsum([len(seeds[i]) for i in rows])))
+        if of == SEEDS:
+            times = np.bincount(back, 1 + (note & 1), len(unique))
+            different = np.bincount(back, note >> 1, len(unique))
+            code = np.where(times < 2, DEAD, np.where(different > hot_regions, HOT, LIVE)).astype(np.uint8)[back]
+            replies |= {i: code[a:b].tobytes() for i, a, b in zip(rows, cut[:-1], cut[1:], strict=True)}
+        else:  # a mark comes once for each document
+            shared = np.bincount(back, minlength=len(unique))[back] > 1
+            replies |= {i: note[a:b][shared[a:b]].tobytes() for i, a, b in zip(rows, cut[:-1], cut[1:], strict=True)}
+    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "kind": group.column("kind"), "reply": pa.array([replies[i] for i in range(group.num_rows)], pa.binary())})
 
 
 REQUEST = "bucket int, chunk long, kind int, keys binary, owners binary, weights binary, sizes binary, symbols binary"
@@ -207,7 +234,7 @@ def _send(chunk: Chunk, number: int, code: np.ndarray, buckets: int) -> pa.Table
             run = lead[own]
             parts = [chunk.symbols[d][a : z + chunk.plan.window] for d, a, z in zip(chunk.doc[run].tolist(), chunk.first[run].tolist(), chunk.last[run].tolist(), strict=True)]
             keys = np.stack([chunk.seed[run], chunk.content[run]], axis=1)
-            rows.append((int(b), number, 1, keys.tobytes(), chunk.owner[chunk.doc[run]].tobytes(), weight[own].tobytes(), np.array([len(p) for p in parts], np.int32).tobytes(), np.concatenate(parts).tobytes()))
+            rows.append((int(b), number, REGIONS, keys.tobytes(), chunk.owner[chunk.doc[run]].tobytes(), weight[own].tobytes(), np.array([len(p) for p in parts], np.int32).tobytes(), np.concatenate(parts).tobytes()))
     doc, _, one, two = chunk.windows(code)
     if len(doc):
         head, back, times, owner = _distinct_windows(one, two, chunk.owner[doc])
@@ -215,7 +242,7 @@ def _send(chunk: Chunk, number: int, code: np.ndarray, buckets: int) -> pa.Table
         for b in np.unique(place):
             own = np.flatnonzero(place == b)
             keys = np.stack([one[head[own]], two[head[own]]], axis=1)
-            rows.append((int(b), number, 2, keys.tobytes(), owner[own].tobytes(), np.minimum(times[own], 2).astype(np.uint8).tobytes(), b"", b""))
+            rows.append((int(b), number, WINDOWS, keys.tobytes(), owner[own].tobytes(), np.minimum(times[own], 2).astype(np.uint8).tobytes(), b"", b""))
     kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 5
     names = [c.split()[0] for c in REQUEST.split(", ")]
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -236,7 +263,7 @@ def _decide(group: pa.Table, plan: Plan, dtype: np.dtype, solve: Callable[[Regio
     kind = group.column("kind").to_numpy()
     column = lambda name, rows, t: [np.frombuffer(group.column(name)[int(i)].as_py(), t) for i in rows]
     replies: dict[int, bytes] = {}
-    rows = np.flatnonzero(kind == 1)
+    rows = np.flatnonzero(kind == REGIONS)
     if len(rows):
         keys = [k.reshape(-1, 2) for k in column("keys", rows, np.uint64)]
         all_keys = np.concatenate(keys)
@@ -247,7 +274,7 @@ def _decide(group: pa.Table, plan: Plan, dtype: np.dtype, solve: Callable[[Regio
         for i, k in zip(rows, keys, strict=True):
             replies[int(i)] = np.concatenate(flags[at : at + len(k)]).astype(np.uint8).tobytes()
             at += len(k)
-    rows = np.flatnonzero(kind == 2)
+    rows = np.flatnonzero(kind == WINDOWS)
     if len(rows):
         keys = [k.reshape(-1, 2) for k in column("keys", rows, np.uint64)]
         flat, owner, weight = np.concatenate(keys), np.concatenate(column("owners", rows, np.int64)), np.concatenate(column("weights", rows, np.uint8))
@@ -271,7 +298,7 @@ def _hits(chunk: Chunk, code: np.ndarray, replies: dict[tuple[int, int], np.ndar
         flags = np.zeros(base[-1], bool)
         for b in np.unique(place):
             own = np.flatnonzero(place == b)
-            flags[spread(base[own], count[own])] = replies[int(b), 1] > 0
+            flags[spread(base[own], count[own])] = replies[int(b), REGIONS] > 0
         size = count[region]
         hit = flags[spread(base[region], size)]
         if by_owner:
@@ -284,7 +311,7 @@ def _hits(chunk: Chunk, code: np.ndarray, replies: dict[tuple[int, int], np.ndar
         place = (one[head] % np.uint64(buckets)).astype(np.int64)
         flag = np.zeros(len(head), bool)
         for b in np.unique(place):
-            flag[place == b] = replies[int(b), 2] > 0
+            flag[place == b] = replies[int(b), WINDOWS] > 0
         hit = flag[back]
         if by_owner:
             hit |= chunk.owner[doc] > owner[back]
@@ -316,18 +343,27 @@ def search(
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
 
     def ask(key, group):
-        return _ask(Chunk(group, plan, symbols_of, hash_of), key[0].as_py(), buckets)
+        return _ask(Chunk(group, plan, symbols_of, hash_of, marks=True), key[0].as_py(), buckets)
 
     def answer(group):
         return _answer(group, plan.hot_regions)
 
     def read(replies: pa.Table) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
         got = {(b, k): np.frombuffer(r.as_py(), np.uint8) for b, k, r in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("reply"), strict=True)}
-        return {b: r for (b, k), r in got.items() if k == 0}, got
+        return {b: r for (b, k), r in got.items() if k == SEEDS}, got
+
+    def shared_marks(chunk: Chunk, got: dict[tuple[int, int], np.ndarray], number: int) -> list[int]:
+        """For each text how many of its marks are in other documents too; rows may come in another order than when they were marked, so texts are known by their names."""
+        if not plan.near:
+            return [0] * len(chunk.ids)
+        names = got[number % buckets, NAMES].view(np.uint64)
+        marked = np.concatenate([np.zeros(0, np.uint32), *[r.view(np.uint32) for (_, k), r in got.items() if k == MARKS]])
+        count = dict(zip(names.tolist(), np.bincount(marked, minlength=len(names)).tolist(), strict=True))
+        return [count[n] for n in chunk.names().tolist()]
 
     def send(key, group, replies):
         chunk = Chunk(group, plan, symbols_of, hash_of)
-        return _send(chunk, key[0].as_py(), chunk.codes(read(replies)[0], buckets)[0], buckets)
+        return _send(chunk, key[0].as_py(), chunk.codes(read(replies)[0], buckets), buckets)
 
     def decide(group):
         return _decide(group, plan, dtype, solve, by_owner)
@@ -335,17 +371,17 @@ def search(
     def conclude(key, group, replies):
         chunk = Chunk(group, plan, symbols_of, hash_of)
         answers, got = read(replies)
-        code, marked = chunk.codes(answers, buckets)
-        doc, start = _hits(chunk, code, got, buckets, by_owner)
+        doc, start = _hits(chunk, chunk.codes(answers, buckets), got, buckets, by_owner)
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         cut = np.searchsorted(doc, np.arange(len(chunk.ids) + 1))
-        rows = [(i, *finish(t, start[a:b], m)) for i, t, a, b, m in zip(chunk.ids, chunk.texts, cut[:-1], cut[1:], marked.tolist(), strict=True)]
+        marked = shared_marks(chunk, got, key[0].as_py())
+        rows = [(i, *finish(t, start[a:b], m)) for i, t, a, b, m in zip(chunk.ids, chunk.texts, cut[:-1], cut[1:], marked, strict=True)]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         fields = [("doc_id", pa.int64()), *((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", "))]
         return pa.table([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
     grouped = dealt.groupBy("chunk")
-    answers = grouped.applyInArrow(ask, "bucket int, chunk long, seeds binary, notes binary").groupBy("bucket").applyInArrow(answer, REPLY)
+    answers = grouped.applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(answer, REPLY)
     verdicts = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(send, REQUEST).groupBy("bucket").applyInArrow(decide, REPLY)
     return grouped.cogroup(answers.unionByName(verdicts).groupBy("chunk")).applyInArrow(conclude, f"doc_id long, {schema}")

@@ -70,8 +70,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), n_shared_seeds, kept (binary) for each row; portions as in Plan.
 
     n_shared_seeds tells of passages that other documents have too, but that may be too short to be
-    removed: any 3/4 length bytes in a row hold one of the text's seeds, strings of length/2 bytes, and
-    those which stand in another document are counted. A text that has 3/4 length bytes in a row in common with
+    removed: any 7/8 length bytes in a row hold one of the text's seeds, strings of length/2 bytes, and
+    those which stand in another document are counted. A text that has 7/8 length bytes in a row in common with
     another one has one at least; a text that has no length/2 bytes in common has none.
     """
 
@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         return len(text), int(gone.sum()), len(runs_of(gone)[0]), marks, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     gram = max(1, length // 2)
-    plan = Plan(window=length, gram=gram, near=max(gram, 3 * length // 4), **portions)
+    plan = Plan(window=length, gram=gram, near=max(gram, 7 * length // 8), **portions)
     return search(documents(docs, id_col, text_col), plan, _symbols, _hashes, np.uint8, solve, finish, "n_bytes long, n_removed long, n_spans long, n_shared_seeds long, kept binary", by_owner=False)
 
 

@@ -57,9 +57,9 @@ def shares(rows, size):
 
 @pytest.mark.parametrize("portions", [{}, {"chunk_bytes": 500, "bucket_bytes": 300}])
 def test_shared_seeds_tell_of_shorter_passages(spark, portions):
-    rows = [r for r in corpus(11) if r[0] < 100] + [(200, "first one here and then some words ", "en", "s", 1), (201, "again: one here and then some words.", "en", "s", 1), (202, "qq " * 70, "en", "s", 1)]
+    rows = [r for r in corpus(11) if r[0] < 100] + [(200, "this is one that holds some words in common ", "en", "s", 1), (201, "again, one that holds some words in common.", "en", "s", 1), (202, "qq " * 70, "en", "s", 1)]
     got = {r.doc_id: r.n_shared_seeds for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), 40, **portions).collect()}
-    long, short = shares(rows, 30), shares(rows, 20)
+    long, short = shares(rows, 35), shares(rows, 20)
     assert all(got[r[0]] > 0 for r, yes in zip(rows, long, strict=True) if yes) and all(got[r[0]] == 0 for r, yes in zip(rows, short, strict=True) if not yes)
     assert got[200] and got[201] and not got[202] and not all(got.values())
 
