@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import composites, features, kernels, landcover, learning, raster
+from gridloom.operators import composites, features, geometry, kernels, landcover, learning, raster
 from gridloom.sources import files
 from gridloom.streaming import monitor
 
@@ -110,6 +110,48 @@ def test_segments_do_not_see_tile_seams(spark):
     assert np.allclose(kernels.gaussian(1.5)(holes), 5.0)
 
 
+def test_outlines_enclose_their_cells(spark):
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 3, (12, 14))
+    labels[3:9, 3:9] = 7
+    labels[5:7, 5:7] = 1
+    cells = spark.createDataFrame([(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(labels)], "row int, col int, label int")
+    got = {}
+    for r in geometry.outlines(cells, "label").collect():
+        ring = np.array([(p.x, p.y) for p in r.ring])
+        assert (ring[0] == ring[-1]).all() and len(set(map(tuple, ring[:-1]))) >= 4
+        got[r.label] = got.get(r.label, 0) + (1 if r.outer else -1) * geometry.polygon_area(ring[:-1])
+    assert got == {int(v): float((labels == v).sum()) for v in np.unique(labels)}
+    seven = [r for r in geometry.outlines(cells, "label").filter("label = 7").collect()]
+    assert sorted((r.outer, len(r.ring)) for r in seven) == [(False, 5), (True, 5)]
+    assert geometry.outlines(cells, "label", least=1000).count() == 0
+    rows = geometry.gaps(cells.filter("label <> 1"), 12, 14).collect()
+    assert any(r.n_cells >= 4 and r.region == 5 * 2**31 + 5 for r in rows)
+
+
+def test_clipping_to_any_polygon(spark):
+    star = [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)]
+    assert sum(geometry.polygon_area(t) for t in geometry.triangles(np.array(star, float))) == pytest.approx(24.0)
+    assert len(geometry.triangles(np.array([(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)], float))) == 1
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    df = spark.createDataFrame([(1, square(1.0, 0.5, 1.0)), (2, square(20.0, 20.0, 1.0)), (3, square(-9.0, -9.0, 30.0)), (4, None)], "id int, ring array<struct<x:double,y:double>>")
+    got = {}
+    for r in geometry.clip_to_polygon(df, "ring", star).collect():
+        got[r.id] = got.get(r.id, 0) + geometry.polygon_area(np.array([(p.x, p.y) for p in r.ring[:-1]]))
+    assert got == {1: pytest.approx(1.0), 3: pytest.approx(24.0)}
+
+
+def test_areas_of_interest(spark):
+    df = spark.createDataFrame([(-95.0, 30.0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), (170.0, -60.0, [(0.0, 0.0), (1.0, 0.0)])], "lon double, lat double, ring array<struct<x:double,y:double>>")
+    for r in df.select("lon", "lat", geometry.buffer_ring(C("lon"), C("lat"), 10.0, 16).alias("b"), geometry.closed_ring(C("ring")).alias("c"), geometry.box_ring(C("lon"), C("lat"), C("lon") + 1, C("lat") + 1).alias("box")).collect():
+        assert len(r.b) == 17 and r.b[0] == r.b[-1] and len(r.box) == 5
+        for p in r.b:
+            a = np.radians([r.lat, p.y])
+            d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((a[1] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(a[1]) * np.sin(np.radians(p.x - r.lon) / 2) ** 2))
+            assert d == pytest.approx(10.0, rel=1e-9)
+        assert r.c is None or (len(r.c) == 4 and r.c[0] == r.c[-1])
+
+
 def test_percentiles_by_ranks(spark, monkeypatch):
     from gridloom.operators import ranks
 
@@ -223,6 +265,54 @@ def test_files(spark, tmp_path):
         files.feature_collection(features_.union(features_), 1)
 
 
+@pytest.mark.parametrize("kind", ["u1", "i2", "f4", "f8"])
+def test_geotiff_round_trip(kind):
+    rng = np.random.default_rng(1)
+    cube = (rng.random((2, 37, 45)) * 200).astype(kind)
+    for compression in ("none", "lzw", "deflate"):
+        for tile in (None, 16, 32):
+            r = files.Raster(cube, -9999.0, 500000.0, 3300000.0, 30.0, 30.0, 32615, {"a & b": "<x>"})
+            q = files.decode_geotiff(files.encode_geotiff(r, compression, tile))
+            assert (q.cube == cube).all() and [getattr(q, n) for n in ("nodata", "west", "north", "dx", "dy", "epsg", "items")] == [-9999.0, 500000.0, 3300000.0, 30.0, 30.0, 32615, {"a & b": "<x>"}]
+    assert files.decode_geotiff(files.encode_geotiff(files.Raster(cube, None, -95.0, 30.0, 0.1, 0.1, 4326))).epsg == 4326
+    with pytest.raises(ValueError):
+        files.encode_geotiff(files.Raster(cube), tile=10)
+
+
+def test_tiff_codecs_by_their_definitions():
+    # The example of the format's specification: codes of 9 bits.
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    packed = int("".join(f"{c:09b}" for c in codes).ljust(88, "0"), 2).to_bytes(11, "big")
+    assert files.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == packed and files.lzw_decode(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 300, 30_000):
+        for spread in (1, 3, 256):
+            data = bytes(rng.integers(0, spread, n).astype("u1"))
+            assert files.lzw_decode(files.lzw_encode(data)) == data
+    with pytest.raises(ValueError):
+        files.lzw_decode(bytes([128, 127, 255, 255]))
+    assert files._unpack_bits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 5])) == bytes([1, 2, 3, 9, 9, 9, 5])
+    block = rng.integers(0, 60000, (4, 9, 3)).astype("<u2")
+    steps = np.diff(block, axis=1, prepend=np.zeros((4, 1, 3), "<u2")).astype("<u2")
+    assert (files._unpredict(steps, 2) == block).all()
+    block = rng.normal(size=(4, 9, 3)).astype("<f4")
+    planes = block.astype(">f4").reshape(4, 27).view("u1").reshape(4, 27, 4).transpose(0, 2, 1).reshape(4, 36, 3)  # bytes by weight
+    steps = np.diff(planes, axis=1, prepend=np.zeros((4, 1, 3), "u1")).astype("u1")
+    assert (files._unpredict(steps.reshape(4, 108).view("<f4").reshape(4, 9, 3), 3) == block).all()
+
+
+def test_rasters_are_written_and_read(spark, tmp_path):
+    grid_ = np.random.default_rng(3).random((20, 18)).round(3)
+    rows = [(name, b, int(r), int(c), float(v) + b) for name in ("a.tif", "b.tif") for b in (1, 2) for (r, c), v in np.ndenumerate(grid_) if (r, c) != (5, 6)]
+    place = files.Raster(np.zeros((1, 1, 1)), -9999.0, -95.0, 30.0, 0.5, 0.5, 4326, {"method": "mean"})
+    out = files.encode_rasters(spark.createDataFrame(rows, "name string, band int, row int, col int, value double"), place, tile=16, dtype="f8")
+    assert files.save_files(out, f"file://{tmp_path}/rasters") == 2
+    cells = {(c.path.rsplit("/", 1)[1], c.band, c.row, c.col): c.value for c in files.read_tiff(spark, f"{tmp_path}/rasters").collect()}
+    assert len(cells) == 2 * 2 * 360 and cells["a.tif", 1, 5, 6] is None and all(cells[n, b, r, c] == v for n, b, r, c, v in rows)
+    info = files.raster_info(spark, f"{tmp_path}/rasters").first()
+    assert (info.bands, info.rows, info.cols, info.nodata, info.west, info.north, info.dx, info.epsg, info["items"]) == (2, 20, 18, -9999.0, -95.0, 30.0, 0.5, 4326, {"method": "mean"})
+
+
 def test_snapshot_monitor(spark, tmp_path):
     seen, snap = [], lambda ids: spark.createDataFrame([("n", i) for i in ids], "type string, id int")
     m = monitor.SnapshotMonitor(spark, str(tmp_path / "s"), ["type", "id"], [lambda c, n: 1 / 0, lambda c, n: seen.append((n, c.count()))])
