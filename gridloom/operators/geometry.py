@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gridloom.functions.geo import point_in_ring, ring_area, ring_length
+from gridloom.functions.geo import EARTH_M, point_in_ring, ring_area, ring_length
 from gridloom.functions.guards import ratio
+from gridloom.operators.raster import regions
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -100,6 +101,150 @@ def clip_to_box(df: DataFrame, ring: str, west: float, south: float, east: float
     return df.withColumn(ring, cut(F.col(ring))).filter(F.size(ring) >= 4)
 
 
+def triangles(ring: np.ndarray) -> list[np.ndarray]:
+    """A simple ring as triangles, counter-clockwise, by cutting ears; a convex one stays whole."""
+    p = [tuple(map(float, q)) for q in (ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring)]
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    if sum(p[i - 1][0] * q[1] - q[0] * p[i - 1][1] for i, q in enumerate(p)) < 0:
+        p.reverse()
+    if all(cross(p[i - 2], p[i - 1], p[i]) >= 0 for i in range(len(p))):
+        return [np.array(p)] if len(p) > 2 else []
+    out = []
+    while len(p) > 3:
+        for i in range(len(p)):
+            a, b, c = p[i - 1], p[i], p[(i + 1) % len(p)]
+            turn = cross(a, b, c)
+            if turn == 0 or (turn > 0 and not any(q not in (a, b, c) and min(cross(a, b, q), cross(b, c, q), cross(c, a, q)) >= 0 for q in p)):
+                if turn > 0:
+                    out.append(np.array([a, b, c]))
+                del p[i]
+                break
+        else:
+            raise ValueError("the ring crosses itself")
+    return [*out, np.array(p)] if cross(*p) > 0 else out
+
+
+def _clip_convex(points: np.ndarray, region: np.ndarray) -> list[tuple[float, float]]:
+    """Ring within a convex region (counter-clockwise), side by side."""
+    out = [tuple(p) for p in points[:-1]] if len(points) > 1 and (points[0] == points[-1]).all() else [tuple(p) for p in points]
+    for i in range(len(region)):
+        (x, y), (u, v) = region[i - 1], region[i]
+        left = lambda p, x=x, y=y, u=u, v=v: (u - x) * (p[1] - y) - (v - y) * (p[0] - x)
+        kept = []
+        for k, p in enumerate(out):
+            q = out[k - 1]
+            a, b = left(q), left(p)
+            if (a >= 0) != (b >= 0):
+                t = a / (a - b)
+                kept.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            if b >= 0:
+                kept.append(p)
+        out = kept
+    return out + out[:1] if out else []
+
+
+def clip_to_polygon(df: DataFrame, ring: str, area: list[tuple[float, float]]) -> DataFrame:
+    """Rings cut to a polygon of any simple shape: a row for each piece, one piece for each convex part of the polygon that a ring has a share in; rings outside go."""
+    parts = triangles(np.array(area, float))
+
+    @pandas_udf(f"array<{RING}>")
+    def cut(rings: pd.Series) -> pd.Series:
+        pieces = [[_clip_convex(_points(r), part) for part in parts] for r in rings]
+        return pd.Series([[[{"x": float(x), "y": float(y)} for x, y in p] for p in own if len(p) >= 4 and polygon_area(np.array(p)) > 0] for own in pieces])
+
+    return df.withColumn(ring, F.explode(cut(F.col(ring))))
+
+
+def not_covered(cells: DataFrame, cover: DataFrame, key: str) -> DataFrame:
+    """The rule that features must be covered by others: key and number of a feature's cells (row, col) that no feature of the cover has."""
+    return cells.join(cover.select("row", "col").distinct(), ["row", "col"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def gaps(cells: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The rule that features must leave no gaps: regions of cells without a feature that do not reach the edge of the grid, by region, with their cells."""
+    spark = cells.sparkSession
+    grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    bare = regions(grid.join(cells.select("row", "col").distinct(), ["row", "col"], "left_anti").withColumn("bare", F.lit(True)), "bare")
+    edge = (F.col("row") == 0) | (F.col("row") == rows - 1) | (F.col("col") == 0) | (F.col("col") == cols - 1)
+    return bare.groupBy("region").agg(F.count(F.lit(1)).alias("n_cells"), F.bool_or(edge).alias("open")).filter(~F.col("open")).drop("open")
+
+
+def outline_sides(cells: DataFrame, label: str) -> DataFrame:
+    """label, x0, y0, x1, y1: the sides of labelled cells (row, col) beyond which another label or none lies, with the label on their right hand."""
+    x, y = F.col("col"), F.col("row")
+    side = lambda dr, dc, a, b, c, d: F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), (x + a).alias("x0"), (y + b).alias("y0"), (x + c).alias("x1"), (y + d).alias("y1"))
+    sides = F.array(side(-1, 0, 0, 0, 1, 0), side(0, 1, 1, 0, 1, 1), side(1, 0, 1, 1, 0, 1), side(0, -1, 0, 1, 0, 0))
+    each = cells.select(label, "row", "col", F.explode(sides).alias("s")).select(label, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "s.x0", "s.y0", "s.x1", "s.y1")
+    return each.join(cells.select(label, "row", "col"), [label, "row", "col"], "left_anti").select(label, "x0", "y0", "x1", "y1")
+
+
+def _linked(sides: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Closed rings of directed sides; where two meet in a corner, the ring turns right, so cells that touch in a corner only stay apart."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x0, y0, x1, y1 in sorted(map(tuple, sides.tolist())):
+        after.setdefault((x0, y0), []).append((x1, y1))
+    rings = []
+    while after:
+        start = next(iter(after))
+        ring, at, way = [start], start, (0, 0)
+        while True:
+            found = after[at]
+            right = (-way[1], way[0])
+            i = next((k for k, (x, y) in enumerate(found) if (x - at[0], y - at[1]) == right), 0) if len(found) > 1 else 0
+            to = found.pop(i)
+            if not found:
+                del after[at]
+            step = (to[0] - at[0], to[1] - at[1])
+            if step == way:
+                ring.pop()
+            ring.append(to)
+            at, way = to, step
+            if at == start:
+                break
+        rings.append(ring)
+    return rings
+
+
+def outlines(cells: DataFrame, label: str, least: int = 1) -> DataFrame:
+    """label, ring (in columns and rows, corners only), outer: the outlines of labelled regions of `least` cells or more, and of the holes in them.
+
+    Only the sides of a region meet in a task, as many as its outline is long.
+    """
+    kind = cells.schema[label].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rings = _linked(group[["x0", "y0", "x1", "y1"]].to_numpy())
+        signed = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False)) for r in rings]
+        return pd.DataFrame({label: [group[label].iloc[0]] * len(rings), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings], "outer": [s > 0 for s in signed]})
+
+    kept = cells.join(cells.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select(label), label, "left_semi")
+    return outline_sides(kept, label).groupBy(label).applyInPandas(run, f"{label} {kind}, ring {RING}, outer boolean")
+
+
+def box_ring(west: Column, south: Column, east: Column, north: Column) -> Column:
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))
+
+
+def closed_ring(ring: Column) -> Column:
+    """A ring with its first point at the end; one of fewer than three points is null."""
+    return F.when(F.size(ring) >= 3, F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1))))
+
+
+def buffer_ring(lon: Column, lat: Column, km: float, points: int = 64) -> Column:
+    """The circle of all points a distance away on the sphere, as a ring of longitudes and latitudes, clockwise from the north."""
+    reach = km * 1000 / EARTH_M
+    phi = F.radians(lat)
+
+    def at(i: Column) -> Column:
+        turn = i * (2 * math.pi / points)
+        there = F.asin(F.sin(phi) * math.cos(reach) + F.cos(phi) * math.sin(reach) * F.cos(turn))
+        move = F.atan2(F.sin(turn) * math.sin(reach) * F.cos(phi), math.cos(reach) - F.sin(phi) * F.sin(there))
+        return F.struct((lon + F.degrees(move)).alias("x"), F.degrees(there).alias("y"))
+
+    return F.transform(F.concat(F.sequence(F.lit(0), F.lit(points - 1)), F.array(F.lit(0))), at)
+
+
 def rasterize(polygons: DataFrame, cells: DataFrame, ring: str, cell_bucket: float = 16.0) -> DataFrame:
     """Cells (with x, y of their centres) that lie in a polygon: both meet in buckets of the polygon's box, then the even-odd rule decides."""
     b = lambda v: F.floor(v / cell_bucket).cast("int")

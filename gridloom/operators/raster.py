@@ -83,6 +83,38 @@ def lee(df: DataFrame, value: str, k: int, looks: float = 4.4, mode: str = "refl
     return df.join(stats, [*by, "row", "col"]).select(*by, "row", "col", (F.col("mean") + weight * (F.col(value) - F.col("mean"))).alias("filtered"))
 
 
+def lee_local(df: DataFrame, value: str, k: int, looks: float = 4.4, mode: str = "nearest", by: list[str] = ()) -> DataFrame:
+    """Speckle filter by noise of mean**2 / looks: where the local variance is no larger, the local mean stands. Values are 1e-10 at least."""
+    held = df.withColumn(value, F.greatest(F.col(value), F.lit(1e-10)))
+    noise = F.col("mean") * F.col("mean") / looks
+    weight = clip(F.when(F.col("variance") > noise, 1 - noise / F.greatest(F.col("variance"), F.lit(1e-10))).otherwise(0.0), 0, 1)
+    return held.join(box_mean_variance(held, value, k, mode, by), [*by, "row", "col"]).select(*by, "row", "col", (F.col("mean") + weight * (F.col(value) - F.col("mean"))).alias("filtered"))
+
+
+def lee_global(df: DataFrame, value: str, k: int, mode: str = "reflect") -> DataFrame:
+    """Speckle filter of decibels: the weight of a cell is the local variance against that of the whole raster."""
+    whole = df.filter(F.abs(value) < float("inf")).agg(F.coalesce(F.var_pop(value), F.lit(1.0)).alias("__all"))
+    weight = clip(F.col("variance") / (F.col("variance") + F.col("__all") + 1e-12), 0, 1)
+    joined = df.join(box_mean_variance(df, value, k, mode), ["row", "col"]).crossJoin(F.broadcast(whole))
+    return joined.select("row", "col", (F.col("mean") + weight * (F.col(value) - F.col("mean"))).alias("filtered"))
+
+
+def height_above_lowest(df: DataFrame, value: str, radius: int, mode: str = "reflect") -> DataFrame:
+    """Height above the lowest cell of boxes of a quarter, half and the whole radius (3 at least): the boxes lie in each other, so the widest has the lowest."""
+    lowest = box(df, {"__low": (F.col(value), F.min)}, max(radius, 3), mode)
+    return df.join(lowest, ["row", "col"]).select("row", "col", F.greatest(F.col(value) - F.col("__low"), F.lit(0.0)).alias("hand"))
+
+
+def least_height(df: DataFrame, value: str, sizes: tuple[int, ...] = (15, 31, 63), mode: str = "nearest") -> DataFrame:
+    """The least of the value and its heights above the lowest cell of boxes of some sizes, of those that the raster is larger than, 0 at least: of boxes that lie in each other the smallest has it."""
+    shape = df.agg(F.least(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("n")).first()
+    fitting = [s for s in sizes if shape.n is not None and shape.n + 1 > s]
+    if not fitting:
+        return df.select("row", "col", F.greatest(F.col(value), F.lit(0.0)).alias("hand"))
+    lowest = box(df, {"__low": (F.col(value), F.min)}, min(fitting) // 2, mode)
+    return df.join(lowest, ["row", "col"]).select("row", "col", F.greatest(F.least(F.col(value), F.col(value) - F.col("__low")), F.lit(0.0)).alias("hand"))
+
+
 def gradient(df: DataFrame, value: str, cell: float = 1.0, by: list[str] = ()) -> DataFrame:
     """dx, dy by central differences, one-sided at the edges."""
     out = df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import encoders, scores, spectral
-from gridloom.functions.geo import ring_area
+from gridloom.functions.geo import ring_area, ring_length
 from gridloom.functions.guards import r6
 from gridloom.operators import geometry, kernels, learning
 from gridloom.plans.registry import Registry
@@ -146,6 +146,13 @@ def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.clip_to_box(_rings(spark, sf_dir), "ring", -1.0, -1.0, 2.0, 2.5).select("id", F.round(ring_area(C("ring")), 6).alias("area"))
 
 
+@REGISTRY.query("j8_clip_polygon", "SELECT id, round(least(w, 2.0) + least(h, 2.5) - 1 + least(w, 4.0) - 2, 6) AS area FROM (SELECT p_partkey AS id, 2.0::DOUBLE + p_partkey % 7 AS w, 3.0::DOUBLE + p_partkey % 5 AS h FROM part)")
+def clip_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings cut to an area of the shape of an L."""
+    pieces = geometry.clip_to_polygon(_rings(spark, sf_dir), "ring", [(0, 0), (4, 0), (4, 1), (2, 1), (2, 2.5), (0, 2.5)])
+    return pieces.groupBy("id").agg(F.round(F.sum(ring_area(C("ring"))), 6).alias("area"))
+
+
 @REGISTRY.query("j9_rasterize", "SELECT id, count(*) AS cells FROM (SELECT p_partkey AS id, 2 + p_partkey % 7 AS w, 3 + p_partkey % 5 AS h FROM part), (SELECT unnest(range(12)) + 0.5 AS x) a, (SELECT unnest(range(12)) + 0.5 AS y) b WHERE (x < w AND y < 1) OR (x < 1 AND y < h) GROUP BY 1")
 def rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells whose centres lie in each ring."""
@@ -161,6 +168,58 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.overlaps(s.withColumns({"east": C("west") + C("w"), "north": C("south") + C("w")}), "id", 8.0)
 
 
+_BLOCKS = "SELECT id, CAST(y + unnest(range(w)) AS INT) AS row, CAST(x AS INT) AS col FROM (SELECT id, w, y, x + unnest(range(w)) AS x FROM (SELECT s_suppkey AS id, s_suppkey * 37 % 50 AS x, s_suppkey * 17 % 40 AS y, 2 + s_suppkey % 4 AS w FROM supplier))"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of squares."""
+    k = C("s_suppkey")
+    s = fx.table(spark, sf_dir, "supplier").select(k.alias("id"), (k * 37 % 50).alias("x"), (k * 17 % 40).alias("y"), (2 + k % 4).alias("w"))
+    reach = lambda c: F.explode(F.sequence(C(c).cast("int"), (C(c) + C("w") - 1).cast("int")))
+    return s.withColumn("row", reach("y")).withColumn("col", reach("x")).select("id", "row", "col")
+
+
+@REGISTRY.query("j13_covered_by", fx.sql("SELECT id, count(*) AS n_cells FROM b WHERE id % 3 = 0 AND (row, col) NOT IN (SELECT (row, col) FROM b WHERE id % 3 <> 0) GROUP BY 1", b=_BLOCKS))
+def covered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that features must be covered by those of another class: its violations."""
+    b = _blocks(spark, sf_dir)
+    return geometry.not_covered(b.filter("id % 3 = 0"), b.filter("id % 3 <> 0"), "id")
+
+
+@REGISTRY.query("j13_gaps", f"""WITH RECURSIVE dem AS ({fx.SQL["dem"]}), size AS (SELECT max(row) AS bottom, max(col) AS side FROM dem), m AS (SELECT row, col, row * 2147483648 + col AS id FROM dem WHERE CAST(floor(z) AS BIGINT) % 3 = 0),
+ e AS (SELECT a.id AS u, c.id AS v FROM m a JOIN m c ON abs(a.row - c.row) + abs(a.col - c.col) = 1),
+ r(id, root) AS (SELECT id, id FROM m UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id WHERE r.root < e.v),
+ l AS (SELECT id, min(root) AS region FROM r GROUP BY 1)
+ SELECT region, count(*) AS n_cells FROM l JOIN m USING (id), size GROUP BY 1 HAVING NOT bool_or(row IN (0, bottom) OR col IN (0, side))""")
+def uncovered_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that features must leave no gaps between them: its violations, on a grid of which two thirds are covered."""
+    d = fx.dem(spark, sf_dir)
+    size = d.agg(F.max("row").alias("rows"), F.max("col").alias("cols")).first()
+    return geometry.gaps(d.filter(F.floor("z") % 3 != 0), size.rows + 1, size.cols + 1)
+
+
+_KINDS = "SELECT row, col, CAST(floor(z) % 5 AS INT) AS kind FROM dem"
+
+
+@REGISTRY.query("m5_outlines", fx.sql("SELECT kind, any_value(n) AS area, count(*) AS sides FROM (SELECT kind, row, col, unnest([-1, 0, 1, 0]) AS dr, unnest([0, 1, 0, -1]) AS dc FROM k) s JOIN (SELECT kind, count(*) AS n FROM k GROUP BY 1) USING (kind) WHERE (kind, row + dr, col + dc) NOT IN (SELECT (kind, row, col) FROM k) GROUP BY 1", "dem", k=_KINDS))
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of labelled cells: what they enclose, less their holes, and how long they are."""
+    cells = fx.dem(spark, sf_dir).select("row", "col", (F.floor("z") % 5).cast("int").alias("kind"))
+    o = geometry.outlines(cells, "kind")
+    area = ring_area(C("ring")) * F.when(C("outer"), 1).otherwise(-1)
+    return o.groupBy("kind").agg(F.sum(area).cast("long").alias("area"), F.sum(ring_length(C("ring"))).cast("long").alias("sides"))
+
+
+@REGISTRY.query("x65_areas", "SELECT s_suppkey, round(degrees(25 / 6371.0088), 6) AS half_height, round(degrees(asin(sin(25 / 6371.0088::DOUBLE) / cos(radians(lat)))), 3) AS half_width, 65 AS points FROM (SELECT s_suppkey, s_suppkey % 120 - 60 AS lat FROM supplier)")
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles of 25 km about points: how far they reach from their centres, in degrees."""
+    k = C("s_suppkey")
+    s = fx.table(spark, sf_dir, "supplier").select(k, (k * 7 % 300 - 150).cast("double").alias("lon"), (k % 120 - 60).cast("double").alias("lat"))
+    ring = s.withColumn("ring", geometry.closed_ring(geometry.buffer_ring(C("lon"), C("lat"), 25.0)))
+    top = lambda c, o: F.array_max(F.transform("ring", lambda p: p[c])) - C(o)
+    return ring.select(k, F.round(top("y", "lat"), 6).alias("half_height"), F.round(top("x", "lon"), 3).alias("half_width"), F.size("ring").alias("points"))
+
+
 @REGISTRY.query("q3_ring_validity", "SELECT n_nationkey, n_nationkey % 3 = 0 AS valid FROM nation")
 def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares, bow-ties and nulls."""

@@ -75,6 +75,32 @@ def lee_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ra.lee(_dem(spark, sf_dir), "z", 3).select("row", "col", F.round("filtered", 5).alias("filtered"))
 
 
+_STATS = lambda k: f"SELECT d.row, d.col, d.z, avg(p.z) AS m, var_pop(p.z) AS v FROM dem d JOIN p ON p.row BETWEEN d.row - {k} AND d.row + {k} AND p.col BETWEEN d.col - {k} AND d.col + {k} GROUP BY 1, 2, 3"
+
+
+@REGISTRY.query("w4_lee_local", fx.sql("SELECT row, col, round(m + CASE WHEN v > m * m / 2000000 THEN least(greatest(1 - m * m / 2000000 / greatest(v, 1e-10), 0), 1) ELSE 0 END * (z - m), 5) AS filtered FROM b", "dem", **_pad("dem", "nearest", 3), b=_STATS(3)))
+def lee_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter by local noise, of so many looks that some cells lie on either side."""
+    return ra.lee_local(_dem(spark, sf_dir), "z", 3, 2e6).select("row", "col", F.round("filtered", 5).alias("filtered"))
+
+
+@REGISTRY.query("w4_lee_global", fx.sql("SELECT row, col, round(m + least(greatest(v / (v + a + 1e-12), 0), 1) * (z - m), 5) AS filtered FROM b, (SELECT var_pop(z) AS a FROM dem)", "dem", **_pad("dem", "reflect", 3), b=_STATS(3)))
+def lee_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ra.lee_global(_dem(spark, sf_dir), "z", 3).select("row", "col", F.round("filtered", 5).alias("filtered"))
+
+
+@REGISTRY.query("w8_hand_scales", fx.sql("SELECT d.row, d.col, round(d.z - min(p.z), 6) AS hand FROM dem d JOIN p ON p.row BETWEEN d.row - 12 AND d.row + 12 AND p.col BETWEEN d.col - 12 AND d.col + 12 GROUP BY d.row, d.col, d.z", "dem", **_pad("dem", "reflect", 12)))
+def hand_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Height above the lowest cell over three scales up to 12 cells."""
+    return ra.height_above_lowest(_dem(spark, sf_dir), "z", 12).select("row", "col", F.round("hand", 6).alias("hand"))
+
+
+@REGISTRY.query("w8_least_height", fx.sql("SELECT d.row, d.col, round(CASE WHEN (SELECT least(max(row) - min(row), max(col) - min(col)) + 1 FROM dem) > 15 THEN d.z - min(p.z) ELSE d.z END, 6) AS hand FROM dem d JOIN p ON p.row BETWEEN d.row - 7 AND d.row + 7 AND p.col BETWEEN d.col - 7 AND d.col + 7 GROUP BY d.row, d.col, d.z", "dem", **_pad("dem", "nearest", 7)))
+def least_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least height over the boxes of 15, 31 and 63 cells that the raster is larger than."""
+    return ra.least_height(_dem(spark, sf_dir), "z").select("row", "col", F.round("hand", 6).alias("hand"))
+
+
 _GRAD = """SELECT *, CASE WHEN lx IS NULL THEN ex - z WHEN ex IS NULL THEN z - lx ELSE (ex - lx) / 2 END AS dx, CASE WHEN ly IS NULL THEN ey - z WHEN ey IS NULL THEN z - ly ELSE (ey - ly) / 2 END AS dy FROM
  (SELECT *, lag(z) OVER (PARTITION BY row ORDER BY col) AS lx, lead(z) OVER (PARTITION BY row ORDER BY col) AS ex, lag(z) OVER (PARTITION BY col ORDER BY row) AS ly, lead(z) OVER (PARTITION BY col ORDER BY row) AS ey FROM dem)"""
 
