@@ -77,8 +77,8 @@ def model_average(quantum: Column, svm: Column, boost: Column, confidence: Colum
 
 def adjust_posterior(p: Column, hard_urban: Column, soft_urban: Column, sar_building: Column, sar_water: Column, suscept: Column, terrain_ok: Column) -> Column:
     """Rules on a water probability, in order: urban masks, radar evidence, terrain."""
-    p = F.when(hard_urban, 0.0).when(soft_urban, p * 0.3).otherwise(p)
-    p = F.when(sar_building, p * 0.1).otherwise(p)
+    # Rules that scale are factors, so that the probability, which may be a long expression, is named once.
+    p = F.when(hard_urban, 0.0).otherwise(p * F.when(soft_urban, 0.3).otherwise(1.0)) * F.when(sar_building, 0.1).otherwise(1.0)
     p = F.when(sar_water & (p > 0.2), F.least(p * 1.4, F.lit(1.0))).otherwise(p)
     p = p * suscept
     return clip(F.when(terrain_ok, p).otherwise(0.0), 0, 1)

@@ -53,10 +53,14 @@ def ring_join(centres: DataFrame, points: DataFrame, rings_km: list[float], cell
 
 
 def duplicates(df: DataFrame, value: Column) -> DataFrame:
-    """All rows whose value occurs more than once; nulls are equal. Counts meet the rows by a join, so a very common value is split like any large join key."""
-    marked = df.withColumn("__v", value)
-    repeated = marked.groupBy("__v").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").withColumnRenamed("__v", "__w")
-    return marked.join(repeated, F.col("__v").eqNullSafe(F.col("__w"))).drop("__v", "__w")
+    """All rows whose value occurs more than once; nulls are equal.
+
+    Values, which may be long texts, are shuffled as 128-bit hashes. Counts meet the rows by a join on the
+    hash turned round: so it does not take over the aggregate's partitioning, and adaptive execution splits a very common value.
+    """
+    marked = df.withColumn("__v", F.coalesce(F.md5(value.cast("string").cast("binary")), F.lit("null")))
+    repeated = marked.groupBy("__v").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(F.reverse("__v").alias("__w"), "copies")
+    return marked.withColumn("__w", F.reverse("__v")).join(repeated, "__w").drop("__v", "__w")
 
 
 # Health checks: each gives one row check_name, status, n_affected, affected (row ids, the first 20).

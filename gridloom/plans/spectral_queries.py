@@ -24,7 +24,9 @@ def _values(name: str, view: str, texts: dict[str, str], keys: list[str] | None
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = getattr(fx, view)(spark, sf_dir)
         df = df.filter(where) if where else df
-        return df.select(*keys, *[r6(c.cast("double")).alias(n) for n, c in _columns(spark.sparkContext.applicationId)[name].items()])
+        columns = _columns(spark.sparkContext.applicationId)[name]
+        df = df.withColumns({n: c for n, c in columns.items() if n.startswith("__")})  # what several columns share is computed once
+        return df.select(*keys, *[r6(c.cast("double")).alias(n) for n, c in columns.items() if not n.startswith("__")])
 
     picked = ", ".join(f"round(CAST({t} AS DOUBLE), 6) + 0.0 AS {n}" for n, t in texts.items())
     REGISTRY.add(name, query, fx.sql(f"SELECT {', '.join(keys)}, {picked} FROM {view}{' WHERE ' + where if where else ''}", view))
@@ -156,7 +158,7 @@ def _columns(application: str) -> dict[str, dict[str, Column]]:
     out["f15_land_masks"] = {"hard_urban": _hard, "soft_urban": _soft, "forest": _forest}
     _p = (C("green") * 10)
     _adjusted = scores.adjust_posterior(_p, _hard, _soft, C("qa") % 5 == 0, C("qa") % 3 == 0, C("blue") * 10 + 0.3, C("scl") != 11)
-    out["x51_posterior_adjustment"] = {"p": _adjusted, "water": (_adjusted > 0.5).cast("int")}
+    out["x51_posterior_adjustment"] = {"__p": _adjusted, "p": C("__p"), "water": (C("__p") > 0.5).cast("int")}
     _q, _s, _g, _c = C("green") * 9.731, C("nir") * 10.137, C("red") * 9.917, C("blue") * 10.331
     out["x50_model_average"] = {"p": scores.model_average(_q, _s, _g, _c)}
     out["x32_entropy"] = {"h": scores.binary_entropy(C("green") * 10)}
