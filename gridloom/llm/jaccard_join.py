@@ -3,9 +3,11 @@
 Documents are sets of word n-grams. Equal sets fold into one node first. Band and row counts are
 chosen for the target recall at the threshold; nodes are shuffled on their band hashes, and each
 bucket ties its members to its smallest, so a bucket of any size brings rows in proportion to it.
-The components of these ties hold all candidate pairs. Within a component all pairs are verified on
-full n-gram sets, in tiles of bounded size when it is large, and a tile returns counts of links and
-a spanning forest of them, not the pairs.
+The components of these ties hold all candidate pairs. All pairs of a component are verified on full
+n-gram sets, in tiles of bounded size when it is large. A large component whose buckets hold far fewer
+pairs than it has, such as a chain of weakly similar documents, is verified bucket by bucket instead,
+each pair in the first band that it shares, so its work follows its candidates and not its square. A tile
+returns counts of links and a spanning forest of them, not the pairs.
 
 Defined results: words are runs without ASCII white space, taken as they stand; a text of fewer than
 n words is one n-gram of all its words; texts of any length are compared whole; a null, empty or blank
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import documents, pieces, splittable_join, staged, utf8_of
@@ -42,6 +44,8 @@ class JoinRules:
     #: Nodes and bytes of n-gram hashes in a block of a component; a tile is two blocks.
     block_nodes: int = 512
     block_bytes: int = 8 << 20
+    #: A component goes by buckets if all its pairs are more than so many times those of its buckets.
+    sparse: int = 4
 
     @property
     def bands(self) -> int:
@@ -142,20 +146,24 @@ def _scatter(out: np.ndarray, at: np.ndarray) -> float:
 
 
 def _verify(rules: JoinRules):
-    """Grouped map: links of a tile as (node, root within the tile, documents linked)."""
+    """Grouped map: links of a tile as (node, root within the tile, documents linked); in a tile of a bucket, of pairs that share no earlier band."""
 
     def run(key, group):
         node = group.column("node").to_numpy()
         block = group.column("block").to_numpy()
         copies = group.column("copies").to_numpy().astype(np.float64)
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in group.column("grams")]
-        i, j = key[1].as_py(), key[2].as_py()
+        band, i, j = (k.as_py() for k in key[1:])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         size = np.array([len(s) for s in sets], np.float64)
         shared = intersections(sets, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)))
         total = size[left][:, None] + size[right][None, :]
         linked = shared * (1 + rules.threshold) >= rules.threshold * total - 1e-6
         linked &= left[:, None] != right[None, :]
+        if band > 0 and linked.any():
+            bands = np.stack([np.array(b.as_py(), np.int64)[:band] for b in group.column("bands")])
+            for k in range(band):
+                linked &= bands[left, k][:, None] != bands[right, k][None, :]
         links = np.zeros(len(node))
         links[left] += linked @ copies[right]
         if i != j:
@@ -179,7 +187,7 @@ def _verify(rules: JoinRules):
 
 def _grams(rules: JoinRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "component", "copies", "blocks", "block"]
+        names = ["node", "copies", "bands", "places"]
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = _sets(list(utf8_of(part.column("text"))), rules.n)
@@ -188,6 +196,31 @@ def _grams(rules: JoinRules):
     return run
 
 
+PLACES = "array<struct<component:long,band:int,blocks:int,block:int>>"
+
+
+def _places(parts: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
+    """node, places: the tiles' rows and columns that a node is in. A component, or a bucket of a sparse one, is dealt to blocks by a hash of the node, and every pair of blocks is a tile."""
+
+    def place(component: str, band: Column, blocks: Column) -> Column:
+        return F.struct(F.col(component).alias("component"), band.alias("band"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+
+    blocks = F.greatest(F.ceil(F.col("members") / rules.block_nodes), F.ceil(F.col("bytes") / rules.block_bytes), F.lit(1)).cast("int")
+    extent = [F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes")]
+    sized = parts.join(nodes.select("node", "size"), "node")
+    planned = staged(splittable_join(sized, sized.groupBy("root").agg(*extent), "root").withColumn("blocks", blocks), "planned")
+    whole = F.array(place("root", F.lit(-1), F.col("blocks"))).alias("places")
+    if planned.filter("blocks > 1").isEmpty():
+        return planned.select("node", whole)
+    banded = planned.filter("blocks > 1").select("node", "root", "size").join(nodes.select("node", "bands"), "node").select("node", "root", "size", F.posexplode("bands").alias("band", "bucket"))
+    buckets = staged(banded.groupBy("root", "band", "bucket").agg(*extent).filter("members > 1").withColumn("blocks", blocks), "buckets")
+    squares = buckets.groupBy("root").agg(F.sum(F.col("members") * F.col("members")).alias("pairs"))
+    sizes = planned.filter("blocks > 1").groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sparse = staged(squares.join(sizes, "root").filter(F.col("n") * F.col("n") > rules.sparse * F.col("pairs")).select("root"), "sparse")
+    by_bucket = banded.drop("size").join(sparse, "root").join(buckets.select("band", "bucket", "blocks"), ["band", "bucket"])
+    return planned.join(sparse, "root", "left_anti").select("node", whole).unionByName(by_bucket.groupBy("node").agg(F.collect_list(place("bucket", F.col("band"), F.col("blocks"))).alias("places")))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, key: a row is told from others of its doc_id by a hash of its text."""
     return documents(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
@@ -202,16 +235,12 @@ def _linked(source: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "pivot")
     ties = splittable_join(banded, pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     parts = staged(components(ties), "candidates")
-    sized = parts.join(nodes.select("node", "first", "copies", "size"), "node")
-    # A component is dealt to blocks by a hash of the node; every pair of blocks is a tile.
-    blocks = F.greatest(F.ceil(F.col("members") / rules.block_nodes), F.ceil(F.col("bytes") / rules.block_bytes), F.lit(1)).cast("int")
-    planned = splittable_join(sized, sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes")), "root").withColumn("blocks", blocks)
-    wanted = planned.select("first.doc_id", "first.key", "node", F.col("root").alias("component"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = source.join(wanted, ["doc_id", "key"]).select("text", "node", "component", "copies", "blocks", "block")
-    grams = texts.mapInArrow(_grams(rules), "node long, component long, copies long, blocks int, block int, grams binary").dropDuplicates(["node"])
-    tiled = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    tiles = tiled.select("component", "i", "j", "node", "copies", "block", "grams")
-    verified = staged(tiles.groupBy("component", "i", "j").applyInArrow(_verify(rules), "node long, root long, links long"), "links")
+    wanted = _places(parts, nodes, rules).join(nodes.select("node", "first", "copies", "bands"), "node")
+    texts = source.join(wanted.select("first.doc_id", "first.key", "node", "copies", F.when(F.exists("places", lambda p: p["band"] > 0), F.col("bands")).alias("bands"), "places"), ["doc_id", "key"])
+    grams = texts.select("text", "node", "copies", "bands", "places").mapInArrow(_grams(rules), f"node long, copies long, bands array<long>, places {PLACES}, grams binary").dropDuplicates(["node"])
+    tiled = grams.withColumn("p", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+    tiles = tiled.select("p.component", "p.band", F.least("p.block", "other").alias("i"), F.greatest("p.block", "other").alias("j"), "node", "copies", "p.block", F.when(F.col("p.band") > 0, F.col("bands")).alias("bands"), "grams")
+    verified = staged(tiles.groupBy("component", "band", "i", "j").applyInArrow(_verify(rules), "node long, root long, links long"), "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.select("node", "first", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -117,6 +117,26 @@ def test_jaccard_classes(spark, rules):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == jaccard_classes(rows)
 
 
+def test_chains_of_weakly_similar_documents_take_linear_work(spark, monkeypatch):
+    """Neighbours in a chain share buckets but are not similar: bucket by bucket the pairs follow the chain's length, and links of true copies in it are found."""
+    n = 500
+    rows = [(i, " ".join(f"w{k}" for k in range(8 * i, 8 * i + 60)), "en", "s", 1) for i in range(n)]
+    rows += [(1000 + i, rows[i][1].replace(f"w{8 * i + 59}", "edited"), "en", "s", 1) for i in range(0, n, 5)]
+    seen = {}
+    plain = jaccard_join._places
+
+    def kept(parts, nodes, rules):
+        out = plain(parts, nodes, rules)
+        seen["pairs"] = sum(r.n**2 for r in out.select(jaccard_join.F.explode("places").alias("p")).groupBy("p.component", "p.band").agg(jaccard_join.F.count("*").alias("n")).collect())
+        seen["bands"] = {r.band for r in out.select(jaccard_join.F.explode("places").alias("p")).select("p.band").distinct().collect()}
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_places", kept)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.classes(spark.createDataFrame(rows, SCHEMA), jaccard_join.JoinRules(block_nodes=8)).collect()}
+    assert got == jaccard_classes(rows)
+    assert max(seen["bands"]) > 0 and seen["pairs"] < 24 * 5 * len(rows) < len(rows) ** 2 / 4
+
+
 def test_jaccard_edges(spark):
     rows = [(1, None, "a", "b", 1), (2, "", "a", "b", 1), (3, "one two", "a", "b", 1), (4, "one  two", "a", "b", 1), (None, "one two", "a", "b", 1), (4, "one  two", "a", "b", 1)]
     got = sorted(map(tuple, jaccard_join.classes(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
