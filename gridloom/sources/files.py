@@ -34,6 +34,13 @@ def read_geojson(spark: SparkSession, path: str, properties: str = "map<string,s
     return raw.select(F.explode("features").alias("f")).select(F.col("f.id").alias("id"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def read_geojson_lines(spark: SparkSession, path: str, properties: str = "map<string,string>") -> DataFrame:
+    """A row for each line, a feature: geometry_type, coordinates (JSON text), properties; read by many tasks."""
+    f = F.from_json("value", f"struct<geometry:struct<type:string,coordinates:string>,properties:{properties}>")
+    raw = spark.read.text(path).select(f.alias("f"))
+    return raw.select(F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
+
+
 def read_rdb(spark: SparkSession, path: str) -> DataFrame:
     """Tab text with # comments, a header and a line of column types: columns of text, empty as null.
 
