@@ -162,3 +162,64 @@ def noisy_samples(df: DataFrame, key: list[str], column: str, samples: int = 8,
     normal = F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * np.pi * draw(1))
     spread = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return spread.withColumn(column, F.when(F.col("sample") == 0, F.col(column)).otherwise(F.col(column) + sigma * normal))
+
+
+class AutoEncoder:
+    """A network that narrows its inputs to a code and widens them again; rectified hidden layers, linear code and output."""
+
+    def __init__(self, inputs: int, hidden: int = 16, code: int = 8, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        shape = [inputs, hidden, code, hidden, inputs]
+        self.weights = [rng.normal(0, 0.1, (a, b)) for a, b in zip(shape, shape[1:], strict=False)]
+        self.biases = [np.zeros(b) for b in shape[1:]]
+        self.seed = seed
+
+    def _layers(self, x: np.ndarray, last: int = 4) -> list[np.ndarray]:
+        out = [x]
+        for i in range(last):
+            y = out[-1] @ self.weights[i] + self.biases[i]
+            out.append(np.maximum(y, 0) if i % 2 == 0 else y)
+        return out
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return self._layers(x, 2)[-1]
+
+    def loss(self, x: np.ndarray) -> float:
+        return float(((self._layers(x)[-1] - x) ** 2).mean())
+
+    def fit(self, x: np.ndarray, steps: int = 50, rate: float = 0.001, batch: int = 2048, bound: float = 1.0) -> "AutoEncoder":
+        """Gradient descent on the squared error of random batches; each gradient entry is clipped to the bound."""
+        rng = np.random.default_rng(self.seed)
+        for _ in range(steps):
+            rows = x[rng.choice(len(x), min(batch, len(x)), replace=False)]
+            layers = self._layers(rows)
+            slope = 2.0 / len(rows) * (layers[-1] - rows)
+            for i in reversed(range(4)):
+                if i % 2 == 0:
+                    slope = slope * (layers[i + 1] > 0)
+                by_weight, by_bias, slope = layers[i].T @ slope, slope.sum(axis=0), slope @ self.weights[i].T
+                self.weights[i] -= rate * np.clip(by_weight, -bound, bound)
+                self.biases[i] -= rate * np.clip(by_bias, -bound, bound)
+        return self
+
+
+def encode_spectra(df: DataFrame, columns: list[str], code: int = 8, sample: int = 20_000, steps: int = 50, rate: float = 0.001, seed: int = 42) -> DataFrame:
+    """df with `code`, an array: the columns, scaled by their mean and deviation over all rows, through an auto-encoder.
+
+    The encoder learns from at most `sample` rows, the first in order of a hash of their values; rows with a null get a null code.
+    """
+    whole = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean = np.array([whole[f"m{i}"] or 0.0 for i in range(len(columns))])
+    scale = np.array([whole[f"s{i}"] or 1.0 for i in range(len(columns))])
+    rows = df.dropna(subset=columns).select(*[F.col(c).cast("double") for c in columns]).orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(sample).collect()
+    model = AutoEncoder(len(columns), code=code, seed=seed)
+    if rows:
+        model.fit((np.array(rows, float) - mean) / scale, steps, rate)
+
+    @pandas_udf("array<double>")
+    def run(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(float) for v in values])
+        codes = model.codes((x - mean) / scale)
+        return pd.Series([None if np.isnan(r).any() else c.tolist() for r, c in zip(x, codes, strict=True)])
+
+    return df.withColumn("code", run(*[F.col(c).cast("double") for c in columns]))

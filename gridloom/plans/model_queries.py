@@ -258,6 +258,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.reduce(_features(spark, sf_dir), _F8, 3).select("vec_id", F.transform("reduced", lambda x: F.round(F.abs(x), 5)).alias("reduced"))
 
 
+@REGISTRY.query("m8_spectral_codes")
+def spectral_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty features as codes of eight values, learnt without labels."""
+    names = [f"f{i}" for i in range(30)]
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", *[C("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return learning.encode_spectra(e, names).select("vec_id", F.transform("code", lambda x: F.round(x, 5)).alias("code"))
+
+
 @REGISTRY.query("r4_running_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a stream, run over what is there."""

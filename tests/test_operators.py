@@ -369,6 +369,29 @@ def test_crowns_and_superpixels():
     assert not set(seg[:, :15].ravel()) & set(seg[:, 15:].ravel())
 
 
+def test_auto_encoder(spark):
+    rng = np.random.default_rng(3)
+    low = rng.normal(size=(400, 3))
+    x = low @ rng.normal(size=(3, 12))
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    net = learning.AutoEncoder(12, code=4)
+    # Gradients against differences of the loss.
+    small, step, before = x[:50], 1e-6, net.loss(x[:50])
+    for i in range(4):
+        w = net.weights[i].copy()
+        trained = learning.AutoEncoder(12, code=4).fit(small, 1, 1.0, 50, 1e9).weights[i] - w
+        net.weights[i][0, 1] += step
+        slope = (net.loss(small) - before) / step * 12
+        net.weights[i] = w
+        assert -trained[0, 1] == pytest.approx(slope, rel=1e-3, abs=1e-6)
+    assert learning.AutoEncoder(12, code=4).fit(x, 3000, 0.05).loss(x) < 0.2 * before
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x[:40])] + [(99, *[None] * 12)], "id int, " + ", ".join(f"f{i} double" for i in range(12)))
+    codes = {r.id: r.code for r in learning.encode_spectra(df, [f"f{i}" for i in range(12)], 4).collect()}
+    assert codes[99] is None and len(codes[0]) == 4 and codes[0] != codes[1]
+    again = {r.id: r.code for r in learning.encode_spectra(df.repartition(3), [f"f{i}" for i in range(12)], 4).collect()}
+    assert all(np.allclose(codes[i], again[i]) for i in range(40))
+
+
 def test_circuit_by_full_matrices():
     c = learning.Circuit(3, 2)
     x = np.random.default_rng(4).uniform(0, np.pi, (5, 3))
