@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def staged(df: DataFrame, what: str, ids_only: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ids_only: its rows are a few numbers, far smaller than the documents that the number of shuffle
+    partitions is chosen for, so a task writes several partitions into one file.
+    """
     spark = df.sparkSession
+    if ids_only:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = f"{shared_folder(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
     _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)

@@ -27,9 +27,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for the nodes of edges u, v (integers); roots included."""
-    now, mark = staged(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
+    now, mark = staged(edges.select("u", "v").filter("u <> v").distinct(), "edges", ids_only=True), None
     while True:
-        now = staged(_star(_star(now, True), False), "edges")
+        now = staged(_star(_star(now, True), False), "edges", ids_only=True)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             break

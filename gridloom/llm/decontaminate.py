@@ -312,6 +312,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of documents without a leak, with all their columns."""
     leaks = _leaks(_keyed(documents(docs, id_col, text_col)), benchmark, rules, item_col, item_text_col)
-    gone = _small(staged(leaks.select(*[F.col(k).alias(f"__{k}") for k in KEY]).distinct(), "leaked"))
+    gone = _small(staged(leaks.select(*[F.col(k).alias(f"__{k}") for k in KEY]).distinct(), "leaked", ids_only=True))
     text = docs[f"`{text_col}`"].cast("string")
     return docs.join(gone, (F.xxhash64(text) == gone["__k1"]) & (F.xxhash64(F.lit(1), text) == gone["__k2"]), "left_anti")

@@ -208,15 +208,15 @@ def _places(parts: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("members") / rules.block_nodes), F.ceil(F.col("bytes") / rules.block_bytes), F.lit(1)).cast("int")
     extent = [F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes")]
     sized = parts.join(nodes.select("node", "size"), "node")
-    planned = staged(splittable_join(sized, sized.groupBy("root").agg(*extent), "root").withColumn("blocks", blocks), "planned")
+    planned = staged(splittable_join(sized, sized.groupBy("root").agg(*extent), "root").withColumn("blocks", blocks), "planned", ids_only=True)
     whole = F.array(place("root", F.lit(-1), F.col("blocks"))).alias("places")
     if planned.filter("blocks > 1").isEmpty():
         return planned.select("node", whole)
     banded = planned.filter("blocks > 1").select("node", "root", "size").join(nodes.select("node", "bands"), "node").select("node", "root", "size", F.posexplode("bands").alias("band", "bucket"))
-    buckets = staged(banded.groupBy("root", "band", "bucket").agg(*extent).filter("members > 1").withColumn("blocks", blocks), "buckets")
+    buckets = staged(banded.groupBy("root", "band", "bucket").agg(*extent).filter("members > 1").withColumn("blocks", blocks), "buckets", ids_only=True)
     squares = buckets.groupBy("root").agg(F.sum(F.col("members") * F.col("members")).alias("pairs"))
     sizes = planned.filter("blocks > 1").groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    sparse = staged(squares.join(sizes, "root").filter(F.col("n") * F.col("n") > rules.sparse * F.col("pairs")).select("root"), "sparse")
+    sparse = staged(squares.join(sizes, "root").filter(F.col("n") * F.col("n") > rules.sparse * F.col("pairs")).select("root"), "sparse", ids_only=True)
     by_bucket = banded.drop("size").join(sparse, "root").join(buckets.select("band", "bucket", "blocks"), ["band", "bucket"])
     return planned.join(sparse, "root", "left_anti").select("node", whole).unionByName(by_bucket.groupBy("node").agg(F.collect_list(place("bucket", F.col("band"), F.col("blocks"))).alias("places")))
 
@@ -234,7 +234,7 @@ def _linked(source: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "pivot")
     ties = splittable_join(banded, pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    parts = staged(components(ties), "candidates")
+    parts = staged(components(ties), "candidates", ids_only=True)
     wanted = _places(parts, nodes, rules).join(nodes.select("node", "first", "copies", "bands"), "node")
     texts = source.join(wanted.select("first.doc_id", "first.key", "node", "copies", F.when(F.exists("places", lambda p: p["band"] > 0), F.col("bands")).alias("bands"), "places"), ["doc_id", "key"])
     grams = texts.select("text", "node", "copies", "bands", "places").mapInArrow(_grams(rules), f"node long, copies long, bands array<long>, places {PLACES}, grams binary").dropDuplicates(["node"])
@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc
     """
     rows, nodes = _linked(_keyed(docs, id_col, text_col), rules)
     row = F.struct("doc_id", "key")
-    judged = staged(rows.filter("node is not null").join(nodes, "node").groupBy("doc_id", "key").agg(F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")).withColumn("gone", row != F.col("keeper")).filter("gone or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone"), "judged")
+    judged = staged(rows.filter("node is not null").join(nodes, "node").groupBy("doc_id", "key").agg(F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")).withColumn("gone", row != F.col("keeper")).filter("gone or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone"), "judged", ids_only=True)
     own_id, own_key = docs[f"`{id_col}`"].cast("long"), F.xxhash64(docs[f"`{text_col}`"].cast("string"))
     gone = judged.filter("gone")
     kept = docs.join(gone, (own_id == gone["__id"]) & (own_key == gone["__key"]), "left_anti")
