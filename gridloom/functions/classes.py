@@ -11,6 +11,7 @@ CROSSWALK_8 = {11: 0, 90: 1, 95: 1, 41: 2, 42: 2, 43: 2, 51: 3, 52: 3, 71: 3, 72
 CROSSWALK_12 = {11: 1, 12: 1, 90: 3, 95: 2, 41: 5, 42: 4, 43: 5, 52: 6, 71: 7, 72: 7, 73: 7, 74: 7, 81: 8, 82: 8, 21: 9, 22: 9, 23: 10, 24: 10, 31: 12}
 # Classes that a pixel of a class may be in a year later.
 ALLOWED = {0: (0, 1, 7), 1: (0, 1, 2, 3), 2: (1, 2, 3, 4, 5), 3: (1, 2, 3, 4, 5, 7), 4: (3, 4, 5, 7), 5: (5, 6), 6: (6,), 7: (3, 4, 5, 7)}
+# Flood zones of high risk.
 HIGH_RISK_ZONES = ("A", "AE", "AH", "AO", "AR", "A99", "V", "VE")
 
 
@@ -40,14 +41,18 @@ def month_of(iso: Column) -> Column:
     return F.coalesce(F.month(F.try_to_date(iso)), F.lit(0))
 
 
+# Index above which ground counts as built, low and high.
+BUILT_LOW, BUILT_HIGH = 0.05, 0.05 + 0.10
+
+
 def pseudo_label(ndvi: Column, evi: Column, ndwi: Column, mndwi: Column, ndbi: Column, bsi: Column) -> Column:
-    """Class by rules of which the last that holds counts; shrub and grass where none does."""
+    """Class by rules of which the last that holds counts; shrub and grass where none does. The bounds are fixed values."""
     water = (ndwi > 0.10) | (mndwi > 0.10)
     forest = ~water & (ndvi > 0.50) & (evi > 0.3)
-    built = (ndbi > 0.05 + 0.10) & (ndvi < 0.25)
+    built = (ndbi > BUILT_HIGH) & (ndvi < 0.25)
     return (
         F.when((bsi > 0.15) & (ndvi < 0.25) & ~built, 7)
-        .when(~built & (ndbi > 0.05) & (ndvi < 0.50), 5)
+        .when(~built & (ndbi > BUILT_LOW) & (ndvi < 0.50), 5)
         .when(built, 6)
         .when(~water & ~forest & (ndvi > 0.35) & (evi > 0.2) & (evi < 0.4), 4)
         .when(~water & ~forest & (ndvi > 0.25) & (ndvi <= 0.50), 3)

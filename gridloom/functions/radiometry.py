@@ -11,6 +11,12 @@ from gridloom.functions.guards import clip, ratio
 HARMONISE = {"blue": (0.8474, 0.0003), "green": (0.8483, 0.0088), "red": (0.9047, 0.0061), "nir": (0.8462, 0.0412), "swir1": (0.8937, 0.0254), "swir2": (0.9071, 0.0172)}
 
 
+# Bits of the quality band.
+FILL, DILATED, CLOUD, SHADOW, CLEAR = 0, 1, 3, 4, 6
+# Scene classes that are clear ground, and those that are not to be used.
+CLEAR_CLASSES, BAD_CLASSES = (4, 5, 6, 7), (1, 2, 3, 7, 8, 9, 10, 11)
+
+
 def landsat_reflectance(dn: Column) -> Column:
     return clip(dn * 2.75e-5 - 0.2, 0, 1)
 
@@ -36,19 +42,19 @@ def bit(qa: Column, n: int) -> Column:
 
 def landsat_clear(qa: Column) -> Column:
     """Clear flag set, and neither dilated cloud, cloud nor cloud shadow."""
-    return bit(qa, 6) & ~bit(qa, 1) & ~bit(qa, 3) & ~bit(qa, 4)
+    return bit(qa, CLEAR) & ~bit(qa, DILATED) & ~bit(qa, CLOUD) & ~bit(qa, SHADOW)
 
 
 def landsat_bad(qa: Column) -> Column:
     """Cloud, cloud shadow or fill."""
-    return bit(qa, 3) | bit(qa, 4) | bit(qa, 0)
+    return bit(qa, CLOUD) | bit(qa, SHADOW) | bit(qa, FILL)
 
 
-def scene_class_clear(scl: Column, keep: tuple[int, ...] = (4, 5, 6, 7)) -> Column:
+def scene_class_clear(scl: Column, keep: tuple[int, ...] = CLEAR_CLASSES) -> Column:
     return scl.isin(*keep)
 
 
-def scene_class_bad(scl: Column, drop: tuple[int, ...] = (1, 2, 3, 7, 8, 9, 10, 11)) -> Column:
+def scene_class_bad(scl: Column, drop: tuple[int, ...] = BAD_CLASSES) -> Column:
     return scl.isin(*drop)
 
 

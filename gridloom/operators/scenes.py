@@ -115,6 +115,7 @@ def region_shapes(cells: DataFrame, label: str) -> DataFrame:
 
 
 def species_name(nir_red: Column, green: Column, ndvi: Column, nir: Column, group: Column) -> Column:
+    """A group of trees by rules in order; bounds and names are fixed values."""
     return (
         F.when((ndvi > 0.6) & (nir_red > 2.0), "Deciduous Broadleaf")
         .when((ndvi > 0.5) & (nir_red < 1.6), "Conifer / Evergreen")
