@@ -15,6 +15,35 @@ def transitions(maps: DataFrame, pixel: list[str], year: str, value: str, first:
     return a.join(b, pixel).groupBy("from_class", "to_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def transitions_by_step(maps: DataFrame, pixel: list[str], year: str, value: str, years: list[int]) -> DataFrame:
+    """from_year, to_year, from_class, to_class, n for each two years that follow each other in the list: one equi-join for all steps."""
+    after = dict(zip(sorted(years), sorted(years)[1:], strict=False))
+    follow = F.create_map(*[F.lit(x) for step in after.items() for x in step])
+    a = maps.filter(F.col(year).isin(*after)).select(*pixel, F.col(year).alias("from_year"), F.try_element_at(follow, F.col(year)).alias("to_year"), F.col(value).alias("from_class"))
+    b = maps.select(*pixel, F.col(year).alias("to_year"), F.col(value).alias("to_class"))
+    return a.join(b, [*pixel, "to_year"]).groupBy("from_year", "to_year", "from_class", "to_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def change_products(maps: DataFrame, pixel: list[str], year: str, value: str, years: list[int], developed: tuple[int, ...], pixel_ha: float) -> dict[str, DataFrame]:
+    """All products of a change analysis over some years, of which there must be two at least, each with a map: a table for each, by name."""
+    held = {r[0] for r in maps.select(year).distinct().collect()}  # a row for each year
+    if len(set(years)) < 2 or not set(years) <= held:
+        raise ValueError(f"a change analysis needs two years or more that have maps; {sorted(set(years) - held)} have none")
+    chosen = maps.filter(F.col(year).isin(*years))
+    steps = transitions_by_step(chosen, pixel, year, value, years).withColumn("ha", F.col("n") * pixel_ha)
+    first_last = transitions(chosen, pixel, year, value, min(years), max(years)).withColumn("ha", F.col("n") * pixel_ha)
+    counts = chosen.groupBy(year, value).agg(F.count(F.lit(1)).alias("n"))
+    changed = F.sum(F.when(F.col("from_class") != F.col("to_class"), F.col("n")).otherwise(0))
+    return {
+        "steps": steps,
+        "matrix": first_last,
+        "gains_losses": gains_losses(first_last),
+        "fractions": counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(year))),
+        "intensity": steps.groupBy("from_year", "to_year").agg(F.sum("n").alias("n"), changed.alias("n_changed")).withColumn("percent", 100.0 * F.col("n_changed") / F.col("n")),
+        "trajectory": trajectory(chosen, pixel, year, value, developed),
+    }
+
+
 def gains_losses(matrix: DataFrame) -> DataFrame:
     """class_id, gain, loss, net of a transition matrix."""
     moved = matrix.filter("from_class <> to_class")

@@ -33,6 +33,27 @@ def gain_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.gains_losses(lc.transitions(_maps(spark, sf_dir), ["px"], "year", "class_id", 1995, 2000))
 
 
+_YEARS = "SELECT year, lead(year) OVER (ORDER BY year) AS next FROM (SELECT DISTINCT year FROM class_map)"
+_STEPS = "SELECT a.year AS y1, b.year AS y2, a.class_id AS c1, b.class_id AS c2, count(*) AS n FROM class_map a JOIN yr ON a.year = yr.year JOIN class_map b ON a.px = b.px AND b.year = yr.next GROUP BY ALL"
+_PRODUCTS = """SELECT 'steps' AS product, y1 AS a, y2 AS b, c1 AS c, c2 AS d, CAST(n AS DOUBLE) AS value FROM s
+ UNION ALL SELECT 'intensity', y1, y2, -1, -1, round(100.0 * sum(CASE WHEN c1 <> c2 THEN n ELSE 0 END) / sum(n), 6) FROM s GROUP BY 2, 3
+ UNION ALL SELECT 'fractions', year, class_id, -1, -1, round(count(*) / sum(count(*)) OVER (PARTITION BY year)::DOUBLE, 6) FROM class_map GROUP BY 2, 3
+ UNION ALL SELECT 'net', k, -1, -1, -1, CAST(sum(g) AS DOUBLE) FROM (SELECT b.class_id AS k, 1 AS g FROM class_map a JOIN class_map b ON a.px = b.px AND a.year = (SELECT min(year) FROM class_map) AND b.year = (SELECT max(year) FROM class_map) AND a.class_id <> b.class_id UNION ALL SELECT a.class_id, -1 FROM class_map a JOIN class_map b ON a.px = b.px AND a.year = (SELECT min(year) FROM class_map) AND b.year = (SELECT max(year) FROM class_map) AND a.class_id <> b.class_id) GROUP BY 2"""
+
+
+@REGISTRY.query("a42_change_products", fx.sql(_PRODUCTS, "class_map", yr=_YEARS, s=_STEPS))
+def change_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of an analysis over all years, as one table; -1 stands for a key that a product has not."""
+    m = _maps(spark, sf_dir)
+    years = sorted(r.year for r in m.select("year").distinct().collect())
+    p = lc.change_products(m, ["px"], "year", "class_id", years, (5, 6), PIXEL_HA)
+    row = lambda name, frame, keys, value: frame.select(F.lit(name).alias("product"), *[(C(k) if k else F.lit(-1)).cast("int").alias(n) for k, n in zip(keys, "abcd", strict=True)], value.cast("double").alias("value"))
+    out = row("steps", p["steps"], ["from_year", "to_year", "from_class", "to_class"], C("n"))
+    for name, keys, value in (("intensity", ["from_year", "to_year", None, None], F.round("percent", 6)), ("fractions", ["year", "class_id", None, None], F.round("share", 6))):
+        out = out.unionByName(row(name, p[name], keys, value))
+    return out.unionByName(row("net", p["gains_losses"], ["class_id", None, None, None], C("net")))
+
+
 @REGISTRY.query("a24_top_flows", fx.sql("SELECT from_class, to_class, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, from_class, to_class) AS r FROM t WHERE from_class <> to_class) WHERE r <= 10", "class_map", t=_TM))
 def top_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten largest flows between classes."""

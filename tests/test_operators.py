@@ -152,6 +152,23 @@ def test_areas_of_interest(spark):
         assert r.c is None or (len(r.c) == 4 and r.c[0] == r.c[-1])
 
 
+def test_change_products_need_maps(spark):
+    maps = spark.createDataFrame([(p, y, (p * y) % 3) for p in range(6) for y in (2000, 2001, 2003) if (p, y) != (2, 2001)], "px int, year int, class_id int")
+    with pytest.raises(ValueError):
+        landcover.change_products(maps, ["px"], "year", "class_id", [2000], (2,), 0.09)
+    with pytest.raises(ValueError, match="2002"):
+        landcover.change_products(maps, ["px"], "year", "class_id", [2000, 2002], (2,), 0.09)
+    p = landcover.change_products(maps, ["px"], "year", "class_id", [2003, 2000, 2001], (2,), 0.09)
+    steps = {}
+    for q in range(6):
+        for a, b in ((2000, 2001), (2001, 2003)):
+            if q != 2:
+                k = (a, b, (q * a) % 3, (q * b) % 3)
+                steps[k] = steps.get(k, 0) + 1
+    assert {(r.from_year, r.to_year, r.from_class, r.to_class): r.n for r in p["steps"].collect()} == steps
+    assert {(r.from_year, r.n) for r in p["intensity"].collect()} == {(2000, 5), (2001, 5)} and p["trajectory"].count() == 6
+
+
 def test_percentiles_by_ranks(spark, monkeypatch):
     from gridloom.operators import ranks
 
