@@ -19,20 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, groups_for, input_bytes, pieces, utf8_of
-from gridloom.llm.id_coder import BLOCK_IDS, SIDE_BY_SIDE, decode_blocks, encode_blocks, split_blocks
+from gridloom.llm.common import documents, groups_for, input_bytes, pieces
+from gridloom.llm.id_coder import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
 from gridloom.sources.shared import shared_folder
 
 SHARD = "part int, shard int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, vocabulary int, blocks binary"
-#: Ids that a task holds before it codes them: as many blocks as are coded side by side.
-BATCH_IDS = BLOCK_IDS * SIDE_BY_SIDE
-SHARD_IDS = BLOCK_IDS * 64
-#: Words whose ids a worker keeps between batches.
-KEPT_WORDS = 400_000
+ARROW_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("vocabulary", pa.int32()), ("blocks", pa.binary())])
+#: Ids from which a shard is closed, and bytes of text that are tokenized at once.
+SHARD_IDS, BATCH_BYTES = BLOCK_IDS * 4, 16 << 20
+#: Words whose ids a worker keeps between batches, and runs of letters that are encoded as one text.
+KEPT_WORDS, RUNS_AT_ONCE = 600_000, 100
 #: Parts in a block of the prefix sums, and parts whose starts are broadcast (some 16 bytes each).
 BLOCK_PARTS, BROADCAST_PARTS = 4096, 1_000_000
 
@@ -65,11 +66,32 @@ def drops_white_space(model: str) -> bool:
     return not any(set(PROBE[a:b]) & set(" \t\n\v\f\r") for _, (a, b) in found)
 
 
+#: The pattern that keeps a run of letters, and marks after it, as tokens of their own, as in the public model.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that normalizers map one by one to letters, and the marks that may follow them in a word.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f]+"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS_AND_MARKS = f"^{LETTERS}[!-&(-/:-@\\[-`{{-~]*$"
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries `at` of a list of runs in flat, one after another."""
+    out = [np.zeros(0, flat.dtype)]
+    for i in range(0, len(at), 1 << 20):
+        part = at[i : i + (1 << 20)]
+        own = sizes[part]
+        stops = np.cumsum(own)
+        out.append(flat[np.repeat(starts[part] - stops + own, own) + np.arange(int(stops[-1]))])
+    return np.concatenate(out)
+
+
 class WordTokenizer:
     """A tokenizers library model that drops white space; each distinct run without ASCII white space is encoded once.
 
     Neither the model's normalizer nor its pre-tokenizer looks across white space, so the ids of a
-    text are those of its runs.
+    text are those of its runs. Where the model takes runs of letters as tokens, those and marks after them are
+    encoded apart, and many runs at once: each ends with a piece of the end of a word. If there
+    are not as many of these as runs, the runs are encoded one by one.
     """
 
     def __init__(self, model: str):
@@ -79,22 +101,89 @@ class WordTokenizer:
             raise ValueError("the tokenizer's ids are not those of runs without white space")
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self._ids: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self._ids
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words}.difference(memo)
-        if len(memo) + len(fresh) > KEPT_WORDS:
-            memo.clear()
-            fresh = {w for words in split for w in words}
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, coded, strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        spec = json.loads(model)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.lowers = any(x["type"] == "Lowercase" for x in _steps(spec.get("normalizer"), "normalizers"))
+        self.ends = None
+        if spec["model"]["type"] == "BPE" and suffix and _steps(spec["pre_tokenizer"], "pretokenizers")[0]["pattern"] == {"Regex": LETTER_RUNS}:
+            names = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(names.values()) + 1, bool)
+            self.ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
+        self._parts, self._flat = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self._starts = self._sizes = np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, each followed by those of end, one after another; and how many each has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        starts, sizes, flat = self._words(words.dictionary)
+        stops = np.cumsum(pc.list_value_length(split).to_numpy())
+        at = np.insert(words.indices.to_numpy(), stops, len(sizes))
+        starts, sizes, flat = np.append(starts, len(flat)), np.append(sizes, len(end)), np.append(flat, end)
+        before = np.cumsum(sizes[at])[stops + np.arange(len(stops))]
+        return _gathered(starts, sizes, flat, at), np.diff(before, prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word start, how many there are, and the ids."""
+        stems, tails, tail = words, [""], np.zeros(len(words), np.int64)
+        if self.ends is not None:
+            plain = pc.match_substring_regex(words, LETTERS_AND_MARKS)
+            stems = pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words) if self.lowers else words, MARKS), words)
+            cut = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy()
+            marked = np.flatnonzero(cut)
+            own = pa.array([w[-n:] for w, n in zip(words.take(marked).cast(pa.large_binary()).to_pylist(), cut[marked].tolist(), strict=True)], pa.large_binary()).cast(pa.large_string()).dictionary_encode()
+            tails += own.dictionary.to_pylist()
+            tail[marked] = 1 + own.indices.to_numpy()
+        coded = pa.concat_arrays([stems, pa.array(tails, pa.large_string())]).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        both = np.stack([place[: len(words)], place[len(words) :][tail]], axis=1)
+        sizes = self._sizes[both].sum(axis=1)
+        return np.cumsum(sizes) - sizes, sizes, _gathered(self._starts, self._sizes, self._flat, both.ravel())
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Which of the kept parts each of some distinct ones is; fresh ones are encoded."""
+        place = pc.index_in(parts, value_set=self._parts)
+        if len(self._parts) + place.null_count > KEPT_WORDS:  # what these texts hold is kept
+            keep = place.drop_null().to_numpy()
+            self._flat = _gathered(self._starts, self._sizes, self._flat, keep)
+            self._parts, self._sizes = self._parts.take(keep), self._sizes[keep]
+            self._starts = np.cumsum(self._sizes) - self._sizes
+            place = pc.index_in(parts, value_set=self._parts)
+        fresh = parts.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self._parts) + np.arange(len(fresh))
+        starts, sizes, flat = self._encoded(fresh)
+        self._parts = pa.concat_arrays([self._parts, fresh])
+        self._starts, self._sizes = np.concatenate([self._starts, starts + len(self._flat)]), np.concatenate([self._sizes, sizes])
+        self._flat = np.concatenate([self._flat, flat])
+        return place
+
+    def _encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in parts.cast(pa.large_binary()).to_pylist()]
+        plain = np.zeros(len(texts), bool) if self.ends is None else pc.match_substring_regex(parts, f"^{LETTERS}$").to_numpy(zero_copy_only=False)
+        starts, sizes, flat, held = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
+        together, alone = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        groups = [together[i : i + RUNS_AT_ONCE] for i in range(0, len(together), RUNS_AT_ONCE)]
+        for group, one in zip(groups, self._ids([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
+            stops = np.flatnonzero(self.ends[one]) + 1
+            if len(stops) != len(group) or stops[-1] != len(one):
+                alone.append(group)
+                continue
+            sizes[group] = np.diff(stops, prepend=0)
+            starts[group] = held + stops - sizes[group]
+            flat.append(one)
+            held += len(one)
+        alone = np.concatenate(alone)
+        for i, one in zip(alone.tolist(), self._ids([texts[i] for i in alone.tolist()]), strict=True):
+            starts[i], sizes[i] = held, len(one)
+            flat.append(one)
+            held += len(one)
+        return starts, sizes, np.concatenate(flat)
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), 50_000):
+            for one in self.tokenizer.encode_batch_fast(texts[i : i + 50_000], add_special_tokens=False):
+                yield np.array(one.ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -102,30 +191,35 @@ def _tokenizer(model: str) -> WordTokenizer:
     return WordTokenizer(model)
 
 
-def _shards(documents: list[tuple[int | None, bytes]]) -> Iterator[list[tuple[int | None, bytes]]]:
-    shard, size = [], 0
-    for one in documents:
-        shard.append(one)
-        size += len(one[1]) // 4
-        if size >= SHARD_IDS:
-            yield shard
-            shard, size = [], 0
-    if shard:
-        yield shard
-
-
-def _rows(part: int, first: int, start: int, held: list[tuple[int | None, bytes]], vocabulary: int) -> pa.RecordBatch:
-    shards = list(_shards(held))
-    ids = [np.frombuffer(b"".join(x for _, x in s), "<u4") for s in shards]
-    blocks = [[own[i : i + BLOCK_IDS] for i in range(0, len(own), BLOCK_IDS)] for own in ids]
-    coded = iter(encode_blocks([b for own in blocks for b in own], vocabulary))
-    sizes = np.array([len(x) for x in ids], np.int64)
-    columns = [
-        pa.array([part] * len(shards), pa.int32()), pa.array(range(first, first + len(shards)), pa.int32()), pa.array(start + np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64()),
-        pa.array([[d for d, _ in s] for s in shards], pa.list_(pa.int64())), pa.array([[len(x) // 4 for _, x in s] for s in shards], pa.list_(pa.int64())),
-        pa.array([vocabulary] * len(shards), pa.int32()), pa.array([b"".join(next(coded) for _ in own) for own in blocks], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SHARD.split(", ")])
+def _shard(part: int, shard: int, start: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> pa.RecordBatch:
+    blocks = np.array_split(ids, max(1, round(len(ids) / BLOCK_IDS))) if len(ids) else []
+    row = {"part": part, "shard": shard, "part_start": start, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": lengths, "vocabulary": vocabulary, "blocks": b"".join(encode_blocks(blocks, vocabulary))}
+    return pa.RecordBatch.from_pylist([row], ARROW_SHARD)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], tokenizer: WordTokenizer, part: int, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    vocabulary = max(tokenizer.vocabulary, *(end + 1).tolist(), 1)
+    shard = start = size = 0
+    doc_ids: list[int | None] = []
+    lengths, ids = [], []
+
+    def close() -> pa.RecordBatch:
+        nonlocal shard, start, size, doc_ids, lengths, ids
+        out = _shard(part, shard, start, doc_ids, np.concatenate(lengths), np.concatenate(ids), vocabulary)
+        shard, start, size, doc_ids, lengths, ids = shard + 1, start + size, 0, [], [], []
+        return out
+
+    for batch in batches:
+        for piece in pieces(batch, "text", BATCH_BYTES):
+            own, sizes = tokenizer.encode(piece.column("text"), end)
+            doc_ids += piece.column("doc_id").to_pylist()
+            lengths.append(sizes)
+            ids.append(own)
+            size += len(own)
+            if size >= SHARD_IDS:
+                yield close()
+    if doc_ids:
+        yield close()
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -137,30 +231,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         model = spark.sparkContext.broadcast(file.read())
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(model.value)
-        vocabulary = max(tokenizer.vocabulary, (end_id or 0) + 1)
-        part, shard, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int | None, bytes]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal shard, start, held, size
-            out = _rows(part, shard, start, held, vocabulary)
-            shard, start, held, size = shard + out.num_rows, start + size, [], 0
-            return out
-
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), tokenizer.encode(list(utf8_of(piece.column("text")))), strict=True):
-                    held.append((doc_id, ids + end))
-                    size += len(held[-1][1]) // 4
-                    if size >= BATCH_IDS:
-                        yield flush()
-        if held:
-            yield flush()
+        return _shards(batches, _tokenizer(model.value), TaskContext.get().partitionId(), end)
 
     source = documents(docs, id_col, text_col).withColumn("turn", F.xxhash64("text"))
     parts = groups_for(input_bytes(docs, text_col), 16 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -183,33 +257,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     starts = _starts(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                held.append((row, split_blocks(row["blocks"])))
-                count += len(held[-1][1])
-                if count >= SIDE_BY_SIDE:
-                    yield _documents(held)
-                    held, count = [], 0
-        if held:
-            yield _documents(held)
+            for i in range(batch.num_rows):
+                yield _documents(batch.slice(i, 1).to_pylist()[0])
 
     placed = shards.join(F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts, "part")
     return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def _documents(held: list[tuple[dict, list[bytes]]]) -> pa.RecordBatch:
-    decoded = iter(decode_blocks([b for _, blocks in held for b in blocks], held[0][0]["vocabulary"]))
-    ids, first, texts = [], [], []
-    for row, blocks in held:
-        own = np.concatenate([np.zeros(0, "<u4"), *[next(decoded) for _ in blocks]]).astype("<u4")
-        stops = np.cumsum(row["lengths"])
-        base = row["before"] + row["part_start"]
-        for doc_id, n, stop in zip(row["doc_ids"], row["lengths"], stops.tolist(), strict=True):
-            ids.append(doc_id)
-            first.append(base + stop - n)
-            texts.append(own[stop - n : stop].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "ids"])
+def _documents(row: dict) -> pa.RecordBatch:
+    ids = np.concatenate([np.zeros(0, "<u4"), *decode_blocks(split_blocks(row["blocks"]), row["vocabulary"])])
+    lengths = np.array(row["lengths"], np.int64)
+    stops = np.cumsum(lengths)
+    starts = (row["before"] + row["part_start"] + stops - lengths).tolist()
+    texts = [ids[stop - n : stop].tobytes() for n, stop in zip(row["lengths"], stops.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "ids"])
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
