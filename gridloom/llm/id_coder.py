@@ -25,9 +25,9 @@ import zlib
 import numpy as np
 
 HEAD = struct.Struct("<III")
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 3 << 20
 #: Lanes of a block, and ids that a lane has at least if there are several.
-LANES, LANE_IDS = 4096, 128
+LANES, LANE_IDS = 8192, 256
 #: No byte of code holds as many ids: the likeliest candidate takes 0.011 bits.
 IDS_A_BYTE = 1024
 ORDER1, ORDER2 = 1 << 16, 1 << 17
@@ -36,7 +36,7 @@ SURE_BITS, SHARE_BITS = 3, 4
 SUREST = (1 << SURE_BITS) - 1
 CELLS = 1 << 2 * SURE_BITS + 1 + SHARE_BITS
 #: Steps after which the mixer learns and the order-0 frequencies are counted, once a block is under way.
-MIX_EVERY, COUNT_EVERY = 8, 32
+MIX_EVERY, COUNT_EVERY = 16, 32
 #: Order-0 frequencies sum up to this; ids that have one of their own.
 TOTAL, MOST_IDS = 1 << 16, 1 << 15
 _SETTLED, _WORD = np.uint64(1 << 32), np.uint64(32)
@@ -293,13 +293,14 @@ def _run(coder, steps: int, lanes: int, ids: np.ndarray | None, vocabulary: int)
             hit = guess == got
         seen[held] = cell << 1 | hit
         held += 1
-        if held == MIX_EVERY or step < 4 * MIX_EVERY:
+        early = not step & step + 1  # after 1, 2, 4, ... steps
+        if held == MIX_EVERY or early:
             mixer.learn(np.bincount(seen[:held].ravel(), minlength=2 * CELLS).reshape(CELLS, 2))
             held = 0
         fresh = got << SURE_BITS
         for table, slot, entry, known, sure in ((first, slot1, entry1, guess1, sure1), (second, slot2, entry2, guess2, sure2)):
             table[slot] = np.where(known == got, entry + (sure < SUREST), np.where(sure > 0, entry - 1, fresh))
-        if step + 1 - counted == COUNT_EVERY or not step & step + 1:
+        if step + 1 - counted == COUNT_EVERY or early:
             frequencies.count(out[counted : step + 1])
             counted = step + 1
         before, last = last, got

@@ -31,7 +31,7 @@ from gridloom.sources.shared import shared_folder
 SHARD = "part int, shard int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, vocabulary int, blocks binary"
 ARROW_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("vocabulary", pa.int32()), ("blocks", pa.binary())])
 #: Ids from which a shard is closed, and bytes of text that are tokenized at once.
-SHARD_IDS, BATCH_BYTES = BLOCK_IDS * 4, 16 << 20
+SHARD_IDS, BATCH_BYTES = BLOCK_IDS, 4 << 20
 #: Words whose ids a worker keeps between batches, and runs of letters that are encoded as one text.
 KEPT_WORDS, RUNS_AT_ONCE = 600_000, 100
 #: Parts in a block of the prefix sums, and parts whose starts are broadcast (some 16 bytes each).
@@ -74,6 +74,12 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS_AND_MARKS = f"^{LETTERS}[!-&(-/:-@\\[-`{{-~]*$"
 
 
+def _ids(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
+    for i in range(0, len(texts), 50_000):
+        for one in tokenizer.encode_batch_fast(texts[i : i + 50_000], add_special_tokens=False):
+            yield np.array(one.ids, np.uint32)
+
+
 def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The entries `at` of a list of runs in flat, one after another."""
     out = [np.zeros(0, flat.dtype)]
@@ -104,11 +110,13 @@ class WordTokenizer:
         spec = json.loads(model)
         suffix = spec["model"].get("end_of_word_suffix")
         self.lowers = any(x["type"] == "Lowercase" for x in _steps(spec.get("normalizer"), "normalizers"))
-        self.ends = None
+        self.ends = self.merges = None
         if spec["model"]["type"] == "BPE" and suffix and _steps(spec["pre_tokenizer"], "pretokenizers")[0]["pattern"] == {"Regex": LETTER_RUNS}:
             names = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(names.values()) + 1, bool)
             self.ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
+            # Lower-case ASCII letters pass the normalizer and the pre-tokenizer unchanged.
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         self._parts, self._flat = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
         self._starts = self._sizes = np.zeros(0, np.int64)
 
@@ -162,29 +170,26 @@ class WordTokenizer:
         texts = [w.decode("utf-8", "replace") for w in parts.cast(pa.large_binary()).to_pylist()]
         plain = np.zeros(len(texts), bool) if self.ends is None else pc.match_substring_regex(parts, f"^{LETTERS}$").to_numpy(zero_copy_only=False)
         starts, sizes, flat, held = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
-        together, alone = np.flatnonzero(plain), [np.flatnonzero(~plain)]
-        groups = [together[i : i + RUNS_AT_ONCE] for i in range(0, len(together), RUNS_AT_ONCE)]
-        for group, one in zip(groups, self._ids([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
-            stops = np.flatnonzero(self.ends[one]) + 1
-            if len(stops) != len(group) or stops[-1] != len(one):
-                alone.append(group)
-                continue
-            sizes[group] = np.diff(stops, prepend=0)
-            starts[group] = held + stops - sizes[group]
-            flat.append(one)
-            held += len(one)
+        lower = np.zeros(len(texts), bool) if self.ends is None else pc.match_substring_regex(parts, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        alone = [np.flatnonzero(~plain)]
+        for tokenizer, together in ((self.merges, np.flatnonzero(plain & lower)), (self.tokenizer, np.flatnonzero(plain & ~lower))):
+            groups = [together[i : i + RUNS_AT_ONCE] for i in range(0, len(together), RUNS_AT_ONCE)]
+            for group, one in zip(groups, _ids(tokenizer, [" ".join([texts[i] for i in g]) for g in groups]), strict=True):
+                stops = np.flatnonzero(self.ends[one]) + 1
+                if len(stops) != len(group) or stops[-1] != len(one):
+                    alone.append(group)
+                    continue
+                sizes[group] = np.diff(stops, prepend=0)
+                starts[group] = held + stops - sizes[group]
+                flat.append(one)
+                held += len(one)
         alone = np.concatenate(alone)
-        for i, one in zip(alone.tolist(), self._ids([texts[i] for i in alone.tolist()]), strict=True):
+        for i, one in zip(alone.tolist(), _ids(self.tokenizer, [texts[i] for i in alone.tolist()]), strict=True):
             starts[i], sizes[i] = held, len(one)
             flat.append(one)
             held += len(one)
         return starts, sizes, np.concatenate(flat)
 
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 50_000):
-            for one in self.tokenizer.encode_batch_fast(texts[i : i + 50_000], add_special_tokens=False):
-                yield np.array(one.ids, np.uint32)
-
 
 @lru_cache(maxsize=2)
 def _tokenizer(model: str) -> WordTokenizer:

@@ -284,11 +284,11 @@ def test_words_are_encoded_as_the_library_does(monkeypatch):
     check(small)
 
 
-def test_case_and_marks_share_an_encoding():
+def test_case_and_marks_share_an_encoding(monkeypatch):
     with open(WORDS, encoding="utf-8") as file:
         tokenizer = token_files.WordTokenizer(file.read())
-    encoded, ids = [], tokenizer._ids
-    tokenizer._ids = lambda texts: encoded.extend(texts) or ids(texts)
+    encoded, ids = [], token_files._ids
+    monkeypatch.setattr(token_files, "_ids", lambda by, texts: encoded.extend(texts) or ids(by, texts))
     tokenizer.encode(pa.array(["River river, RIVER!! (river) river walks", "walks. River... walks!!"]), np.zeros(0, np.uint32))
     tokenizer.encode(pa.array(["walks, river"]), np.zeros(0, np.uint32))
     assert " ".join(encoded).split().count("river") == 1 and " ".join(encoded).split().count("walks") == 1
