@@ -84,11 +84,8 @@ def ring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("a31_ring_counts", fx.sql("SELECT centre_id, ring, layer, count(*) AS n_total, array_to_string(list(id ORDER BY km, id)[1:3], ',') AS nearest FROM (SELECT *, CASE WHEN km <= 500 THEN 1 WHEN km <= 1000 THEN 2 ELSE 3 END AS ring FROM r) GROUP BY 1, 2, 3", "centres", "points", r=_RING))
 def ring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by ring and layer, with the three nearest features."""
-    j = fe.ring_join(fx.centres(spark, sf_dir), fx.points(spark, sf_dir), _RINGS)
-    w = Window.partitionBy("centre_id", "ring", "layer").orderBy("distance_km", "id")
-    ranked = j.withColumn("k", F.row_number().over(w))
-    nearest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("k") <= 3, F.struct("k", "id")))), lambda x: x["id"].cast("string")), ",")
-    return ranked.groupBy("centre_id", "ring", "layer").agg(F.count(F.lit(1)).alias("n_total"), nearest.alias("nearest"))
+    counts = fe.ring_counts(fx.centres(spark, sf_dir), fx.points(spark, sf_dir), _RINGS, "centre_id", "id", "layer")
+    return counts.withColumn("nearest", F.array_join(F.transform("nearest", lambda x: x.cast("string")), ","))
 
 
 @REGISTRY.query("j11_agreement", fx.sql("SELECT layer, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT s_suppkey * 7 FROM supplier)) AS n_agree, count(*) FILTER (WHERE id NOT IN (SELECT s_suppkey * 7 FROM supplier)) AS n_novel FROM points GROUP BY 1", "points"))
