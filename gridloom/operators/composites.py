@@ -78,6 +78,6 @@ def frequency(obs: DataFrame, pixel: list[str], water: Column, valid: Column) ->
 
 
 def fuse_sensors(first: Column, second: Column, difference_p95: Column) -> Column:
-    """Mean of two sensors weighted by their agreement; a null falls to the other one."""
-    w = clip(1 - ratio(F.abs(first - second), difference_p95), 0.1, 1)
+    """Mean of two sensors weighted by their agreement; a null falls to the other one. Where nearly all pairs agree in full, so that the percentile is 0, the first has the least weight."""
+    w = F.coalesce(clip(1 - ratio(F.abs(first - second), difference_p95), 0.1, 1), F.lit(0.1))
     return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(w * first + (1 - w) * second)
