@@ -172,8 +172,9 @@ def fill_gaps(df: DataFrame, value: str, k: int = 3, passes: int = 3, by: list[s
     for _ in range(passes):
         holes = df.filter(F.col(value).isNull()).select(*by, "row", "col")
         asked = holes.withColumn("__dr", F.explode(steps)).withColumn("__dc", F.explode(steps)).select(*by, F.col("row").alias("__row"), F.col("col").alias("__col"), (F.col("row") + F.col("__dr")).alias("row"), (F.col("col") + F.col("__dc")).alias("col"))
-        found = asked.join(df.filter(F.col(value).isNotNull()).select(*by, "row", "col", value), [*by, "row", "col"]).groupBy(*by, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(F.median(value).alias("__fill"))
-        df = df.join(found, [*by, "row", "col"], "left").withColumn(value, F.coalesce(value, "__fill")).drop("__fill")
+        # Both sides grow with the grid, and small files may hold many cells: neither may be gathered for a broadcast.
+        found = asked.join(df.filter(F.col(value).isNotNull()).select(*by, "row", "col", value).hint("merge"), [*by, "row", "col"]).groupBy(*by, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(F.median(value).alias("__fill"))
+        df = df.join(found.hint("merge"), [*by, "row", "col"], "left").withColumn(value, F.coalesce(value, "__fill")).drop("__fill")
     return df
 
 
