@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,32 +227,59 @@ def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float
     return df.withColumn(value, clip(ratio(F.col(value) - lo, hi - lo), 0, 1))
 
 
-def regions(df: DataFrame, mask: str, eight: bool = False) -> DataFrame:
+def _tile_regions(group: pd.DataFrame, size: int, eight: bool) -> pd.DataFrame:
+    """The cells of a tile with the smallest cell number that each is connected to within the tile."""
+    row, col = group["row"].to_numpy(np.int64), group["col"].to_numpy(np.int64)
+    at = row % size * size + col % size
+    taken = np.unique(at)
+    spot = np.full((size + 2) * (size + 2), -1)
+    place = (taken // size + 1) * (size + 2) + taken % size + 1
+    spot[place] = np.arange(len(taken))
+    steps = (1, size + 2, size + 1, size + 3) if eight else (1, size + 2)
+    pairs = [np.stack([np.flatnonzero(spot[place + s] >= 0), spot[place + s][spot[place + s] >= 0]]) for s in steps]
+    u, v = np.hstack(pairs)
+    label = np.arange(len(taken))
+    while True:  # numbers are in the order of cells, so the smallest index has the smallest number
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        open_ = low != high
+        if not open_.any():
+            break
+        np.minimum.at(label, high[open_], low[open_])
+        while (label[label] != label).any():
+            label = label[label]
+    first = taken[label[np.searchsorted(taken, at)]]
+    return pd.DataFrame({"row": group["row"], "col": group["col"], "run": (row // size * size + first // size) * (1 << 31) + col // size * size + first % size})
+
+
+def regions(df: DataFrame, mask: str, eight: bool = False, size: int = 256) -> DataFrame:
     """row, col, region of set cells: connected cells (4 or 8 neighbours) get their smallest cell number.
 
-    Labels spread along rows and columns within runs (windows, not steps of one cell), and
-    between runs by an edge list; rounds go on until nothing changes, and each is cut from its
-    lineage by a table in the shared folder.
+    Cells are first labelled within tiles of `size` cells a side, each tile in a task's memory. What is left is
+    a graph of the labels that touch across the sides of tiles: rounds of smallest labels go on until nothing
+    changes, and each is cut from its lineage by a table in the shared folder.
     """
     cells = df.filter(mask).select("row", "col")
-    run = F.col("col") - F.row_number().over(Window.partitionBy("row").orderBy("col"))
-    runs = cells.withColumn("__run", run)
-    width = 1 << 31
-    named = runs.withColumn("start", F.min("col").over(Window.partitionBy("row", "__run"))).select("row", "col", (F.col("row").cast("long") * width + F.col("start")).alias("run"))
-    steps = [0] if not eight else [-1, 0, 1]
-    below = named.select((F.col("row") - 1).alias("row"), F.explode(F.array(*[F.col("col") + s for s in steps])).alias("col"), F.col("run").alias("other"))
-    edges = named.join(below, ["row", "col"]).select(F.col("run").alias("u"), F.col("other").alias("v")).distinct()
-    labels = named.select("run").distinct().withColumn("region", F.col("run"))
-    labels = staged(labels, "labels")
-    both = staged(edges.union(edges.select("v", "u")), "edges")
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("row", "col"))
+    tiled = cells.groupBy(F.floor(F.col("row") / size).alias("__r"), F.floor(F.col("col") / size).alias("__c"))
+    named = staged(tiled.applyInPandas(lambda group: _tile_regions(group, size, eight), f"{kinds}, run long"), "named")
+    edge = lambda c: F.pmod(F.col(c), F.lit(size)).isin(0, size - 1)
+    border = named.filter(edge("row") | edge("col"))
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if eight else [])
+    kept = [cells.schema[c].dataType for c in ("row", "col")]
+    moved = F.explode(F.array(*[F.struct((F.col("row") + r).cast(kept[0]).alias("row"), (F.col("col") + c).cast(kept[1]).alias("col")) for r, c in steps]))
+    near = border.select(F.col("run").alias("other"), moved.alias("m")).select("other", "m.row", "m.col")
+    # Every side of these joins grows with the grid, and its files are far smaller than its rows: none may be gathered for a broadcast.
+    edges = border.join(near.hint("merge"), ["row", "col"]).filter("run <> other").select(F.col("run").alias("u"), F.col("other").alias("v")).distinct()
+    both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    labels = staged(both.select(F.col("u").alias("run")).distinct().withColumn("region", F.col("run")), "labels")
     while True:
         new = labels.select("run", "region", F.col("region").alias("old"))
         for _ in range(2):  # two steps for each table that is written
-            told = both.join(new, F.col("u") == F.col("run")).groupBy(F.col("v").alias("run")).agg(F.min("region").alias("told"))
-            new = new.join(told, "run", "left").select("run", F.least("region", F.coalesce("told", "region")).alias("region"), "old")
+            told = both.join(new.hint("merge"), F.col("u") == F.col("run")).groupBy(F.col("v").alias("run")).agg(F.min("region").alias("told"))
+            new = new.join(told.hint("merge"), "run", "left").select("run", F.least("region", F.coalesce("told", "region")).alias("region"), "old")
             # Follow the label of the label: chains shorten by half.
-            new = new.alias("a").join(new.alias("b"), F.col("a.region") == F.col("b.run")).select("a.run", F.col("b.region").alias("region"), "a.old")
+            new = new.alias("a").join(new.alias("b").hint("merge"), F.col("a.region") == F.col("b.run")).select("a.run", F.col("b.region").alias("region"), "a.old")
         labels = staged(new, "labels")
         if labels.filter("region <> old").isEmpty():
             break
-    return named.join(labels, "run").select("row", "col", "region")
+    return named.join(labels.select("run", "region").hint("merge"), "run", "left").select("row", "col", F.coalesce("region", "run").alias("region"))
