@@ -157,11 +157,13 @@ class Circuit:
 
 def noisy_samples(df: DataFrame, key: list[str], column: str, samples: int = 8, sigma: float = 0.02, seed: int = 42) -> DataFrame:
     """df once for each sample, with the column disturbed by normal noise; sample 0 is clean. The noise follows from a hash of the key, so every run gives the same."""
-    name = lambda part: F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.col("sample").cast("string"), F.lit(str(seed + part))))
+    # The key's text is made once a row, not for each draw of each sample.
+    text = F.when(F.coalesce(*[F.col(k).cast("string") for k in key]).isNotNull(), F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    name = lambda part: F.md5(F.concat_ws("|", F.col("__key"), F.col("sample").cast("string"), F.lit(str(seed + part))))
     draw = lambda part: (F.conv(F.substring(name(part), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     normal = F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * np.pi * draw(1))
-    spread = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    return spread.withColumn(column, F.when(F.col("sample") == 0, F.col(column)).otherwise(F.col(column) + sigma * normal))
+    spread = df.withColumn("__key", text).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return spread.withColumn(column, F.when(F.col("sample") == 0, F.col(column)).otherwise(F.col(column) + sigma * normal)).drop("__key")
 
 
 class AutoEncoder:

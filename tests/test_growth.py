@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import composites, features, geometry, raster
+from gridloom.plans.catalog import REGISTRY
 from gridloom.sources import files
 
 
@@ -113,3 +114,18 @@ def test_pages_come_in_few_waves(spark, monkeypatch):
     monkeypatch.setattr(files, "staged", lambda df, what, plain=files.staged: waves.append(df.rdd.getNumPartitions()) or plain(df, what))
     rows = files.paged(spark, lambda o, n: [{"i": i} for i in range(o, min(o + n, 1234))], None, 10, "i long", wave=2)
     assert sorted(r.i for r in rows.collect()) == list(range(1234)) and len(waves) <= 8 and max(waves) <= 2
+
+
+def test_snapshots_are_compared_in_one_pass(spark):
+    a = spark.createDataFrame([("n", 1), ("n", 1), ("n", 2), (None, 5)], "type string, id int")
+    b = spark.createDataFrame([("n", 2), ("n", 3), ("n", 3), (None, 5)], "type string, id int")
+    changes = features.snapshot_diff(a, b, ["type", "id"])
+    assert sorted(map(tuple, changes.collect()), key=repr) == sorted([("n", 3, "added"), ("n", 1, "removed"), (None, 5, "added"), (None, 5, "removed")], key=repr)
+    assert "Join" not in _plan(changes)
+
+
+def test_noise_samples_are_dealt_before_they_are_drawn(spark, tmp_path):
+    row = "1L l_orderkey, cast(id as int) l_linenumber, id l_partkey, id l_suppkey, date'1995-01-01' l_shipdate, 'R' l_returnflag, 0.05D l_discount, 0.04D l_tax, 5D l_quantity"
+    spark.range(40).selectExpr(*row.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = REGISTRY.queries["a36_noise_samples"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
